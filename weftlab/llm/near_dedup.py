@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlab.llm.batches import add_columns
 from weftlab.llm.words import mix, shingle_sets, stream
 from weftlab.operators.components import connected_components
 from weftlab.session import materialise
@@ -59,19 +61,18 @@ def least_matches(percent: int, miss: float, step: int = ROWS * 5) -> dict[int,
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, fp1, fp2, sig) per row: size of the shingle set, its 128-bit fingerprint, its signature."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, f1, f2, sig = [], [], [], []
-            for s in shingle_sets(pdf["text"].tolist(), size):
-                n.append(len(s))
-                with np.errstate(over="ignore"):
-                    f1.append(int((s.sum() if len(s) else np.uint64(0)).astype(np.int64)))
-                    f2.append(int((mix(s ^ np.uint64(0x5555555555555555)).sum() if len(s) else np.uint64(0)).astype(np.int64)))
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "fp1": f1, "fp2": f2, "sig": sig})
+    def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        n, f1, f2, sig = [], [], [], []
+        for s in shingle_sets(b.column("text").to_pylist(), size):
+            with np.errstate(over="ignore"):
+                for f, x in ((f1, s), (f2, mix(s ^ np.uint64(0x5555555555555555)))):
+                    f.append(x.sum(dtype=np.uint64).astype(np.int64))
+            n.append(len(s))
+            sig.append(signature(s).tobytes() if len(s) else None)
+        return {"n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(f1, pa.int64()), "fp2": pa.array(f2, pa.int64()), "sig": pa.array(sig, pa.binary())}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary")
+    return add_columns(rows, ["text"], "n_shingles long, fp1 long, fp2 long, sig binary", run)
 
 
 def _prune(pairs: DataFrame, percent: int, miss: float) -> DataFrame:

@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,20 +36,24 @@ def public_vocabulary() -> tuple[str, str]:
 def cut_pieces(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every row of docs (null text: empty, so only the closing id 0); with_ids adds the ids themselves."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*vocabulary)
-        for pdf in batches:
-            rows = []
-            for key, ids in zip(pdf["doc_id"].astype("object"), enc.encode(pdf["text"].tolist()), strict=True):
+        for b in batches:
+            at, rows = [], []
+            for i, ids in enumerate(enc.encode(b.column("text").to_pylist())):
                 ids = np.append(ids, 0).astype("<u4")
                 first = len(ids) % capacity or capacity
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    rows.append((None if pd.isna(key) else int(key), k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype(np.int32)] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"doc_id": "Int64"})
+                for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    at.append(i)
+                    rows.append((k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes()), *([ids[lo:hi].astype(np.int32)] if with_ids else [])))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            made = [pa.array([r[c] for r in rows], kinds[c]) for c in range(4 + with_ids)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *made], names[: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class _Tree:
