@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlab.llm import ann, embed_dedup, near_dedup, packing, quality
+from weftlab.llm import ann, embed_dedup, near_dedup, packing, quality, warc
 from weftlab.session import table
 
 
@@ -13,6 +13,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_of_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -32,6 +36,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op3_warc_transactions": op3_warc_transactions,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
@@ -39,6 +44,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc_transactions": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to, regexp_replace(url, '[\r\n]', '', 'g') AS url
+FROM p LEFT JOIN f ON f.d = p.d
+""",
     "op7_embedding_near_dedup": """
 WITH RECURSIVE ok AS (
   SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
