@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlab.llm import ann, chat, embed_dedup, near_dedup, packing, quality, warc
+from weftlab.llm import ann, chat, embed_dedup, near_dedup, packing, quality, secrets, warc
 from weftlab.session import materialise, table
 
 
@@ -29,6 +29,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_reply_trees": op10_reply_trees,
 }
@@ -57,7 +62,7 @@ ORACLE_SQL = {
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
-e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\\\1|', 'g') AS x FROM c),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS x FROM c),
 g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
   sum(length(role) + length(x) + 24) AS f FROM e GROUP BY conv_id)
