@@ -6,14 +6,16 @@ compared batch by batch, and a pair is pruned as soon as the posterior probabili
 similarity reaches the threshold falls below `miss`. Survivors are verified exactly on their full sets.
 
 Inside a bucket every member is first paired with the bucket's smallest member only. Components of the links
-found so far then show which buckets still hold more than one component; only there the remaining cross-component
-pairs are compared, in blocks of bounded size, so no bucket is capped and no pair within a component is emitted.
+found so far then show which buckets still hold more than one component; only there the remaining pairs are compared by
+signature, in blocks of bounded size, which give a spanning forest of the survivors. Its trees are clusters of candidates:
+the texts of each meet once, again in blocks, and the pairs that still lie in different components are verified exactly. So no bucket is
+capped, no link between components is lost, and pairs are never emitted beyond one link per row and block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from weftlab.session import materialise
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
-BLOCK = 512
+BLOCK = 256
 #: Odd multipliers of the signature's hash functions.
 _MULTIPLIERS = stream(3, HASHES) | np.uint64(1)
 
@@ -110,38 +112,98 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
 
 
-def _cross(members: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Surviving pairs of members of one bucket that lie in different components, compared in blocks."""
-    need = least_matches(percent, miss)
-    key = ["band", "h"]
-    open_ = members.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    k = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = members.join(open_, key).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+def _blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """rows dealt so that every pair of rows of one key meets in a group (key, i, j) of at most about 2 * size rows;
+    own tells which side of the group a row is on."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("k"))
+    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig")
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("k", "other")
+
+
+def _survivors(pdf: pd.DataFrame, need: dict[int, int], percent: int, component: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows, matches) of a dealt group: pairs across its two sides, in different components, that survive every
+    batch; component gives the current component of a row."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), HASHES)
+    n, own = pdf["n"].to_numpy(), pdf["own"].to_numpy()
+    i, j = pdf["i"].iat[0], pdf["j"].iat[0]
+    cols = np.flatnonzero(own == j)
+    for r in np.flatnonzero(own == i):
+        c = cols[cols > r] if i == j else cols
+        comp = np.array([component(x) for x in c])
+        c = c[(comp != component(r)) & (100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r]))] if len(c) else c
+        at, m = 0, np.zeros(len(c), np.int64)
+        for upto, least in need.items():
+            if not len(c):
+                break
+            m = m + (sig[c, at:upto] == sig[r, at:upto]).sum(axis=1)
+            c, m, at = c[m >= least], m[m >= least], upto
+        if len(c):
+            yield r, c, m
+
+
+class _Union:
+    """Union-find over the rows of a group."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _links(pairs: list[tuple[int, int]], rep: np.ndarray) -> pd.DataFrame:
+    got = rep[np.array(pairs, dtype=np.int64).reshape(-1, 2)]
+    return pd.DataFrame({"a": got.min(axis=1), "b": got.max(axis=1)})
+
+
+def _candidates(members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """A spanning forest (a, b) of the surviving pairs of each bucket that still holds more than one component."""
+    need = least_matches(percent, miss)
+    open_ = members.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "h")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        comp, seen, out = pdf["comp"].to_numpy(), _Union(len(pdf)), []
+        for r, c, _ in _survivors(pdf, need, percent, comp.__getitem__):
+            out.extend((r, x) for x in c if seen.join(r, x))
+        return _links(out, pdf["rep"].to_numpy())
+
+    dealt = _blocks(members.join(open_, ["band", "h"]), ["band", "h"], BLOCK)
+    return dealt.groupBy("band", "h", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def _verified(nodes: DataFrame, percent: int, miss: float, size: int) -> DataFrame:
+    """Exact links (a, b) that join different components within clusters of candidates.
+    nodes: cluster, rep, comp, n, sig, text. Likelier pairs are verified first; pairs that are already joined need no test."""
+    need = least_matches(percent, miss)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), HASHES)
-        rep, comp, n, own = (pdf[c].to_numpy() for c in ("rep", "comp", "n", "own"))
-        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for r in rows:
-            c = cols[(comp[cols] != comp[r]) & (100 * np.minimum(n[cols], n[r]) >= percent * np.maximum(n[cols], n[r]))]
-            if i == j:
-                c = c[rep[c] > rep[r]]
-            at, m = 0, np.zeros(len(c), np.int64)
-            for upto, least in need.items():
-                if not len(c):
-                    break
-                m = m + (sig[c, at:upto] == sig[r, at:upto]).sum(axis=1)
-                c, m, at = c[m >= least], m[m >= least], upto
-            if len(c):
-                out.append(np.stack([np.minimum(rep[c], rep[r]), np.maximum(rep[c], rep[r])], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    return dealt.groupBy(*key, "i", "j").applyInPandas(run, "a long, b long").distinct()
+        sets, joined, out = list(shingle_sets(pdf["text"].tolist(), size)), _Union(len(pdf)), []
+        first: dict[int, int] = {}
+        for x, c in enumerate(pdf["comp"]):
+            joined.join(first.setdefault(c, x), x)
+        found = [(m, r, c) for r, c, m in _survivors(pdf, need, percent, [joined.root(x) for x in range(len(pdf))].__getitem__)]
+        if found:
+            m = np.concatenate([f[0] for f in found])
+            r, c = np.repeat([f[1] for f in found], [len(f[2]) for f in found]), np.concatenate([f[2] for f in found])
+            for k in np.argsort(-m, kind="stable"):
+                x, y = int(r[k]), int(c[k])
+                if joined.root(x) != joined.root(y):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        joined.join(x, y)
+                        out.append((x, y))
+        return _links(out, pdf["rep"].to_numpy())
+
+    return _blocks(nodes, ["cluster"], BLOCK).groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, miss: float = 1e-6) -> DataFrame:
@@ -172,10 +234,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(_verify(materialise(_prune(signed(star), percent, miss).distinct(), "star"), texts, percent, size), "links")
     comp = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     known = of.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rest = materialise(_cross(members.drop("pivot").join(known, "rep"), percent, miss), "cross")
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = materialise(_verify(rest, texts, percent, size), "links")
-    final = comp if more.isEmpty() else connected_components(comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).union(more), "a", "b").toDF("rep", "comp")
+    maybe = materialise(_candidates(members.drop("pivot").join(known, "rep"), percent, miss), "candidate-links")
+    if maybe.isEmpty():
+        final = comp
+    else:
+        clusters = connected_components(maybe, "a", "b").toDF("rep", "cluster")
+        nodes = clusters.join(known, "rep").join(texts.withColumnRenamed("id", "rep"), "rep").dropDuplicates(["cluster", "rep", "sig"])
+        more = materialise(_verified(nodes, percent, miss, size), "links")
+        final = comp if more.isEmpty() else connected_components(comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).union(more), "a", "b").toDF("rep", "comp")
     placed = first.join(final, "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n_shingles", "fp1", "fp2").join(placed.withColumn("n0", F.lit(True)), ["fp1", "fp2"], "left")
     linked = F.col("n_shingles") > 0
