@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlab.llm import ann, chat, embed_dedup, near_dedup, packing, quality, secrets, warc
+from weftlab.llm import ann, chat, embed_dedup, html_crf, near_dedup, packing, quality, secrets, warc
 from weftlab.session import materialise, table
 
 
@@ -13,6 +13,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest_of_pages(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_html_crf": op2_html_crf,
     "op3_warc_transactions": op3_warc_transactions,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
