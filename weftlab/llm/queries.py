@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftlab.llm import ann, chat, embed_dedup, html_crf, near_dedup, packing, quality, secrets, warc
+from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, secrets, warc
 from weftlab.session import materialise, table
 
 
@@ -25,6 +26,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    labelled = labels.select("doc_id", domain.alias("domain"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled, {"clean": 0.90, "toxic": 0.04, "low": 0.06})
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +63,7 @@ QUERIES = {
     "op2_html_crf": op2_html_crf,
     "op3_warc_transactions": op3_warc_transactions,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_secret_scans": op8_secret_scans,
