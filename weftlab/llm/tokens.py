@@ -23,8 +23,8 @@ from weftlab.llm.words import mix, stream
 _CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 _CP_BASE = np.uint64(0xD6E8FEB86659FD93)
-SLICE_CHARS = 1 << 20
-MOST_PIECES = 1_500_000
+SLICE_CHARS = 1 << 18
+MOST_PIECES = 400_000
 
 
 @functools.cache
