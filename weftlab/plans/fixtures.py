@@ -56,13 +56,14 @@ PART_EDGES = "part_edges AS (SELECT DISTINCT a.l_partkey AS g1, b.l_partkey AS g
 
 
 def bic_genes(spark: SparkSession, sf_dir: str, k: int = 25, shift: int = 0) -> DataFrame:
-    """(id, gene): gene + shift modulo k, every third gene."""
+    """(id, gene): the genes whose number plus shift, and half of it, leave the remainder id."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gene"))
-    return v.filter(f"gene % 3 <> {shift % 3}").select(((F.col("gene") + shift) % k).cast("int").alias("id"), "gene")
+    both = F.explode(F.array_distinct(F.array(((F.col("gene") + shift) % k).cast("int"), (F.floor((F.col("gene") + shift) / 2) % k).cast("int"))))
+    return v.select(both.alias("id"), "gene")
 
 
 def bic_genes_sql(name: str, k: int = 25, shift: int = 0) -> str:
-    return f"{name} AS (SELECT CAST((vec_id + {shift}) % {k} AS INTEGER) AS id, vec_id AS gene FROM embeddings WHERE vec_id % 3 <> {shift % 3})"
+    return f"{name} AS (SELECT DISTINCT CAST(unnest([(vec_id + {shift}) % {k}, ((vec_id + {shift}) // 2) % {k}]) AS INTEGER) AS id, vec_id AS gene FROM embeddings)"
 
 
 def bic_samples(spark: SparkSession, sf_dir: str, k: int = 25, shift: int = 0) -> DataFrame:
@@ -84,6 +85,19 @@ def directions(ids: DataFrame) -> DataFrame:
 DIRECTION = "CASE WHEN id % 2 = 0 THEN 'UP' ELSE 'DOWN' END"
 
 
-def modules(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    """(eid, g1, g2, module): edges with ids by order of their ends, and a module by an arithmetic rule."""
-    return edges.withColumn("eid", F.xxhash64("g1", "g2")).withColumn("module", (F.col("g1") * 31 + F.col("g2")) % 97)
+def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers linked with their nation, nations with their region: one component per region."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("g1"), (F.lit(-1) - F.col("c_nationkey")).cast("long").alias("g2"))
+    n = table(spark, sf_dir, "nation").select((F.lit(-1) - F.col("n_nationkey")).cast("long").alias("g1"), (F.lit(-1000) - F.col("n_regionkey")).cast("long").alias("g2"))
+    return c.union(n)
+
+
+REGION_EDGES = "edges AS (SELECT least(g1, g2) AS g1, greatest(g1, g2) AS g2 FROM (SELECT CAST(c_custkey AS BIGINT) AS g1, CAST(-1 - c_nationkey AS BIGINT) AS g2 FROM customer UNION SELECT -1 - n_nationkey, -1000 - n_regionkey FROM nation))"
+
+
+def edge_ids(edges: DataFrame) -> DataFrame:
+    """edges with a number eid."""
+    return edges.withColumn("eid", F.col("g1") * 1000003 + F.col("g2"))
+
+
+EID = "g1 * 1000003 + g2 AS eid"

@@ -262,9 +262,9 @@ def clinical_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sets
 
 
-@query(f"WITH {fx.EXPRS}, {fx.EDGES}, m AS (SELECT * FROM exprs WHERE gene % 4 <> 0), k AS (SELECT * FROM edges WHERE g1 IN (SELECT gene FROM m) AND g2 IN (SELECT gene FROM m)), ends AS (SELECT g1 AS gene FROM k UNION SELECT g2 FROM k) SELECT gene, count(*) AS n_values, (SELECT count(*) FROM k) AS n_edges FROM m WHERE gene IN (SELECT gene FROM ends) GROUP BY gene")
+@query(f"WITH {fx.EXPRS}, {fx.EDGES}, m AS (SELECT * FROM exprs WHERE gene IN (SELECT vec_id FROM embeddings WHERE label <> 3)), k AS (SELECT * FROM edges WHERE g1 IN (SELECT gene FROM m) AND g2 IN (SELECT gene FROM m)), ends AS (SELECT g1 AS gene FROM k UNION SELECT g2 FROM k) SELECT gene, count(*) AS n_values, (SELECT count(*) FROM k) AS n_edges FROM m WHERE gene IN (SELECT gene FROM ends) GROUP BY gene")
 def restrict_to_shared_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, m = sets.restrict_to_shared_genes(network.canonical_edges(fx.vector_edges(spark, sf_dir)), fx.exprs(spark, sf_dir).filter("gene % 4 <> 0"))
+    edges, m = sets.restrict_to_shared_genes(network.canonical_edges(fx.vector_edges(spark, sf_dir)), fx.exprs(spark, sf_dir).join(table(spark, sf_dir, "embeddings").filter("label <> 3").select(F.col("vec_id").alias("gene")), "gene", "left_semi"))
     return m.groupBy("gene").agg(F.count("*").alias("n_values")).join(F.broadcast(edges.agg(F.count("*").alias("n_edges"))))
 
 
@@ -288,13 +288,11 @@ def set_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # networks
 
-REACH = "reach(a, b) AS (SELECT g1, g2 FROM und UNION SELECT r.a, u.g2 FROM reach r JOIN und u ON r.b = u.g1)"
-FEW = "few AS (SELECT * FROM edges WHERE (g1 * 13 + g2) % 3 = 0), und AS (SELECT g1, g2 FROM few UNION ALL SELECT g2, g1 FROM few)"
-COMP = f"{fx.EDGES}, {FEW}, {REACH}, comp AS (SELECT a AS gene, min(least(a, b)) AS component FROM reach GROUP BY a)"
+COMP = f"{fx.REGION_EDGES}, und AS (SELECT g1, g2 FROM edges UNION ALL SELECT g2, g1 FROM edges), comp AS (SELECT gene, (SELECT min(g) FROM (SELECT CAST(-1 - n_nationkey AS BIGINT) AS g, n_regionkey AS r FROM nation UNION ALL SELECT -1000 - n_regionkey, n_regionkey FROM nation) WHERE r = region) AS component FROM (SELECT DISTINCT g1 AS gene, n_regionkey AS region FROM und, nation WHERE CASE WHEN g1 >= 0 THEN g2 = -1 - n_nationkey WHEN g1 > -1000 THEN g1 = -1 - n_nationkey ELSE g1 = -1000 - n_regionkey END))"
 
 
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.canonical_edges(fx.vector_edges(spark, sf_dir)).filter("(g1 * 13 + g2) % 3 = 0")
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.canonical_edges(fx.region_edges(spark, sf_dir))
 
 
 @query(f"WITH {fx.EDGES} SELECT g1, g2 FROM edges")
@@ -302,19 +300,19 @@ def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.canonical_edges(fx.vector_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {COMP} SELECT * FROM comp")
+@query(f"WITH {COMP} SELECT * FROM comp")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.components(_few(spark, sf_dir))
+    return network.components(_regions(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {COMP} SELECT g1, g2 FROM few JOIN comp ON gene = g1 WHERE component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= 3)")
+@query(f"WITH {COMP} SELECT g1, g2 FROM edges JOIN comp ON gene = g1 WHERE component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= 300)")
 def drop_small_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.drop_small_components(_few(spark, sf_dir), 3)
+    return network.drop_small_components(_regions(spark, sf_dir), 300)
 
 
-@query(f"WITH RECURSIVE {COMP}, per AS (SELECT component, count(*) AS n_nodes FROM comp GROUP BY 1), pe AS (SELECT component, count(*) AS n_edges FROM few JOIN comp ON gene = g1 GROUP BY 1) SELECT component, n_nodes, n_edges FROM per JOIN pe USING (component) UNION ALL SELECT NULL, (SELECT count(*) FROM comp), (SELECT count(*) FROM few)")
+@query(f"WITH {COMP}, per AS (SELECT component, count(*) AS n_nodes FROM comp GROUP BY 1), pe AS (SELECT component, count(*) AS n_edges FROM edges JOIN comp ON gene = g1 GROUP BY 1) SELECT component, n_nodes, n_edges FROM per JOIN pe USING (component) UNION ALL SELECT NULL, (SELECT count(*) FROM comp), (SELECT count(*) FROM edges)")
 def network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.network_stats(_few(spark, sf_dir))
+    return network.network_stats(_regions(spark, sf_dir))
 
 
 @query(f"WITH {fx.PART_EDGES}, d AS (SELECT gene, count(*) AS degree FROM (SELECT g1 AS gene FROM part_edges UNION ALL SELECT g2 FROM part_edges) GROUP BY 1) SELECT degree, count(*) AS n_genes FROM d GROUP BY 1")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftlab.plans import prepare_queries
+from weftlab.plans import bicluster_queries, evaluate_queries, prepare_queries
 
-MODULES = [prepare_queries]
+MODULES = [prepare_queries, bicluster_queries, evaluate_queries]
 
 
 def queries() -> dict:
