@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlab.session import new_path
+from weftlab.session import materialise, new_path
 
-FILE_BYTES = 32 << 20
+FILE_RECORDS = 6000
 LEAST_REVISIT = 100
 CRLF = "\r\n"
 RECORD = "record_id string, type string, uri string, date string, concurrent_to array<string>, refers_to string, digest string, content_type string, length long, block binary"
@@ -58,9 +58,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
     with record ids told apart by their number. Other columns are ignored.
     """
     page = captures(pages, id_col, uri_col, payload_col)
-    total = pages.agg(F.sum(F.octet_length(F.col(payload_col)) + 1500)).first()[0] or 0
-    files = max(2, -(-int(total) // FILE_BYTES))
-    page = page.repartition(files).withColumn("nth", F.monotonically_increasing_id())
+    page = page.withColumn("nth", F.monotonically_increasing_id())
     key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     same = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
     main, day = _urn(F.lit("main"), key, F.when(same | F.col("first").isNull() | (F.col("first") != F.col("id")), F.col("nth").cast("string")).otherwise("first")), F.lit(date)
@@ -75,7 +73,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
         _record(F.when(same, F.lit("revisit")).otherwise("response"), main, F.col("uri"), day, "application/http; msgtype=response", body, digest, refers),
         _record("metadata", _urn(F.lit("metadata"), key, F.col("nth").cast("string")), F.col("uri"), day, "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)), concurrent),
     )
-    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -166,7 +164,7 @@ def digest_of_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "u
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, id_col, uri_col, payload_col)
-    got = assemble(with_payload(read(spark, path)))
+    got = assemble(materialise(with_payload(read(spark, path)), "records"))
     page = F.regexp_extract(F.element_at("metadata", 1)["block"].cast("string"), r"page-id: (-?\d+)", 1)
     got = got.select(F.col("main.record_id").alias("rid"), F.when(page != "", page.cast("long")).alias("page_id"), "main.payload_bytes", F.coalesce("main.payload_digest", F.regexp_replace("main.digest", "^sha256:", "")).alias("payload_digest"),
                      F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("refers"), F.col("main.uri").alias("url"))
