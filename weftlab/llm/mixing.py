@@ -28,6 +28,10 @@ from weftlab.session import materialise
 
 MAX_ROWS = 6000
 TELLING = 64
+#: Least chi-square of a telling word: beyond what chance gives among a million words.
+LEAST_CHI = 30.0
+#: Memberships below this are taken as noise of the classifier: they count as none, the others are scaled up.
+LEAST_MEMBERSHIP = 0.2
 
 
 @dataclass
@@ -45,6 +49,8 @@ class Domains:
         x, n = inputs(texts, self.words)
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights
         z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        z = np.where(z < np.minimum(LEAST_MEMBERSHIP, z.max(axis=1, keepdims=True)), 0.0, z)
         return z / z.sum(axis=1, keepdims=True), n
 
 
@@ -65,6 +71,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     """Fit on labelled (id, domain) rows; null domains are skipped. At least one labelled row is needed."""
     chosen = labelled.filter(F.col(domain_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain_col).alias("domain"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "domain").limit(max_rows)
+    docs = docs.select(id_col, text_col)
     rows = materialise(docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col("__id").alias("id"), "domain", F.col(text_col).alias("text")), "labelled")
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     names, total = sorted(sizes), sum(sizes.values())
@@ -81,7 +88,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     wide = counts.join(counts.groupBy("word").agg(F.sum("n").alias("all")).filter((F.col("all") >= 5) & (F.col("all") < total)), "word").withColumn("of", of[F.col("domain")])
     excess = F.col("n") * total - F.col("all") * F.col("of")
     chi = excess * excess * total / (F.col("all") * F.col("of") * (total - F.col("all")) * F.greatest(total - F.col("of"), F.lit(0.5)))
-    best = wide.filter(excess > 0).withColumn("chi", chi).orderBy(F.desc("chi"), "word").limit(telling * len(names)).select("word").collect()  # bounded by telling
+    best = wide.filter(excess > 0).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "word").limit(telling * len(names)).select("word").collect()  # bounded by telling
     words = np.unique(np.array([r["word"] for r in best], np.int64).view(np.uint64))
     columns = [*NAMES, *(f"w{i}" for i in range(len(words)))]
 
@@ -95,7 +102,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return _softmax(x, np.searchsorted(names, got["domain"].to_numpy()), names, words)
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, names: list[str], words: np.ndarray, steps: int = 400, rate: float = 0.3, decay: float = 1e-4) -> Domains:
+def _softmax(x: np.ndarray, y: np.ndarray, names: list[str], words: np.ndarray, steps: int = 400, rate: float = 0.3, decay: float = 1e-3) -> Domains:
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     scale = np.maximum(scale, np.where(np.arange(x.shape[1]) >= len(NAMES), 0.02, 0))
     z, gold = np.c_[(x - mean) / scale, np.ones(len(x))], np.eye(len(names))[y]
