@@ -256,5 +256,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left = docs.join(found, id_col, "left_anti").select(*docs.columns)
     again = left.groupBy(id_col).count().filter("count > 1").filter(F.col(id_col).isNotNull()).select(id_col)
     order = Window.partitionBy(id_col).orderBy(text_col)
-    one = left.join(again, id_col, "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(*docs.columns)
+    one = left.join(again, id_col, "left_semi").withColumn("__weftlab_nth", F.row_number().over(order)).filter("__weftlab_nth = 1").select(*docs.columns)
     return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(one)

@@ -133,9 +133,9 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     """
     likely = F.coalesce(F.col(text_col).rlike(LIKELY), F.lit(False))
     some = docs.filter(likely)
-    found = scan(some, model, id_col, text_col, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__secrets"))
-    longest = F.array_sort("__secrets", lambda a, b: F.char_length(b) - F.char_length(a))
+    found = scan(some, model, id_col, text_col, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("__weftlab_id")).agg(F.collect_set("candidate").alias("__weftlab_secrets"))
+    longest = F.array_sort("__weftlab_secrets", lambda a, b: F.char_length(b) - F.char_length(a))
     clean = F.aggregate(longest, F.col(text_col), lambda text, s: F.replace(text, s, F.lit(MARK)))
-    joined = some.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    done = joined.withColumn(text_col, F.when(F.col("__secrets").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    joined = some.join(found, F.col(id_col).eqNullSafe(F.col("__weftlab_id")), "left")
+    done = joined.withColumn(text_col, F.when(F.col("__weftlab_secrets").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
     return docs.filter(~likely).unionByName(done)
