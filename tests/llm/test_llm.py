@@ -1,0 +1,371 @@
+"""The numbered operators on small frames: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, brute force."""
+
+import hashlib
+import math
+import os
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.sql_compare import same
+from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, queries, secrets, tokens, warc, words
+from weftlab.session import new_path
+
+SF = "/root/testdata/sf0.001"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, tokens int, component_id long, kept string"
+
+
+def prose(seed, n=80):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+def corpus(spark):
+    base = prose(1)
+    near = base.replace(base.split()[40], "changed", 1)
+    texts = [(1, base), (2, near), (3, base), (3, base), (4, None), (5, ""), (6, " \t\n"), (7, "one two"), (8, "ONE  two"), (None, base), (9, prose(2)), (10, prose(3, 20_000)), (11, "é 漢字 😀 " + prose(4)), (12, prose(2) + " more words at the end")]
+    return spark.createDataFrame([(i, t, "en", "s", None, 1.0, 1, 7, "x") for i, t in texts], DOCS)
+
+
+def empty(spark):
+    return corpus(spark).filter("false")
+
+
+def sets_of(texts):
+    out = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").split(" ")
+        w = [x for x in w if x]
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+def components(n, linked):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return [root(x) for x in range(n)]
+
+
+def test_shingle_sets_against_plain_python():
+    texts = [prose(k, n) for k, n in enumerate([0, 1, 4, 5, 6, 50])] + [None, "A\x0bb\x0cC d\re", "x  y", "é É a"]
+    for got, want in zip(words.shingle_sets(texts), sets_of(texts), strict=True):
+        assert len(got) == len(want)
+    a, b = words.shingle_sets(["One two three four FIVE", "one\ttwo three\nfour five"])
+    assert a.tolist() == b.tolist()
+
+
+def test_near_duplicates(spark):
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(corpus(spark)).collect())
+    of = {(r[0], r[1]): r[2:] for r in got}
+    assert len(got) == 14
+    assert [of[False, i][1] for i in (1, 2, 3)] == [1, 1, 1]
+    assert of[False, 4] == of[False, 4] and of[False, 4][0] == 0 and of[False, 5][0] == 0 and of[False, 6][0] == 0
+    assert of[False, 4][1:] == (4, True) and of[False, 5][1:] == (5, True)
+    assert of[False, 7] == (1, 7, True) and of[False, 8] == (1, 7, False)
+    assert of[True, 0][1:] == (None, True)
+    assert of[False, 12][1] == 9
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+    left = near_dedup.drop_near_duplicates(corpus(spark))
+    assert left.columns == corpus(spark).columns
+    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"]) == [1, 4, 5, 6, 7, 9, 10, 11]
+
+
+def test_near_duplicates_chains_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(6):
+        t = prose(100 + g, 60).split()
+        for _ in range(25):
+            t = list(t)
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(60)] = f"w{rng.randrange(1000)}"
+            texts.append(" ".join(t))
+    sets = sets_of(texts)
+    want = components(len(texts), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 0, [1.0], 3) for i, v in rows], "vec_id long, embedding array<float>, label int, vec array<double>, id int")
+
+
+def test_embedding_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((20, 16))
+    x = np.concatenate([base[rng.integers(0, 20, 150)] + 0.15 * rng.standard_normal((150, 16)), base[:5], base[:5]]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, []), (905, [1.0, 2.0]), (None, [1.0] * 16), (906, [float("inf")] * 16)]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicate_vectors(vectors(spark, rows)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    want = components(len(x), lambda a, b: near[a, b])
+    assert len(got) == len(rows)
+    for i in range(len(x)):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, want[i], want[i] == i)
+    for i in (900, 901, 902, 903, 904, 905, 906):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert got[None]["component_id"] is None
+    assert embed_dedup.near_duplicate_vectors(vectors(spark, [])).count() == 0
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 32), (5050, x[0].tolist()), (None, x[1].tolist())]
+    df = vectors(spark, rows)
+    got = ann.nearest(df, df.filter("vec_id % 50 = 0"), leaf=64).collect()
+    u = np.concatenate([x, x[:1]]).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids, hits = [*range(3000), 5050], 0
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(by) == {*range(0, 3000, 50), 5050}
+    for q, found in by.items():
+        k = ids.index(q)
+        s = u @ u[k]
+        best = [ids[j] for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
+        found.sort()
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5]
+        assert all(abs(sc - s[ids.index(v)]) < 1e-12 for _, v, sc in found)
+        hits += len({v for _, v, _ in found} & set(best))
+    assert hits / (5 * len(by)) >= 0.9
+    assert ann.nearest(vectors(spark, []), vectors(spark, [])).count() == 0
+    few = vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])])
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_main_text():
+    chain = html_crf.default_chain()
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='ad'>Buy now this thing.</div><article><h1>A title here</h1><p>First &amp; long paragraph,  with\n some words in it, and more.</p><p><b>Second one is open.<br><p>Third &copy; paragraph of the text is here.</p></article><footer>&copy; 2024 somebody</footer><script>var x='<p>no</p>'</script></body></html>"
+    assert html_crf.main_text(page, chain) == "A title here\nFirst & long paragraph, with some words in it, and more.\nSecond one is open.\nThird © paragraph of the text is here."
+    assert html_crf.main_text(None, chain) == "" == html_crf.main_text("", chain)
+    for odd in ("<", "<p", "<p class='", "a < b", "<div>" * 3000 + "x", "</p></p>", "<!-- open", "<script>x"):
+        assert isinstance(html_crf.main_text(odd, chain), str)
+
+
+def test_main_text_held_out():
+    chain, rng, good, total = html_crf.default_chain(), random.Random(77), 0, 0
+    for _ in range(60):
+        page, labels = html_crf.made_page(rng)
+        found = html_crf.blocks(page)
+        want = [labels[b.text] for b in found]
+        good += sum(a == b for a, b in zip(chain.decode(html_crf.block_features(found)), want, strict=True))
+        total += len(want)
+    assert good / total > 0.97
+
+
+def test_extract_rows(spark):
+    df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>some text</p>", "y"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
+    got = html_crf.extract(df).collect()
+    assert len(got) == 3 and sum(r["n_chars"] == 0 for r in got) >= 2
+    assert html_crf.extract(df.filter("false")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    long = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" + "x" * 300
+    pages = [(3, "http://a/b?c=1", long), (1, "http://a", long), (2, None, long), (4, "u", "short"), (5, "u", "short"), (6, None, None), (None, "http://n", "y" * 200), (7, "http://x\r\nEvil: 1", "")]
+    df = spark.createDataFrame([(i, u, h, "x") for i, u, h in pages], "page_id long, url string, html string, digest string")
+    got = {r["page_id"]: r for r in warc.digest_of_pages(df).collect()}
+    assert len(got) == len(pages)
+    for i, _, h in pages:
+        data = (h or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
+    assert {i: (got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4, 5)} == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None)}
+    assert warc.digest_of_pages(df.filter("false")).count() == 0
+
+
+def test_warc_assembly_and_damage(spark):
+    path = new_path(spark, "warc-test")
+    df = spark.createDataFrame([(1, "http://a", "x" * 150), (2, "http://b", "y")], "page_id long, url string, html string")
+    warc.write(df, path)
+    rows = warc.assemble(warc.read(spark, path)).collect()
+    assert len(rows) == 2
+    for r in rows:
+        assert [x["type"] for x in r["requests"]] == ["request"] and [x["type"] for x in r["metadata"]] == ["metadata"]
+        assert r["requests"][0]["concurrent_to"] == [r["capture"]]
+    with pytest.raises(ValueError):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort"))
+
+
+def test_secrets(spark):
+    key, sha = hashlib.sha1(b"k").hexdigest(), hashlib.sha1(b"c").hexdigest()
+    rows = [(1, f'some words token = "{key}" and more {key}'), (2, f"see commit {sha} for it"), (3, None), (4, ""), (None, f'api_key = "{key}"'), (5, "a" * 50_000), (6, f'TOKEN!! =!! "{key.upper()}"!!'), (7, "card 9807915762804490 only")]
+    df = spark.createDataFrame([(i, t, 1.0, "b", "p") for i, t in rows], "doc_id long, text string, score double, before string, probability string")
+    found = {(r["doc_id"], r["candidate"]): r for r in sorted(secrets.scan(df).collect(), key=lambda r: r["score"])}
+    assert found[1, key]["is_secret"] and found[1, key]["start"] == rows[0][1].index(key) and found[6, key.upper()]["is_secret"] and found[None, key]["is_secret"]
+    assert not found[2, sha]["is_secret"]
+    done = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert done[1] == 'some words token = "<SECRET>" and more <SECRET>' and done[2] == rows[1][1] and done[3] is None and done[None] == 'api_key = "<SECRET>"'
+    assert secrets.scan(df.filter("false")).count() == 0 and secrets.redact(df.filter("false")).columns == df.columns
+
+
+def test_secret_forest_held_out(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.described(secrets.labelled_findings(spark, 1000, seed=91)))
+    assert model.transform(rows).filter("prediction = label").count() > 970
+
+
+def additive_data(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-1, 1, (n, 4))
+    return x, ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
+
+
+def test_additive_model_learns_an_interaction():
+    m = quality.fit(*additive_data(3000, 1))
+    x, y = additive_data(1000, 2)
+    assert ((m.score(x) >= 0.5) == y).mean() > 0.9
+    assert 0 <= quality.fit(np.zeros((0, 4)), np.zeros(0)).score(x).min() <= 1
+    assert len(set(quality.fit(x, np.ones(len(x))).score(x))) == 1
+
+
+def test_quality_rows(spark):
+    docs = corpus(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = quality.score(docs, model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert quality.keep_good(docs, model).schema == docs.schema
+    assert quality.score(empty(spark), model).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_quality_held_out_accuracy(spark):
+    from weftlab.session import table
+
+    rows = queries.op9_quality_classifier(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+
+
+def test_mixing(spark):
+    docs = spark.createDataFrame([(i, prose(i, 60) + (" nasty" if i % 4 == 0 else " nice") * 3, i) for i in range(120)] + [(500, None, 0), (501, "", 0), (None, "x", 0)], "doc_id long, text string, rate int")
+    labelled = spark.createDataFrame([(i, "bad" if i % 4 == 0 else "good") for i in range(120)] + [(i, None) for i in range(5)], "doc_id long, domain string")
+    rows = mixing.mix(docs, labelled, {"good": 0.9, "bad": 0.1}).collect()
+    assert len(rows) == 123 and all(r["rate"] >= 0 for r in rows)
+    bad, good = (sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in rows) for d in ("bad", "good"))
+    assert abs(bad / (bad + good) - 0.1) < 0.005
+    kept = mixing.resample(docs, labelled, {"good": 0.95, "bad": 0.05}).collect()
+    ids = [r["doc_id"] for r in kept]
+    assert {i for i in range(120) if i % 4} <= set(ids) and len(ids) == len(set(ids)) and sum(i is not None and i < 120 and i % 4 == 0 for i in ids) < 20
+    assert mixing.resample(docs.filter("false"), labelled, {"good": 1.0}).count() == 0
+
+
+def test_rates_against_plain_gradient_steps(spark):
+    rng = np.random.default_rng(1)
+    p, tok = rng.dirichlet([1, 1, 1], 200), rng.integers(1, 100, 200)
+    scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tok, p, strict=True)], "tokens long, p array<double>")
+    rates = mixing.fit_rates(scored, {"a": 0.5, "b": 0.3, "c": 0.2}, ["a", "b", "c"])
+    r = rates.of(p)
+    assert (r >= 0).all() and np.allclose((p * (r * tok)[:, None]).sum(0), rates.targets, rtol=2e-3)
+    assert np.allclose(rates.totals, (p * (r * tok)[:, None]).sum(0))
+
+
+def test_encoder_against_the_tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    texts = [None, "", " ", "a  b", "a\n b", "it's 'tis ''s \n's don't", "1a2 3  4\t5", "x 😀😀", "a\r\n\r\n b ", "0٠²Ⅷ", "<|endoftext|> z", "\x1c\x1f a\x00b\x85c", "  é　y", prose(1), "z" * 20_000] * 2
+    enc = tokens.encoder(*packing.public_vocabulary())
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
+def test_best_fit_against_plain_best_fit():
+    rng = random.Random(1)
+    for _ in range(200):
+        cap = rng.choice([7, 10, 50])
+        items = [rng.randint(1, cap) for _ in range(rng.randint(0, 60))]
+        counts = {s: items.count(s) for s in items}
+        room = []
+        for s in sorted(items, reverse=True):
+            fits = [r for r in room if r >= s]
+            if fits:
+                room.remove(min(fits))
+                room.append(min(fits) - s)
+            else:
+                room.append(cap - s)
+        used = {}
+        for length, low, high, seq, per, base in packing.best_fit_decreasing(counts, cap):
+            for k in range(high - low):
+                used.setdefault(seq + k // per, []).append((base + k % per * length, length))
+        assert len(used) == len(room)
+        for parts in used.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= cap
+
+
+def test_packing_rows(spark):
+    docs = corpus(spark)
+    enc = tokens.encoder(*packing.public_vocabulary())
+    rows = packing.pack_documents(docs, with_ids=True, capacity=64).collect()
+    by, seq = {}, {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+        seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d in docs.filter("doc_id in (1, 4, 5, 10)").collect():
+        ids = [*next(enc.encode([d["text"]])).tolist(), 0]
+        parts = sorted(by[d["doc_id"]], key=lambda r: r["piece"])
+        assert [x for r in parts for x in r["ids"]] == ids and all(r["length"] == 64 for r in parts[1:])
+        assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and r["start"] == sum(p["length"] for p in parts[: r["piece"]]) for r in parts)
+    for parts in seq.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 64
+    assert len(seq) >= math.ceil(sum(r["length"] for r in rows) / 64)
+    assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_escapes_are_reversible():
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice(["<", "|", "\\", "a", "im_end|>", "<|im_end|>\n", "\n", "<|im_start|>"]) for _ in range(rng.randint(0, 8)))
+        assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
+
+
+def test_reply_trees(spark):
+    rows = [("a", None, 1, "user", "q", 0.0), ("b", "a", 1, "assistant", "good", 2.0), ("c", "a", 1, "assistant", "bad", 1.0), ("d", "b", 1, "user", "more", 2.0), ("e", None, 2, None, None, None), ("x", "y", 3, "user", "loop", 1.0), ("y", "x", 3, "user", "loop", 1.0), ("z", "y", 3, "user", "under a loop", 1.0), ("o", "missing", 4, "user", "orphan", 1.0), ("a", None, 1, "user", "q", 0.0), (None, "a", 1, "user", "no id", 1.0)]
+    m = spark.createDataFrame([(*r, "n") for r in rows], "id string, parent string, tree long, role string, text string, score double, leaf string")
+    paths = {}
+    for r in chat.best_paths(m, per_tree=None).collect():
+        paths.setdefault(r["leaf"], []).append((r["position"], r["text"], r["nth"]))
+    assert {k: [t for _, t, _ in sorted(v)] for k, v in paths.items()} == {"d": ["q", "good", "more"], "c": ["q", "bad"], "e": [""], "o": ["orphan"]}
+    assert {k: v[0][2] for k, v in paths.items()} == {"d": 1, "c": 2, "e": 1, "o": 1}
+    best = chat.format_paths(chat.best_paths(m)).collect()
+    assert {r["tree"] for r in best} == {1, 2, 4}
+    assert chat.best_paths(m.filter("false")).count() == 0
+
+
+def test_long_chain(spark):
+    m = spark.createDataFrame([(str(i), str(i - 1) if i else None, 1, "user" if i % 2 else "assistant", f"t{i}", 1.0) for i in range(200)], "id string, parent string, tree long, role string, text string, score double")
+    row = chat.read_back(chat.format_paths(chat.best_paths(m))).first()
+    want = "".join(f"{'user' if i % 2 else 'assistant'}\nt{i}\n" for i in range(200))
+    assert row["n_turns"] == 200 and row["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF)
