@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftlab.functions.stats import hypergeom_tail, log_factorials, snr
 from weftlab.operators.network import drop_small_components
 from weftlab.operators.prepare import gene_power_sums
+from weftlab.session import materialise
 
 
 def rank_samples(m: DataFrame, direction: str = "UP") -> DataFrame:
@@ -109,7 +110,7 @@ def assign_samples_to_edges(edges: DataFrame, m: DataFrame, direction: str = "UP
     ranked = rank_samples(m, direction)
     grid = corner_snr(overlap_grid(edges, ranked, n, step), gene_power_sums(m))
     best = best_corner(grid, overlap_thresholds(m.sparkSession, n, step, p), least, min_snr).filter(F.col("n") >= least)
-    rows = samples_of_corner(best, edges, ranked, n)
+    rows = materialise(samples_of_corner(materialise(best, "best-corners"), edges, ranked, n), "edge-samples")
     kept = drop_small_components(rows.select("g1", "g2").distinct(), k)
     return rows.join(kept, ["g1", "g2"], "left_semi")
 
