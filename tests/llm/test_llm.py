@@ -269,6 +269,19 @@ def test_mixing(spark):
     assert mixing.resample(docs.filter("false"), labelled, {"good": 1.0}).count() == 0
 
 
+def test_resample_keeps_all_when_the_thinned_domain_is_under_its_share(spark):
+    docs = spark.createDataFrame([(i, prose(i, 60) + (" nasty" if i % 100 == 0 else " nice") * 3) for i in range(600)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "bad" if i % 100 == 0 else "good") for i in range(600)], "doc_id long, domain string")
+    assert sorted(r["doc_id"] for r in mixing.resample(docs, labelled, {"good": 0.95, "bad": 0.05}).collect()) == list(range(600))
+
+
+def test_rates_with_a_whole_domain(spark):
+    p = [[1.0, 0.0, 0.0]] * 96 + [[0.0, 1.0, 0.0]] + [[0.0, 0.0, 1.0]] * 20
+    scored = spark.createDataFrame([(10, q) for q in p], "tokens long, p array<double>")
+    rates = mixing.fit_rates(scored, {"a": 0.9, "b": 0.05, "c": 0.05}, ["a", "b", "c"], high=1.0, whole="a")
+    assert np.allclose(rates.targets, [960, 10, 960 / 18]) and np.allclose(rates.of(np.eye(3)), [1, 1, 1 / 3.75], rtol=2e-3)
+
+
 def test_rates_against_plain_gradient_steps(spark):
     rng = np.random.default_rng(1)
     p, tok = rng.dirichlet([1, 1, 1], 200), rng.integers(1, 100, 200)

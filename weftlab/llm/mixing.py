@@ -144,11 +144,12 @@ def with_posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", tex
     return add_columns(rows, ["text"], "tokens long, p array<double>", run)
 
 
-def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], low: float = 0.0, high: float = float("inf"), total: float | None = None, most_steps: int = 60, close: float = 1e-3, refresh: int = 10) -> Rates:
+def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], low: float = 0.0, high: float = float("inf"), total: float | None = None, whole: str | None = None, most_steps: int = 60, close: float = 1e-3, refresh: int = 10) -> Rates:
     """Projected gradient steps over scored (tokens, p) until every domain total is within `close` of its target.
 
     weights: target share per domain, renormalised over the domains that have tokens. total: target sum of tokens; by default the present
-    sum, or with high = 1 the largest total that needs no rate above 1. Rates are held within [low, high].
+    sum, or with high = 1 the largest total that needs no rate above 1. whole: the domain whose present tokens all stay: it sets the total
+    (if it has tokens and a weight), and the target of any other domain is at most its present tokens. Rates are held within [low, high].
     """
     k = len(names)
     at = lambda i: F.element_at("p", i + 1)
@@ -160,9 +161,12 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     if not share.sum():
         return out
     share /= share.sum()
-    if total is None:
+    whole_at = names.index(whole) if whole in names and share[names.index(whole)] > 0 else None
+    if total is None and whole_at is not None:
+        total = now[whole_at] / share[whole_at]
+    elif total is None:
         total = min(now[i] / share[i] for i in range(k) if share[i] > 0) if high <= 1 else now.sum()
-    goal = np.maximum(share * total, 1e-9 * now.sum())
+    goal = np.maximum(share * total if whole_at is None else np.minimum(share * total, now), 1e-9 * now.sum())
     gram = np.array([[(first[f"g{i}_{j}"] or 0.0) / np.sqrt(goal[i] * goal[j]) for j in range(k)] for i in range(k)])
     step = 1 / np.linalg.eigvalsh(gram).max()
     state = scored.select("tokens", "p", F.lit(float(min(max(1.0, low), high))).alias("r"))
@@ -207,13 +211,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], high: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs repeated floor(rate + u) times, u uniform by a hash of the text; columns as in docs.
 
-    With high = 1 no row is repeated, and documents of the domain that is kept whole keep the rate 1, so they stay.
-    An empty table passes through.
+    With high = 1 no row is repeated, and the domain of the largest weight is kept whole: its tokens set the total, so its documents
+    keep the rate 1, and a domain under its share keeps what it has. An empty table passes through.
     """
     if docs.isEmpty():
         return docs
     model = train(docs, labelled, id_col, text_col)
-    rates = fit_rates(materialise(with_posteriors(docs, model, id_col, text_col), "posteriors"), weights, model.names, high=high)
+    whole = max(sorted(weights), key=weights.get) if high <= 1 else None
+    rates = fit_rates(materialise(with_posteriors(docs, model, id_col, text_col), "posteriors"), weights, model.names, high=high, whole=whole)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
