@@ -148,6 +148,21 @@ def test_nearest_neighbours(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+@pytest.mark.parametrize(
+    "odd, more",
+    [
+        ('<svg class="i"/>', []), ('<svg><text>no</text></svg>', []), ("<svg-icon>", []), ("<title-bar></title-bar>", []), ("<select-menu a='>'>", []), ("<button-group><button>no</button></button-group>", []),
+        ("<button>no</button>", []), ("<button type='x'>", []), ("<div><select><option>opt</div>", ["opt"]), ("<button>open<button>no</button>", ["open"]), ("<SCRIPT>no</script x>", []),
+    ],
+)
+def test_skipped_elements_end_where_they_end(odd, more):
+    assert [b.text for b in html_crf.blocks(f"<p>one</p>{odd}<p>two</p><p>three</p>")] == ["one", *more, "two", "three"]
+
+
+def test_features_of_the_whole_block():
+    assert "copyright" in html_crf.block_features(html_crf.blocks(f"<p>{'word ' * 600} &copy; somebody</p>"))[0]
+
+
 def test_main_text():
     chain = html_crf.default_chain()
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='ad'>Buy now this thing.</div><article><h1>A title here</h1><p>First &amp; long paragraph,  with\n some words in it, and more.</p><p><b>Second one is open.<br><p>Third &copy; paragraph of the text is here.</p></article><footer>&copy; 2024 somebody</footer><script>var x='<p>no</p>'</script></body></html>"

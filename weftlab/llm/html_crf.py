@@ -21,9 +21,15 @@ from pyspark.sql import functions as F
 
 from weftlab.llm.batches import add_columns
 
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments; a self-closed svg; elements without text of the page, to their end tag or the page's end; select and button, whose
+#: start tag alone goes if they are not closed before the next one; other tags; text.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|noscript|iframe|select|textarea|title|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<svg(?=[\s/>]){_ATTRS}(?<=/)>"
+    rf"|<(script|style|template|svg|noscript|iframe|textarea|title)(?=[\s/>]){_ATTRS}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(select|button)(?=[\s/>]){_ATTRS}>(?:(?:(?!<\2[\s/>]).)*?</\2(?=[\s/>])[^>]*>)?"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>|<[!?/][^>]*>?|([^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -60,7 +66,7 @@ def blocks(page: str | None) -> list[Block]:
         state["links"] = 0
 
     for m in _TOKEN.finditer(page or ""):
-        data = m.group(5)
+        data = m.group(6)
         if data is not None:
             if not parts or not "".join(parts).strip():
                 state["path"] = tuple(stack)
@@ -68,7 +74,7 @@ def blocks(page: str | None) -> list[Block]:
             if any(t == "a" for t, _ in stack):
                 state["links"] += len(data.strip())
             continue
-        tag = m.group(3)
+        tag = m.group(4)
         if not tag:
             continue
         tag = tag.lower()
@@ -77,7 +83,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-        if m.group(2):
+        if m.group(3):
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -89,8 +95,8 @@ def blocks(page: str | None) -> list[Block]:
                 break
             if stack[k][0] in BLOCK_TAGS and stack[k][0] not in ("p", "li", "dt", "dd", "td", "th", "tr"):
                 break
-        if tag not in VOID and not m.group(4).rstrip().endswith("/"):
-            words = tuple(w.lower() for v in _NAMED.findall(m.group(4)) for w in _WORD.findall(v))
+        if tag not in VOID and not m.group(5).rstrip().endswith("/"):
+            words = tuple(w.lower() for v in _NAMED.findall(m.group(5)) for w in _WORD.findall(v))
             stack.append((tag, words))
     flush()
     return out
@@ -107,7 +113,7 @@ def block_features(found: list[Block]) -> list[list[str]]:
         f += [f"named={w}" for w in {w for _, ws in b.path for w in ws}]
         inner = next((t for t in reversed(tags) if t in ("article", "main", "aside", "nav", "footer", "header", "form", "section")), "none")
         f += [f"nearest={inner}", f"end={b.text[-1] in '.!?:;)”»…'}", f"commas={min(2, b.text.count(','))}"]
-        low = b.text[:2000].lower()
+        low = b.text.lower()
         f += [f"word={w}" for w in set(_WORD.findall(low)) & TEXT_WORDS] if len(low) < 300 else []
         if "©" in low or "all rights" in low:
             f.append("copyright")
