@@ -148,6 +148,17 @@ def test_nearest_neighbours(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_nearest_neighbours_of_a_repeated_id(spark):
+    rng = np.random.default_rng(3)
+    near = [(7, [1.0, 0.001 * k, 0.0, 0.0]) for k in range(8)]
+    df = vectors(spark, [(0, [1.0, 0.0, 0.0, 0.0]), *near, *[(10 + k, (rng.standard_normal(4) * 0.2 + [1, 0, 0, 0]).tolist()) for k in range(20)]])
+    got = ann.nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    best = {r["vec_id"]: 0.0 for r in df.collect()}
+    for r in df.filter("vec_id > 0").collect():
+        best[r["vec_id"]] = max(best[r["vec_id"]], r["embedding"][0] / math.sqrt(sum(x * x for x in r["embedding"])))
+    assert [r["vec_id"] for r in got] == sorted(best, key=lambda i: (-best[i], i))[:5] and got[0]["vec_id"] == 7
+
+
 @pytest.mark.parametrize(
     "odd, more",
     [

@@ -133,10 +133,12 @@ def _nearest(rows: DataFrame, asked: DataFrame, dim: int, k: int, trees: int, le
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        y, ids, out = unit(stack(right["vec"], dim)), right["id"].to_numpy(), []
+        right = right.sort_values("id")
+        y, out = unit(stack(right["vec"], dim)), []
+        ids, first = np.unique(right["id"].to_numpy(), return_index=True)
         for lo in range(0, len(left), 256):
             q = left.iloc[lo : lo + 256]
-            s = unit(stack(q["vec"], dim)) @ y.T
+            s = np.maximum.reduceat(unit(stack(q["vec"], dim)) @ y.T, first, axis=1)  # the best row of each id
             s[q["id"].to_numpy()[:, None] == ids[None, :]] = -2.0
             kept = min(k, len(ids))
             least = -np.partition(-s, kept - 1, axis=1)[:, kept - 1]
