@@ -308,6 +308,26 @@ def test_rates_with_a_whole_domain(spark):
     assert np.allclose(rates.targets, [960, 10, 960 / 18]) and np.allclose(rates.of(np.eye(3)), [1, 1, 1 / 3.75], rtol=2e-3)
 
 
+def test_small_memberships_count(spark):
+    model = mixing.Domains(["a", "b"], np.zeros(0, np.uint64), np.zeros(len(mixing.NAMES)), np.ones(len(mixing.NAMES)), np.r_[np.zeros((len(mixing.NAMES), 2)), [[2.0, 0.0]]])
+    p, _ = model.posteriors(["some text"])
+    assert np.allclose(p, [[1 / (1 + math.exp(-2)), 1 / (1 + math.exp(2))]])
+    scored = spark.createDataFrame([(10, q) for q in [[0.9, 0.1]] * 90 + [[0.85, 0.15]] * 10], "tokens long, p array<double>")
+    rates = mixing.fit_rates(scored, {"a": 0.895, "b": 0.105}, ["a", "b"])
+    assert not rates.dropped and np.allclose(rates.targets, [895, 105])
+    with pytest.warns(UserWarning, match="no tokens for the targets of c"):
+        assert mixing.fit_rates(scored, {"a": 0.8, "b": 0.1, "c": 0.1}, ["a", "b"]).dropped == ["c"]
+
+
+def test_documents_of_the_whole_domain_keep_their_rate(spark):
+    p = [[0.9, 0.1]] * 80 + [[0.6, 0.4]] * 10 + [[0.05, 0.95]] * 30
+    scored = spark.createDataFrame([(10, q) for q in p], "tokens long, p array<double>")
+    rates = mixing.fit_rates(scored, {"a": 0.8, "b": 0.2}, ["a", "b"], high=1.0, whole="a")
+    r = rates.of(np.array(p))
+    assert (r[:90] == 1).all() and (r[90:] < 0.5).all()
+    assert np.allclose(rates.totals, (np.array(p) * 10 * r[:, None]).sum(axis=0))
+
+
 def test_rates_against_plain_gradient_steps(spark):
     rng = np.random.default_rng(1)
     p, tok = rng.dirichlet([1, 1, 1], 200), rng.integers(1, 100, 200)

@@ -11,6 +11,7 @@ Tokens are words. The classifier is fitted from at most `MAX_ROWS` labelled rows
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,8 +31,6 @@ MAX_ROWS = 6000
 TELLING = 64
 #: Least chi-square of a telling word: beyond what chance gives among a million words.
 LEAST_CHI = 30.0
-#: Memberships below this are taken as noise of the classifier: they count as none, the others are scaled up.
-LEAST_MEMBERSHIP = 0.2
 
 
 @dataclass
@@ -49,8 +48,6 @@ class Domains:
         x, n = inputs(texts, self.words)
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z = np.where(z < np.minimum(LEAST_MEMBERSHIP, z.max(axis=1, keepdims=True)), 0.0, z)
         return z / z.sum(axis=1, keepdims=True), n
 
 
@@ -118,19 +115,22 @@ def _softmax(x: np.ndarray, y: np.ndarray, names: list[str], words: np.ndarray,
 
 @dataclass
 class Rates:
-    """The gradient steps: rates of posteriors are replayed from them."""
+    """The gradient steps: rates of posteriors are replayed from them. fixed: the domain whose likeliest documents keep the first rate."""
 
     low: float
     high: float
+    fixed: int | None = None
     steps: list[list[float]] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
+    dropped: list[str] = field(default_factory=list)
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        r = np.full(len(p), min(max(1.0, self.low), self.high))
+        first = min(max(1.0, self.low), self.high)
+        r = np.full(len(p), first)
         for g in self.steps:
             r = np.clip(r - p @ np.array(g), self.low, self.high)
-        return r
+        return r if self.fixed is None else np.where(p[:, self.fixed] >= p.max(axis=1, initial=0.0), first, r)
 
 
 def with_posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +149,9 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
 
     weights: target share per domain, renormalised over the domains that have tokens. total: target sum of tokens; by default the present
     sum, or with high = 1 the largest total that needs no rate above 1. whole: the domain whose present tokens all stay: it sets the total
-    (if it has tokens and a weight), and the target of any other domain is at most its present tokens. Rates are held within [low, high].
+    (if it has tokens and a weight), the target of any other domain is at most its present tokens, and documents that are likeliest of
+    it keep the rate 1, whatever their other memberships. Rates are held within [low, high]. Domains with a weight but no tokens are
+    named in `dropped` of the result and warned of.
     """
     k = len(names)
     at = lambda i: F.element_at("p", i + 1)
@@ -157,11 +159,14 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     first = scored.agg(*[F.sum(tok * at(i)).alias(f"s{i}") for i in range(k)], *[F.sum(tok * at(i) * at(j)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
     now = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
     share = np.array([max(0.0, weights.get(n, 0.0)) for n in names]) * (now > 0)
-    out = Rates(low, high)
+    whole_at = names.index(whole) if whole in names and share[names.index(whole)] > 0 else None
+    out = Rates(low, high, whole_at)
+    out.dropped = sorted(d for d, w in weights.items() if w > 0 and (d not in names or now[names.index(d)] <= 0))
+    if out.dropped:
+        warnings.warn(f"no tokens for the targets of {', '.join(out.dropped)}: the other weights are scaled up", stacklevel=2)
     if not share.sum():
         return out
     share /= share.sum()
-    whole_at = names.index(whole) if whole in names and share[names.index(whole)] > 0 else None
     if total is None and whole_at is not None:
         total = now[whole_at] / share[whole_at]
     elif total is None:
@@ -169,13 +174,15 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     goal = np.maximum(share * total if whole_at is None else np.minimum(share * total, now), 1e-9 * now.sum())
     gram = np.array([[(first[f"g{i}_{j}"] or 0.0) / np.sqrt(goal[i] * goal[j]) for j in range(k)] for i in range(k)])
     step = 1 / np.linalg.eigvalsh(gram).max()
-    state = scored.select("tokens", "p", F.lit(float(min(max(1.0, low), high))).alias("r"))
+    begin = float(min(max(1.0, low), high))
+    held = F.lit(False) if whole_at is None else at(whole_at) >= F.array_max("p")
+    state = scored.select("tokens", "p", F.lit(begin).alias("r"))
     pending: list[list[float]] = []
     for n in range(most_steps):
         rate = F.col("r")
         for g in pending:
             rate = F.greatest(F.lit(low), F.least(F.lit(high), rate - sum((F.lit(g[i]) * at(i) for i in range(k)), F.lit(0.0))))
-        moved = state.withColumn("r", rate)
+        moved = state.withColumn("r", F.when(held, begin).otherwise(rate))
         if len(pending) >= refresh:
             state, pending = materialise(moved, "rates"), []
             moved = state
@@ -211,8 +218,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], high: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs repeated floor(rate + u) times, u uniform by a hash of the text; columns as in docs.
 
-    With high = 1 no row is repeated, and the domain of the largest weight is kept whole: its tokens set the total, so its documents
-    keep the rate 1, and a domain under its share keeps what it has. An empty table passes through.
+    With high = 1 no row is repeated, and the domain of the largest weight is kept whole: its tokens set the total, documents
+    likeliest of it keep the rate 1, and a domain under its share keeps what it has. An empty table passes through.
     """
     if docs.isEmpty():
         return docs
