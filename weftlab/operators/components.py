@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlab.session import materialise
+from weftlab.session import materialise, release
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+def _lowest(rows: DataFrame) -> DataFrame:
+    """(u, m, n) per node of rows (u, v): its smallest neighbour and their number."""
+    return materialise(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node reachable.
 
-    Both star steps pre-aggregate the minimum per node before joining it back, so a hub is never gathered
-    in one task. Null ends and self-loops are left out; an empty edge table gives an empty result.
+    Each star step finds the smallest neighbour per node by a pre-aggregated sum and writes it; the edges are then joined with
+    that table, so both sides of the join are plain shuffles, which Spark splits where a hub has many edges. A node with a smaller
+    neighbour and a second one is open; without open nodes the edges are stars around their smallest nodes, and the rounds end. Null
+    ends and self-loops are left out; repeated edges count once; an empty edge table gives an empty result.
     """
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    edges = materialise(edges, "cc-edges")
-    seen = None
+    given = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    edges = materialise(given.distinct(), "cc-edges")
     for _ in range(max_rounds):
-        edges = materialise(_small_star(_large_star(edges)), "cc-round")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = _lowest(both)
+        if low.filter("m < u and n > 1").isEmpty():
+            release(low)
             break
-        seen = tuple(now)
+        near = low.select("u", F.least("m", "u").alias("m"))
+        large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        moved = materialise(large, "cc-large")
+        release(low, edges)
+        low = _lowest(moved)
+        small = moved.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialise(small, "cc-small")
+        release(low, moved)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()

@@ -37,4 +37,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
+
+
+def release(*dfs: DataFrame | None) -> None:
+    """Delete what materialise() wrote for these tables, once nothing reads them any more. Others are left alone."""
+    for df in dfs:
+        path = getattr(df, "materialised_at", None) if df is not None else None
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(conf).delete(hadoop, True)
