@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlab.session import materialise, new_path
+from weftlab.session import materialise, new_path, release
 
-FILE_RECORDS = 6000
+#: Bytes of records that a file holds at the mean size of a page.
+FILE_BYTES = 32 << 20
 LEAST_REVISIT = 100
 CRLF = "\r\n"
 RECORD = "record_id string, type string, uri string, date string, concurrent_to array<string>, refers_to string, digest string, content_type string, length long, block binary"
@@ -43,70 +44,84 @@ def _record(kind: str | Column, rid: Column, uri: Column, date: Column, content_
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """(id, uri, payload, bytes, digest, first): payload in UTF-8 (null: empty), and the smallest id with the same payload if that
-    has at least `least` bytes."""
+    """(id, uri, payload, bytes, digest, first, nth): payload in UTF-8 (null: empty), the smallest id with the same payload if that has
+    at least `least` bytes, and the number of the row, from 1, among those of one id and payload. Only rows that repeat both are dealt out
+    to be numbered, by url."""
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(uri_col), F.lit("")), r"[\r\n]", "").alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     page = page.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     again = page.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return page.join(again, "digest", "left")
+    twice = materialise(page.groupBy("id", "digest").count().filter("count > 1").select(F.col("id").alias("id2"), F.col("digest").alias("digest2")), "repeated")
+    if twice.isEmpty():
+        return page.join(again, "digest", "left").withColumn("nth", F.lit(1))
+    same = page.id.eqNullSafe(twice.id2) & (page.digest == twice.digest2)
+    order = Window.partitionBy("id", "digest").orderBy("uri")
+    numbered = page.join(twice, same, "left_semi").withColumn("nth", F.row_number().over(order))
+    return page.join(twice, same, "left_anti").withColumn("nth", F.lit(1)).unionByName(numbered).join(again, "digest", "left")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
     """Write every row of pages as a capture to gzipped WARC files under path.
 
-    Null urls and payloads are empty; line ends inside a url are dropped. Of rows with one id and one payload, all are written,
-    with record ids told apart by their number. Other columns are ignored.
+    Null urls and payloads are empty; line ends inside a url are dropped. Rows that repeat an id and a payload are written each, with
+    record ids of their own; revisits refer to the first of them. Other columns are ignored. The mean size of a page sets the
+    number of records of a file.
     """
     page = captures(pages, id_col, uri_col, payload_col)
-    page = page.withColumn("nth", F.monotonically_increasing_id())
-    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    key = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("null")), "digest", F.col("nth").cast("string"))
     same = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
-    main, day = _urn(F.lit("main"), key, F.when(same | F.col("first").isNull() | (F.col("first") != F.col("id")), F.col("nth").cast("string")).otherwise("first")), F.lit(date)
+    main, day = _urn(F.lit("main"), key), F.lit(date)
+    origin = F.concat_ws("-", F.col("first").cast("string"), "digest", F.lit("1"))
+    mean = pages.agg(F.avg(F.octet_length(payload_col))).first()[0] or 0.0
+    per_file = max(3, int(3 * FILE_BYTES / (mean + 1500)))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
-    refers = F.when(same, F.concat(F.lit("WARC-Refers-To: "), _urn(F.lit("main"), F.col("first").cast("string"), F.lit("first")), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
+    refers = F.when(same, F.concat(F.lit("WARC-Refers-To: "), _urn(F.lit("main"), origin), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), main)
     body = F.when(same, head).otherwise(F.concat(head, "payload"))
     request = F.concat(F.lit("GET "), F.regexp_replace("uri", r"^\w+://[^/]*", ""), F.lit(f" HTTP/1.1{CRLF}Host: "), F.regexp_extract("uri", r"^\w+://([^/]*)", 1), F.lit(CRLF * 2))
     records = F.array(
-        _record("request", _urn(F.lit("request"), key, F.col("nth").cast("string")), F.col("uri"), day, "application/http; msgtype=request", request, concurrent),
+        _record("request", _urn(F.lit("request"), key), F.col("uri"), day, "application/http; msgtype=request", request, concurrent),
         _record(F.when(same, F.lit("revisit")).otherwise("response"), main, F.col("uri"), day, "application/http; msgtype=response", body, digest, refers),
-        _record("metadata", _urn(F.lit("metadata"), key, F.col("nth").cast("string")), F.col("uri"), day, "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)), concurrent),
+        _record("metadata", _urn(F.lit("metadata"), key), F.col("uri"), day, "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)), concurrent),
     )
-    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, each cut by its Content-Length. Raises ValueError on a damaged one."""
+def parse(data: bytes | io.BufferedIOBase) -> Iterator[dict]:
+    """Records of a WARC file, each cut by its Content-Length; a stream is read record by record. Raises ValueError on a damaged one."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
     at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    while line := stream.readline():
+        if line in (b"\r\n", b"\n"):
+            at += len(line)
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        head = [line]
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        if not head[0].startswith(b"WARC/") or not line:
             raise ValueError(f"no record header at byte {at}")
         fields: dict[str, list[str]] = {}
-        for line in _LINES.split(data[at:end])[1:]:
-            name, _, value = line.decode("utf-8", "replace").partition(":")
+        for part in _LINES.split(b"".join(head).removesuffix(b"\r\n"))[1:]:
+            name, _, value = part.decode("utf-8", "replace").partition(":")
             fields.setdefault(name.strip().lower(), []).append(value.strip())
         one = lambda k, fields=fields: fields[k][0] if k in fields else None
         size = int(one("content-length") or 0)
-        if end + 4 + size > len(data):
+        block = stream.read(size)
+        if len(block) < size:
             raise ValueError(f"record at byte {at} is cut off")
         yield {"record_id": one("warc-record-id"), "type": one("warc-type"), "uri": one("warc-target-uri"), "date": one("warc-date"), "concurrent_to": fields.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"),
-               "digest": one("warc-payload-digest"), "content_type": one("content-type"), "length": size, "block": data[end + 4 : end + 4 + size]}
-        at = end + 4 + size
+               "digest": one("warc-payload-digest"), "content_type": one("content-type"), "length": size, "block": block}
+        at += sum(map(len, head)) + 2 + size
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the files under path, gzipped or not, one row each."""
+    """All records of the files under path, gzipped or not, one row each; a file is unpacked as it is read."""
     names = [c.split()[0] for c in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                data = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
                 rows, held = [], 0
                 for r in parse(data):
                     rows.append(r)
