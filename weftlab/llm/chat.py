@@ -3,7 +3,7 @@
 Messages form trees by parent. Iterative self-joins with doubling reach list, for every leaf, its whole path from the root (a chain of
 depth d takes log2(d) joins); branches are ranked by score; each chosen path becomes one conversation text. Turns are
 marked with the template's control strings, which are escaped inside texts, reversibly: every `<|` becomes `<\\|` and
-every `<\\` run gets one more backslash. The loss mask is the list of code-point spans of assistant texts.
+every `<\\` run gets one more backslash; a role keeps to one line. The loss mask is the list of code-point spans of assistant texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlab.session import materialise
+from weftlab.session import materialise, release
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
@@ -33,11 +33,20 @@ def unescape(text: str) -> str:
     return _FROM.sub(r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    """A role on one line: a backslash is doubled, a line end becomes a backslash and n; then as escape."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """(formatted, spans): the conversation text and the code-point spans of its trained texts."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{START}{escape(role).replace(chr(10), ' ')}\n", escape(text)
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
         if role == TRAINED:
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, f"{END}\n"]
@@ -50,7 +59,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     turns = []
     for part in formatted.split(f"{END}\n")[:-1]:
         role, _, text = part.removeprefix(START).partition("\n")
-        turns.append((unescape(role), unescape(text)))
+        turns.append((unescape_role(role), unescape(text)))
     return turns
 
 
@@ -62,15 +71,18 @@ def root_paths(messages: DataFrame) -> DataFrame:
     """
     nodes = messages.filter("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
     ids = nodes.select(F.col("id").alias("parent"))
-    nodes = materialise(nodes.join(ids.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent")), "tree")
+    below = nodes.filter("parent is not null").join(ids.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent"))
+    nodes = materialise(nodes.filter("parent is null").select("id", "parent").union(below), "tree")  # roots share no key, so none of them meet
     parents = nodes.filter("parent is not null").select(F.col("parent").alias("id")).distinct()
     paths = nodes.join(parents, "id", "left_anti").select(F.col("id").alias("leaf"), F.col("id").alias("message"), F.lit(0).cast("long").alias("up"))
     jump = nodes.filter("parent is not null").select(F.col("id").alias("message"), F.col("parent").alias("to"))
     step, total = 1, nodes.count()
     while step <= total and not jump.isEmpty():
         more = paths.join(jump, "message").select("leaf", F.col("to").alias("message"), F.col("up") + step)
+        was = paths, jump
         paths = materialise(paths.union(more), "paths")
         jump = materialise(jump.join(jump.select(F.col("message").alias("to"), F.col("to").alias("next")), "to").select("message", F.col("next").alias("to")), "jumps")
+        release(*was)
         step *= 2
     roots = nodes.filter("parent is null").select(F.col("id").alias("message"))
     whole = paths.join(roots, "message").select("leaf")

@@ -33,6 +33,10 @@ TELLING = 64
 LEAST_CHI = 30.0
 
 
+class NoLabels(ValueError):
+    """No document has a label."""
+
+
 @dataclass
 class Domains:
     """Softmax regression: names, telling words (sorted hashes), scaling of the inputs, weights (last row: intercept)."""
@@ -65,13 +69,15 @@ def inputs(texts: list[str | None], telling: np.ndarray) -> tuple[np.ndarray, np
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = MAX_ROWS, telling: int = TELLING) -> Domains:
-    """Fit on labelled (id, domain) rows; null domains are skipped. At least one labelled row is needed."""
+    """Fit on labelled (id, domain) rows; null domains are skipped. NoLabels is raised if no document has a label."""
     chosen = labelled.filter(F.col(domain_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain_col).alias("domain"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "domain").limit(max_rows)
     docs = docs.select(id_col, text_col)
     rows = materialise(docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col("__id").alias("id"), "domain", F.col(text_col).alias("text")), "labelled")
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     names, total = sorted(sizes), sum(sizes.values())
+    if not names:
+        raise NoLabels("no labelled documents")
 
     def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -201,9 +207,22 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     return out
 
 
+def _trained(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str, text_col: str) -> Domains:
+    """The fitted classifier; without labelled documents one that gives even memberships in the domains `names`."""
+    try:
+        return train(docs, labelled, id_col, text_col)
+    except NoLabels:
+        k = len(NAMES)
+        return Domains(names, np.zeros(0, np.uint64), np.zeros(k), np.ones(k), np.zeros((k + 1, len(names))))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, rate, p_<domain>...) for every row of docs. Rows that share an id each have a rate of their own."""
-    model = train(docs, labelled, id_col, text_col)
+    """(doc_id, tokens, rate, p_<domain>...) for every row of docs. Rows that share an id each have a rate of their own.
+
+    Null and empty texts have no tokens and get the rate of their posteriors like others. If no document has a label, memberships in the
+    domains of `weights` are even. An empty table gives an empty result.
+    """
+    model = _trained(docs, labelled, sorted(weights), id_col, text_col)
     scored = materialise(with_posteriors(docs, model, id_col, text_col), "posteriors")
     rates = fit_rates(scored, weights, model.names)
 
@@ -219,11 +238,12 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], hi
     """Rows of docs repeated floor(rate + u) times, u uniform by a hash of the text; columns as in docs.
 
     With high = 1 no row is repeated, and the domain of the largest weight is kept whole: its tokens set the total, documents
-    likeliest of it keep the rate 1, and a domain under its share keeps what it has. An empty table passes through.
+    likeliest of it keep the rate 1, and a domain under its share keeps what it has. An empty table passes through, and so do all rows
+    if none has a label. Repeated rows share their fate; null and empty texts are judged by their posteriors like others.
     """
-    if docs.isEmpty():
+    model = _trained(docs, labelled, [], id_col, text_col)
+    if not model.names:
         return docs
-    model = train(docs, labelled, id_col, text_col)
     whole = max(sorted(weights), key=weights.get) if high <= 1 else None
     rates = fit_rates(materialise(with_posteriors(docs, model, id_col, text_col), "posteriors"), weights, model.names, high=high, whole=whole)
 

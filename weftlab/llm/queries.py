@@ -79,7 +79,7 @@ WITH c AS (
 e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS x FROM c),
 g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-  sum(length(role) + length(x) + 24) AS f FROM e GROUP BY conv_id)
+  sum(length(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')) + length(x) + 24) AS f FROM e GROUP BY conv_id)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g
 """,
     "op3_warc_transactions": r"""
