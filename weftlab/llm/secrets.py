@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlab.session import materialise
+
 MARK = "<SECRET>"
 THRESHOLD = 0.5
 #: Code points of context before and after a candidate.
@@ -23,15 +25,17 @@ AROUND = 64
 #: Stands at both ends of a candidate while a text is taken apart: a noncharacter, no sign of any text. One found in a text counts as U+FFFD.
 EDGE, OTHER = "\ufdd0", "\ufffd"
 
-# The candidates. Runs are matched from their first sign only and possessively, so no sign is read more than a few times.
+# The candidates. What starts with a key character is looked for at the start of a run only, and possessively, so no sign is read more than
+# a few times; names are searched for words of secrets only where a sign of assignment follows.
 _KEY = r"A-Za-z0-9+/_\-"
-ASSIGNED = r"((?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)[A-Za-z0-9_\-]{0,16}[\"'\])]{0,2}[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}[\"'`]?)([^\s\"'`<>,;]{5,}[^\s\"'`<>,;.!?):])"
+_ASSIGN = r"[\"'\])]{0,2}[ \t]{0,4}(?:=>|:=|[:=])"
+ASSIGNED = rf"(?=[A-Za-z0-9_\-]{{3,64}}+{_ASSIGN})([A-Za-z0-9_\-]{{0,48}}?(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)[A-Za-z0-9_\-]{{0,16}}{_ASSIGN}[ \t]{{0,4}}[\"'`]?)([^\s\"'`<>,;]{{5,}}[^\s\"'`<>,;.!?):])"
+RUN = rf"((?=[A-Za-z+/_\-]*+[0-9])(?=[0-9+/_\-]*+[A-Za-z])[{_KEY}]{{8,}}+={{0,2}}+)"
+LETTERS = rf"([A-Za-z]{{20,}}+(?![{_KEY}]))"
 ADDRESS = r"(://[^\s/:@\"'<>]{1,64}:)([^\s/@:\"'<>]{3,128}+)(?=@)"
 BLOCK = r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]{1,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----)"
-RUN = rf"((?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])(?=[0-9+/_\-]*+[A-Za-z])[{_KEY}]{{8,}}+={{0,2}}+)"
-LETTERS = rf"((?<![{_KEY}])[A-Za-z]{{20,}}+(?![{_KEY}]))"
-CANDIDATE = "|".join([ASSIGNED, ADDRESS, BLOCK, RUN, LETTERS])
-_MARKED = f"$1$3{EDGE}$2$4$5$6$7{EDGE}"
+CANDIDATE = rf"(?<![A-Za-z0-9_\-])(?:{ASSIGNED}|(?<![+/])(?:{RUN}|{LETTERS}))|{ADDRESS}|{BLOCK}"
+_MARKED = f"$1$5{EDGE}$2$3$4$6$7{EDGE}"
 
 #: Word lists of the features.
 KEY_WORDS = "token|secret|passwd|password|pwd|apikey|api_key|api-key|access_key|auth|bearer|credential|private|signing|client_key"
@@ -254,7 +258,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     and hash of the text; others pass. Null and empty texts pass.
     """
     some = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    likely = docs.filter(some).withColumn("__weftlab_version", F.xxhash64(text_col))
+    likely = materialise(docs.filter(some).withColumn("__weftlab_version", F.xxhash64(text_col)), "likely")
     doc = [F.col("doc_id").alias("__weftlab_id"), F.col("version").alias("__weftlab_of")]
     same = _scored(likely, model, id_col, text_col, threshold).groupBy(*doc, "candidate").agg(F.max("is_secret").alias("is_secret"), F.collect_set("nth").alias("nths"))
     each = same.select("__weftlab_id", "__weftlab_of", "is_secret", F.explode("nths").alias("nth"))
