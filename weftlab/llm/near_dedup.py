@@ -98,18 +98,27 @@ def _prune(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs that are linked on their full sets. docs: one row per representative (id, text)."""
+    """Pairs (a, b) that are linked on their full sets. docs: one row per representative (id, text).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (s, t) in enumerate(zip(shingle_sets(pdf["ta"].tolist(), size), shingle_sets(pdf["tb"].tolist(), size), strict=True)):
+    The pairs of one a are dealt in blocks of about BLOCK, so a popular a meets its partners in many tasks; each text comes once to a
+    block."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    dealt = materialise(pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).select("a", "part", "b"), "star-blocks")
+    first = dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"))
+    texts = dealt.withColumnRenamed("b", "id").union(first).join(docs, "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf["a"].iat[0]
+        pdf = pdf.drop_duplicates(["id", "text"])  # rows that share an id are one node, with each of their texts
+        whole, others = pdf.loc[pdf["id"] == a, "text"].tolist(), pdf[pdf["id"] != a]
+        keep = np.zeros(len(others), bool)
+        for s in shingle_sets(whole, size):
+            for i, t in enumerate(shingle_sets(others["text"].tolist(), size)):
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(s) + len(t) - both) and both > 0
-            yield pdf.loc[keep, ["a", "b"]]
+                keep[i] |= 100 * both >= percent * (len(s) + len(t) - both) and both > 0
+        return pd.DataFrame({"a": a, "b": others.loc[keep, "id"].unique()})
 
-    ta, tb = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
+    return texts.repartition("a", "part").groupBy("a", "part").applyInPandas(run, "a long, b long")
 
 
 def _blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
@@ -118,7 +127,8 @@ def _blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
     sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("k"))
     dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("k", "other")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("k", "other")
+    return dealt.repartition(*key, "i", "j")  # else the blocks of a key would stay in one task
 
 
 def _survivors(pdf: pd.DataFrame, need: dict[int, int], percent: int, component: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
