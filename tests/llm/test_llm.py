@@ -121,6 +121,34 @@ def test_embedding_near_duplicates_against_brute_force(spark):
     assert embed_dedup.near_duplicate_vectors(vectors(spark, [])).count() == 0
 
 
+def test_links_within_a_dense_third(spark):
+    rng = np.random.default_rng(9)
+    n, dim = 3000, 64
+    x = rng.standard_normal((n, dim))
+    axis = rng.standard_normal(dim)
+    axis /= np.linalg.norm(axis)
+    x[: n // 3] = axis * 3.0 + 1.0 * x[: n // 3] / np.sqrt(dim)  # mutual cosine about 0.9
+    for k in range(200):  # partners at cosine about 0.955 within the dense group
+        a = x[k] / np.linalg.norm(x[k])
+        away = x[n // 3 - 1 - k] / np.linalg.norm(x[n // 3 - 1 - k])
+        away = away - (away @ a) * a
+        x[300 + k] = 0.955 * a + math.sqrt(1 - 0.955**2) * away / np.linalg.norm(away)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")).collect()}
+    want = components(n, lambda a, b: near[a, b])
+    linked = [i for i in range(n) if near[i].any()]
+    assert len(linked) > 300
+    assert sum(got[i]["component_id"] == want[i] and got[i]["n_links"] == near[i].sum() for i in range(n)) >= n - 3
+
+
+def test_links_of_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicate_vectors(vectors(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 32)).astype(np.float32)

@@ -2,8 +2,11 @@
 
 Each pass gives every distinct vector a code of concatenated random hyperplane signs, orders all vectors lexicographically
 by it and compares each with the next `WINDOW` ones. Verified pairs of all passes are united into components. The number of passes follows
-from the number of vectors and the chosen miss probability of a pair at the threshold. Since a window cannot hold
+from the chosen miss probability of a pair at the threshold and from how crowded the vectors lie: a pair shares a window when enough signs
+agree to leave at most a window of others, and the number of others after b equal signs is measured on a bounded sample. Since a window cannot hold
 a large group, the links of each vector are then counted against its whole component, in blocks, so counts have no cap.
+
+Codes and ids alone are sorted; vectors meet them once, when the windows are compared.
 """
 
 from __future__ import annotations
@@ -17,47 +20,68 @@ from pyspark.sql import functions as F
 
 from weftlab.llm.vectors import prepared, stack, unit
 from weftlab.operators.components import connected_components
-from weftlab.session import materialise
+from weftlab.session import materialise, release
 
-WINDOW = 64
+WINDOW = 128
 BLOCK = 2048
 BITS = 62
 MISS = 1e-3
+#: Vectors whose neighbourhoods are measured to set the number of passes.
+SAMPLE = 2000
+
 
+def passes_for(n: int, threshold: float, miss: float = MISS, window: int = WINDOW, sample: np.ndarray | None = None) -> int:
+    """Passes after which a pair at the threshold is missed with probability `miss`.
 
-def passes_for(n: int, threshold: float, miss: float = MISS, window: int = WINDOW) -> int:
-    """Passes after which a pair at the threshold is missed with probability `miss`: two vectors at angle t agree on one
-    sign with probability 1 - t/pi, and share a window when their first log2(n / window) signs agree."""
+    Two vectors at angle t agree on one sign with probability 1 - t/pi. The pair shares a window once so many first signs agree that
+    at most `window` other vectors do: log2(n / window) signs if the vectors are spread evenly, more where they lie in a
+    crowd. sample: unit vectors by which crowds are measured; each stands for n / len(sample) vectors, those at or over the threshold left out, since
+    links to them chain. The most crowded one counts.
+    """
     bits = max(1.0, math.log2(max(n, 2) / window))
+    if sample is not None and len(sample) > 1:
+        bits = max(bits, _crowding(sample, n, threshold, window, bits))
     hit = (1 - math.acos(threshold) / math.pi) ** bits
     return max(1, math.ceil(math.log(miss) / math.log1p(-hit))) if hit < 1 else 1
 
 
+def _crowding(sample: np.ndarray, n: int, threshold: float, window: int, least: float) -> float:
+    """The number of signs that leaves at most `window` of n vectors beside the most crowded vector of the sample."""
+    most = least
+    for lo in range(0, len(sample), 256):
+        cos = np.clip(sample[lo : lo + 256] @ sample.T, -1, 1)
+        agree = np.where(cos >= threshold, 0.0, 1 - np.arccos(cos) / np.pi)
+        while most < BITS and ((agree**most).sum(axis=1) * (n / len(sample))).max() > window:
+            most += 0.5
+    return most
+
+
 def _planes(dim: int, k: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim, k]).standard_normal((dim, BITS))
 
 
-def _codes(reps: DataFrame, passes: int, seed: int) -> DataFrame:
-    """(pass, code) of every vector, one row per pass."""
+def _codes(reps: DataFrame, dim: int, passes: int, seed: int) -> DataFrame:
+    """(pass, code, id) of every vector, one row per pass."""
+    places = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
 
     def run(batches):
         for pdf in batches:
-            for dim, part in pdf.groupby("dim"):
-                x = unit(stack(part["vec"], int(dim)))
-                for k in range(passes):
-                    signs = x @ _planes(int(dim), k, seed) > 0
-                    code = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    yield pd.DataFrame({"pass": k, "code": code, "id": part["id"].to_numpy(), "dim": part["dim"].to_numpy(), "vec": part["vec"].to_numpy()})
+            x, ids = unit(stack(pdf["vec"], dim)), pdf["id"].to_numpy()
+            codes = [(x @ _planes(dim, k, seed) > 0) @ places for k in range(passes)]
+            if len(ids):
+                yield pd.DataFrame({"pass": np.repeat(np.arange(passes, dtype=np.int32), len(ids)), "code": np.concatenate(codes), "id": np.tile(ids, passes)})
 
-    return reps.mapInPandas(run, "pass int, code long, id long, dim int, vec array<double>")
+    return reps.select("id", "vec").mapInPandas(run, "pass int, code long, id long")
 
 
-def _window_links(reps: DataFrame, passes: int, threshold: float, seed: int) -> DataFrame:
+def _window_links(reps: DataFrame, dim: int, passes: int, threshold: float, seed: int) -> DataFrame:
     """Links that join up what is found within the windows: in each block every vector points to the smallest it reaches."""
     n = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["pass", "dim", "code", "id"]
-    dealt = _codes(reps, passes, seed).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = ["pass", "code", "id"]
+    codes = materialise(_codes(reps, dim, passes, seed), "codes")
+    dealt = codes.repartitionByRange(n, *order).sortWithinPartitions(*order).select("pass", "id")
     dealt = materialise(dealt.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    release(codes)
     part, local = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = dealt.groupBy(part.alias("part")).count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,13 +89,14 @@ def _window_links(reps: DataFrame, passes: int, threshold: float, seed: int) ->
     ranked = dealt.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + local)
     own = F.floor(F.col("rank") / BLOCK)
     halo = F.when((F.col("rank") % BLOCK < WINDOW) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    blocks = ranked.withColumn("block", F.explode(halo)).select("block", "rank", "pass", "dim", "id", "vec")
+    places = ranked.withColumn("block", F.explode(halo)).select("id", "block", "rank", "pass")
+    blocks = places.join(reps.select("id", "vec"), "id").select("block", "rank", "pass", "id", "vec")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, dim), part in pdf.groupby(["pass", "dim"]):
+        for _, part in pdf.groupby("pass"):
             part = part.sort_values("rank")
-            x, ids = unit(stack(part["vec"], int(dim))), part["id"].to_numpy()
+            x, ids = unit(stack(part["vec"], dim)), part["id"].to_numpy()
             low = np.arange(len(ids))
 
             def root(i: int, low: np.ndarray = low) -> int:
@@ -80,9 +105,11 @@ def _window_links(reps: DataFrame, passes: int, threshold: float, seed: int) ->
                     i = low[i]
                 return i
 
-            for k in range(1, min(WINDOW, len(ids) - 1) + 1):
-                for i in np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold):
-                    a, b = root(i), root(i + k)
+            for lo in range(0, len(ids), WINDOW):
+                near = x[lo : lo + WINDOW] @ x[lo : lo + 2 * WINDOW].T >= threshold
+                r, c = np.nonzero(near)
+                for i, j in zip(r[(c > r) & (c - r <= WINDOW)].tolist(), c[(c > r) & (c - r <= WINDOW)].tolist(), strict=True):
+                    a, b = root(lo + i), root(lo + j)
                     if a != b:
                         a, b = (a, b) if ids[a] < ids[b] else (b, a)
                         low[b] = a
@@ -100,7 +127,7 @@ def _count_links(grouped: DataFrame, threshold: float) -> DataFrame:
     sizes = grouped.groupBy("comp", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     dealt = grouped.join(sizes, ["comp", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).repartition("comp", "dim", "i", "j")  # else a component's blocks would stay in one task
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, own, copies = unit(stack(pdf["vec"], int(pdf["dim"].iat[0]))), pdf["own"].to_numpy(), pdf["copies"].to_numpy()
@@ -124,14 +151,24 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     never link. Rows that repeat an id count as vectors of their own under that id. An empty table gives an empty result.
     """
     rows = prepared(df, id_col, vec_col)
-    reps = materialise(rows.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
-    reps = reps.groupBy("id", "dim", "vec").agg(F.sum("copies").alias("copies"))
-    n = reps.count()
-    links = _window_links(reps.select("id", "dim", "vec"), passes_for(n, threshold, miss), threshold, seed)
-    comp = materialise(connected_components(links, "a", "b"), "vector-groups").toDF("id", "comp")
-    grouped = reps.join(comp, "id")
-    counted = _count_links(grouped, threshold)
-    known = reps.select("id", "vec", "copies").join(comp, "id", "left").join(counted, "id", "left")
+    once = rows.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    vectors = materialise(once.withColumn("key", F.monotonically_increasing_id()), "vectors")  # key: an id of its own for every distinct vector
+    links = None
+    for r in vectors.groupBy("dim").count().orderBy("dim").collect():  # one row per length of vectors
+        part = vectors.filter(F.col("dim") == r["dim"]).select(F.col("key").alias("id"), "vec")
+        sample = unit(stack(part.orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()["vec"], r["dim"]))
+        found = _window_links(part, r["dim"], passes_for(r["count"], threshold, miss, sample=sample), threshold, seed)
+        links = found if links is None else links.union(found)
+    if links is None:
+        links = vectors.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    links = materialise(links, "links")
+    named = vectors.select("key", "id")
+    pairs = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select("x", "y")
+    comp = materialise(connected_components(pairs, "x", "y"), "vector-groups").toDF("id", "comp")
+    linked = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+    grouped = vectors.join(linked, "key", "left_semi").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    counted = _count_links(grouped.select("comp", F.col("key").alias("id"), "dim", "vec", "copies"), threshold).withColumnRenamed("id", "key")
+    known = vectors.select("key", "id", "vec", "copies").join(comp, "id", "left").join(counted, "key", "left")
     known = known.select("vec", F.coalesce("n_links", F.col("copies") - 1).alias("n"), F.coalesce("comp", "id").alias("c"))
     all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     out = all_rows.join(known, "vec", "left")
