@@ -1,12 +1,18 @@
 """Hand-made frames: ties, empty inputs, rejections, flips, invariants of stochastic jobs."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weftlab.operators import bicluster, evaluate, modules, network, nulls, rankoverlap, sampler, sets
+from weftlab.functions.ordering import numbered
+from weftlab.functions.stats import hypergeom_tail
+from weftlab.operators import bicluster, evaluate, jobs, merge, modules, network, nulls, pairs, rankoverlap, sampler, sets
 from weftlab.operators.components import connected_components
+from weftlab.session import new_path
+from weftlab.sources import matrix
 
 
 def frame(spark, rows, schema):
@@ -118,3 +124,115 @@ def test_sampler_labels_follow_the_candidate_rule(spark, net):
     assert modules.module_sample_counts(last.select("eid", "module"), samples).groupBy("module").agg({"m": "max"}).agg({"max(m)": "sum"}).first()[0] == len(ids)
     again = sampler.sample_modules(edges.repartition(5), samples, 12, steps=2, blocks=2, seed=5)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+
+
+def test_hypergeometric_tail_against_whole_numbers(spark):
+    cases = [(x, k, m, n) for n in (1, 7, 64, 500) for k in {0, 1, n // 3, n} for m in {0, n // 2, n} for x in {-1, 0, 1, k * m // n, k * m // n + 3, min(k, m), min(k, m) + 1}]
+    for n in {c[3] for c in cases}:
+        rows = [(x, k, m) for x, k, m, size in cases if size == n]
+        got = frame(spark, rows, "x long, k long, m long")
+        for r in got.withColumn("p", hypergeom_tail(F.col("x"), F.col("k"), F.col("m"), n)).collect():
+            want = sum(math.comb(r["k"], i) * math.comb(n - r["k"], r["m"] - i) for i in range(max(0, r["x"]), min(r["k"], r["m"]) + 1)) / math.comb(n, r["m"])
+            assert math.isclose(r["p"], want, rel_tol=1e-9, abs_tol=1e-15), (r, want)
+
+
+def test_numbered_keeps_the_order(spark):
+    rows = [(i * 7 % 101, i) for i in range(101)]
+    got = {r["a"]: r["n"] for r in numbered(frame(spark, rows, "a int, b int"), ["a"], "n").collect()}
+    assert got == {i: i for i in range(101)}
+    assert numbered(frame(spark, [], "a int"), ["a"], "n").count() == 0
+
+
+def test_tool_results(spark):
+    def write(name, text):
+        path = new_path(spark, "tool")
+        frame(spark, [(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+        return f"{path}/*/part-*", path
+
+    flat = "Sample_id:1; Parameters:k=2; Runtime:1; Run:1\n2 2\n241 575\n191 179\n3 2\n1 2 3\n4 5\nSample_id:1; Parameters:k=2; Runtime:1; Run:3\n0 2\n\n7 8\n2 0\n5 6\n0 0\n2 3\n7 8\n1 2 3\n"
+    path, _ = write("flat", flat)
+    got = [(r["run"], r["id"], r["parameters"], r["genes"], r["samples"]) for r in matrix.read_tool_biclusters(spark, path, n_runs=4).orderBy("run", "id").collect()]
+    k = "k=2"
+    assert got == [
+        (1, 1, k, ["241", "575"], ["179", "191"]), (1, 2, k, ["1", "2", "3"], ["4", "5"]), (2, 0, None, [], []),
+        (3, 1, k, [], ["7", "8"]), (3, 2, k, ["5", "6"], []), (3, 3, k, [], []), (3, 4, k, ["7", "8"], ["1", "2", "3"]), (4, 0, None, [], []),
+    ]
+    path, root = write("x_2/Results_biclustering/a", "Bicluster 4\nNumber_of_Genes: 2\nNumber_of_Conditions: 1\nGene_names: a b\nCondition_names: s\n")
+    assert [(r["run"], r["id"], r["genes"], r["samples"]) for r in matrix.read_tool_biclusters(spark, root + "/x_2/Results_biclustering/a").collect()] == [(2, 4, ["a", "b"], ["s"])]
+    path, _ = write("m_5.own.biclusters.txt", "id:\t3\naverage SNR:\t0.75\ngenes:\ta b\nsamples:\ts t\n")
+    assert [(r["run"], r["id"], r["avgSNR"], r["genes"], r["samples"]) for r in matrix.read_tool_biclusters(spark, path).collect()] == [(5, 3, 0.75, ["a", "b"], ["s", "t"])]
+
+
+def planted(spark, blocks, n_genes, n_samples, seed=3):
+    """A matrix of noise with raised blocks (genes, samples)."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n_genes, n_samples))
+    for genes, samples in blocks:
+        x[np.ix_(genes, samples)] += 4.0
+    return frame(spark, [(g, s, float(x[g, s])) for g in range(n_genes) for s in range(n_samples)], "gene long, sample int, value double")
+
+
+def test_merging(spark):
+    inside = list(range(10))
+    m = planted(spark, [(list(range(6)), inside), (list(range(6, 9)), list(range(20, 30)))], 12, 40)
+    genes = frame(spark, [(i, g) for i, gs in ((1, (0, 1, 2)), (2, (3, 4, 5)), (3, (6, 7, 8)), (4, (1, 5))) for g in gs], "id int, gene long")
+    samples = frame(spark, [(i, s) for i, ss in ((1, inside), (2, inside), (3, range(20, 30)), (4, inside[:9])) for s in ss], "id int, sample int")
+    ways = lambda d: frame(spark, list(d.items()), "id int, direction string")
+
+    def merged(directions, **how):
+        b, g, s = merge.merge_biclusters(ways(directions), genes.filter(genes.id.isin(list(directions))), samples.filter(samples.id.isin(list(directions))), m, 40, how.pop("snr", 0.5), 5, **how)
+        of = lambda df, c: {i: sorted(r[c] for r in rows if r["id"] == i) for rows in [df.collect()] for i in {r["id"] for r in rows}}
+        return {r["id"]: r["direction"] for r in b.collect()}, of(g, "gene"), of(s, "sample")
+
+    for ids, exact in (((1, 2, 3, 4), False), ((1, 2, 3), True)):
+        got = merged(dict.fromkeys(ids, "UP"), exact=exact)
+        assert got == ({1: "UP", 3: "UP"}, {1: [0, 1, 2, 3, 4, 5], 3: [6, 7, 8]}, {1: inside, 3: list(range(20, 30))})
+    assert set(merged({1: "UP", 2: "UP"}, snr=50.0)[0]) == {1, 2}  # rejected for its SNR, and the rounds end
+    # opposite directions overlap where the second is complemented: here 1 and the complement of 5's samples
+    more = samples.union(frame(spark, [(5, s) for s in range(10, 40)], "id int, sample int"))
+    both = genes.union(frame(spark, [(5, g) for g in (3, 4, 5)], "id int, gene long"))
+    b, g, s = merge.merge_biclusters(ways({1: "UP", 5: "DOWN"}), both.filter("id in (1, 5)"), more.filter("id in (1, 5)"), m, 40, 0.5, 5, discordant=True)
+    assert [(r["id"], r["direction"]) for r in b.collect()] == [(1, "MIXED")] and sorted(r["sample"] for r in s.collect()) == inside
+    none = merge.merge_biclusters(ways({1: "UP"}).filter("false"), genes.filter("false"), samples.filter("false"), m, 40, 0.5)
+    assert none[0].count() == 0
+
+
+def test_pair_overlap_of_empty_sets(spark):
+    bics = frame(spark, [(1, "UP"), (2, "UP")], "id int, direction string")
+    rows = pairs.bicluster_pair_overlap(bics, frame(spark, [(1, 1)], "id int, sample int"), 10).collect()
+    assert [(r["shared"], r["p"], r["jac"]) for r in rows] == [(0, 1.0, 0.0)]
+
+
+def test_null_sets_grow_along_a_path_and_give_up(spark):
+    path = frame(spark, [(k, k + 1) for k in range(9)], "g1 long, g2 long")
+    for r in nulls.random_connected_subnets(path, [4], 50, seed=2).groupBy("walk").count().collect():
+        assert r["count"] == 4
+    assert nulls.random_connected_subnets(path, [20], 5).count() == 0
+    m = planted(spark, [], 10, 30)
+    rows = nulls.null_distribution(path, m, [3], 20).collect()
+    assert len(rows) == 20 and all(r["n_genes"] == 3 and 1 <= r["n_samples"] <= 15 and r["avgSNR"] > 0 for r in rows)
+
+
+def test_consensus_of_the_last_steps(spark):
+    rows = [(s, 1, 5 if s < 30 else 6) for s in range(40)]
+    history = frame(spark, rows, "step int, eid long, module long")
+    assert [(r["module"], r["share"]) for r in sampler.final_modules(history, True).collect()] == [(6, 10 / 15)]
+    assert [(r["module"], r["share"]) for r in sampler.final_modules(history, False).collect()] == [(6, 1.0)]
+
+
+def test_planted_biclusters_are_found(spark):
+    """Both jobs on a planted matrix: what is found matches the planted sets far better than random connected sets do."""
+    truth = [(list(range(8)), list(range(14))), (list(range(20, 28)), list(range(30, 45)))]
+    m = planted(spark, truth, 60, 60)
+    rng = random.Random(6)
+    edges = [(a, b) for genes, _ in truth for a in genes for b in genes if a < b and rng.random() < 0.5] + [(rng.randrange(60), rng.randrange(60)) for _ in range(60)]
+    net_ = frame(spark, edges, "g1 long, g2 long")
+    found = jobs.discover(net_, m, "UP", min_snr=0.5, blocks=4, averaged=2, points=2, needed=1, steps=7)
+    tg = frame(spark, [(i, g) for i, (gs, _) in enumerate(truth) for g in gs], "id int, gene long")
+    ts = frame(spark, [(i, s) for i, (_, ss) in enumerate(truth) for s in ss], "id int, sample int")
+    hit = [r["recovery"] for r in evaluate.recovery((found[1], found[2]), (tg, ts)).collect()]
+    assert len(hit) == 2 and min(hit) > 0.6
+    down = tuple(d.filter("false") for d in found)
+    report = jobs.significance(found, down, net_, m, 0.5, sets_per_size=200).collect()
+    assert report and min(r["p_val"] for r in report) <= 0.01
+    assert [r["id"] for r in sorted(report, key=lambda r: (r["n_genes"], -r["avgSNR"]))] == list(range(len(report)))

@@ -9,21 +9,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def log_factorials(n: int) -> Column:
-    """Literal array lf with lf[i] = ln(i!), i = 0..n. n is a number of samples or genes, so the array is small."""
-    return F.lit(np.array([math.lgamma(i + 1) for i in range(n + 1)]))
-
-
-def hypergeom_tail(x: Column, k: Column, m: Column, n: int, lf: Column | None = None) -> Column:
-    """P(X >= x) for X the overlap of sets of k and m out of n."""
-    lf = log_factorials(n) if lf is None else lf
-    x, k, m = x.cast("int"), k.cast("int"), m.cast("int")
-    at = lambda i: F.get(lf, i.cast("int"))
-    top, low = F.least(k, m), F.greatest(x, k + m - n)
-    base = at(k) + at(n - k) + at(m) + at(n - m) - F.get(lf, F.lit(n))
-    term = lambda i: F.exp(base - at(i) - at(k - i) - at(m - i) - at(n - k - m + i))
-    total = F.aggregate(F.sequence(low, F.greatest(low, top)), F.lit(0.0), lambda a, i: a + term(i))
-    return F.when(low > top, 0.0).otherwise(F.least(total, F.lit(1.0)))
+#: ln(i!) for the first i; beyond them Stirling's series has all digits of a double.
+_SMALL = [math.lgamma(i + 1) for i in range(16)]
+
+
+def log_factorial(i: Column) -> Column:
+    """ln(i!) of a whole number from 0, in closed form."""
+    x = i.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    return F.when(i < len(_SMALL), F.get(F.lit(np.array(_SMALL)), i.cast("int"))).otherwise(series)
+
+
+def hypergeom_tail(x: Column, k: Column, m: Column, n: int) -> Column:
+    """P(X >= x) for X the overlap of sets of k and m out of n.
+
+    Terms are summed away from the middle of the distribution, each from the one before, and only as many as count: over x from
+    there upwards, or below x, taken from 1. Null in, null out.
+    """
+    x, k, m = x.cast("long"), k.cast("long"), m.cast("long")
+    least, most = F.greatest(F.lit(0), k + m - n), F.least(k, m)
+    middle = F.floor((k + 1) * (m + 1) / F.lit(n + 2.0))
+    upper = x > middle
+    at = F.when(upper, x).otherwise(x - 1)  # the first term of the sum
+    lf = log_factorial
+    first = F.exp(lf(k) + lf(n - k) + lf(m) + lf(n - m) - lf(F.lit(n)) - lf(at) - lf(k - at) - lf(m - at) - lf(n - k - m + at))
+    spread = F.sqrt(k * m * (n - k) * (n - m) / (float(n) * n * max(1, n - 1)))
+    steps = F.least(F.when(upper, most - at).otherwise(at - least), (40 * spread + 60).cast("long"))
+
+    def grow(acc: Column, s: Column) -> Column:
+        up, down = at + s, at - s  # from up - 1 to up, from down + 1 to down
+        ratio = F.when(upper, (k - up + 1) * (m - up + 1) / (up * (n - k - m + up)).cast("double")).otherwise((down + 1) * (n - k - m + down + 1) / ((k - down) * (m - down)).cast("double"))
+        return F.struct((acc["t"] * ratio).alias("t"), (acc["s"] + acc["t"] * ratio).alias("s"))
+
+    start = F.struct(first.alias("t"), first.alias("s"))
+    total = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, grow)["s"]).otherwise(first)
+    p = F.when(upper, total).otherwise(1 - total)
+    return F.when(x.isNull() | k.isNull() | m.isNull(), F.lit(None).cast("double")).when(x <= least, 1.0).when(x > most, 0.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
 
 
 def tail_sql(x: str, k: str, m: str, n: str) -> str:

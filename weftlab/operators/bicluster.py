@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlab.functions.ordering import numbered
 from weftlab.functions.stats import snr
 from weftlab.operators.prepare import gene_power_sums
 
@@ -37,16 +38,15 @@ def two_means_split(members: DataFrame, m: DataFrame) -> DataFrame:
     A set's genes times samples are one group; sets are modules of a network, far smaller than the matrix.
     """
     rows = members.select("id", "gene").distinct().join(m, "gene").groupBy("id", "gene").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("profile"))
+    rows = rows.select("id", "gene", F.col("profile.sample").alias("samples"), F.transform("profile.value", lambda v: F.coalesce(v, F.lit(0.0))).alias("values"))
     kind = m.schema["sample"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gene")
-        names = sorted({p["sample"] for profile in pdf["profile"] for p in profile})
-        at = {s: i for i, s in enumerate(names)}
+        sizes = pdf["samples"].map(len).to_numpy()
+        names, at = np.unique(np.concatenate(pdf["samples"].to_numpy()), return_inverse=True)
         x = np.zeros((len(names), len(pdf)))
-        for j, profile in enumerate(pdf["profile"]):
-            for p in profile:
-                x[at[p["sample"]], j] = p["value"] if p["value"] is not None else 0.0
+        x[at, np.repeat(np.arange(len(pdf)), sizes)] = np.concatenate(pdf["values"].to_numpy())
         return pd.DataFrame({"id": pdf["id"].iat[0], "sample": names, "cluster": two_means(x)})
 
     return rows.groupBy("id").applyInPandas(run, f"id {members.schema['id'].dataType.simpleString()}, sample {kind}, cluster int")
@@ -145,8 +145,8 @@ def final_report(bics: DataFrame, members: DataFrame, samples: DataFrame) -> Dat
     """Fixed columns with sorted blank-joined names, ids from 0 by n_genes ascending, avgSNR descending, old id."""
     text = lambda df, c: df.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.col(c).cast("string"))), " ").alias(c + "s"), F.count("*").alias(f"n_{c}s"))
     rows = bics.join(text(members, "gene"), "id").join(text(samples, "sample"), "id")
-    w = Window.orderBy("n_genes", F.desc("avgSNR"), "id")
-    return rows.withColumn("id", F.row_number().over(w) - 1)
+    placed = numbered(rows, [F.asc("n_genes"), F.desc("avgSNR"), F.asc("id")], "__nth")
+    return placed.withColumn("id", F.col("__nth").cast("int")).drop("__nth")
 
 
 def bicluster_stats(values: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlab.functions.ordering import numbered
 from weftlab.functions.stats import bh_adjust, hypergeom_tail, jaccard
 from weftlab.operators.pairs import shared_counts
 
@@ -53,23 +54,25 @@ def _f1():
 
 
 def f1_per_prediction(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(i, f1): for each prediction the best F1 of cells over truths, 0 without a shared cell."""
     return _best(cell_overlaps(pred, truth), _ids(pred, "i"), "i", _f1(), "f1")
 
 
 def f1_per_truth(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(j, f1): for each truth the best F1 of cells over predictions, 0 without a shared cell."""
     return _best(cell_overlaps(pred, truth), _ids(truth, "j"), "j", _f1(), "f1")
 
 
 def benchmark_results(scores: DataFrame) -> DataFrame:
     """(params, size, run, relevance, recovery, n): means per cell of the whole grid of params, sizes and runs of scores; missing cells have zeros."""
-    grid = scores.agg(*[F.collect_set(c).alias(c) for c in ("params", "size", "run")])
-    for c in ("params", "size", "run"):
-        grid = grid.withColumn(c, F.explode(c))
+    cells = F.broadcast(scores.select("size").distinct().join(scores.select("run").distinct()))  # the sizes and runs of one benchmark
+    grid = scores.select("params").distinct().join(cells)
     got = scores.groupBy("params", "size", "run").agg(F.avg("relevance").alias("relevance"), F.avg("recovery").alias("recovery"), F.count("*").alias("n"))
     return grid.join(got, ["params", "size", "run"], "left").fillna(0, ["relevance", "recovery", "n"])
 
 
 def geometric_mean_score(results: DataFrame) -> DataFrame:
+    """results with score, the geometric mean of relevance and recovery; null where one is null."""
     return results.withColumn("score", F.sqrt(F.col("relevance") * F.col("recovery")))
 
 
@@ -171,9 +174,9 @@ def clinical_association(samples: DataFrame, labels: DataFrame, n: int, alpha: f
 
 def bh_filter(rows: DataFrame, p: str, value: str, order: list[str], alpha: float = 0.05, n_tests: int = 6, by_p: bool = False) -> DataFrame:
     """rows with threshold = rank * alpha / n_tests / n in row order (or by p), passed, and value NA where not passed."""
-    w = Window.orderBy(*([p] if by_p else []), *order)
-    n = F.broadcast(rows.agg(F.count("*").alias("__n")))
-    ranked = rows.join(n).withColumn("threshold", F.row_number().over(w) * alpha / n_tests / F.col("__n")).drop("__n").withColumn("passed", F.col(p) < F.col("threshold"))
+    placed = numbered(rows, [*([p] if by_p else []), *order], "__nth")
+    placed = placed.join(F.broadcast(placed.agg(F.count("*").alias("__n"))))
+    ranked = placed.withColumn("threshold", (F.col("__nth") + 1) * alpha / n_tests / F.col("__n")).drop("__n", "__nth").withColumn("passed", F.col(p) < F.col("threshold"))
     return ranked.withColumn(value, F.when(F.col("passed"), F.col(value)).otherwise("NA"))
 
 

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlab.operators import bicluster, pairs
-from weftlab.session import materialise
+from weftlab.session import materialise, release
 
 
-def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m: DataFrame, n: int, min_snr: float, min_n_samples: int = 8, alpha: float = 0.05, least_jaccard: float = 0.0, discordant: bool = False, exact: bool = False, max_rounds: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m: DataFrame, n: int, min_snr: float, min_n_samples: int = 8, alpha: float = 0.05, least_jaccard: float = 0.0, discordant: bool = False, exact: bool = False, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bics, members, samples) after merging significant pairs (p times the number of biclusters under alpha).
 
     Each round merges all pairs that are each other's best (lowest p, then highest J, then ids), which are disjoint; exact: the one best pair only.
     The union of the genes gets a new sample set in the first's direction, else, if directions differ, in the second's (discordant: MIXED,
     the smaller cluster); it replaces both when its avgSNR reaches min_snr, otherwise the pair is not tried again. The factor is fixed per round.
+    Rounds go on until no pair is left (every round takes a bicluster or a pair away); RuntimeError after max_rounds. An empty table stays empty.
     """
     spark = bics.sparkSession
     tried = spark.createDataFrame([], "i int, j int")
@@ -26,6 +27,7 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
         ends = found.select(F.col("i").alias("x"), "*").union(found.select(F.col("j").alias("x"), "*"))
         best = ends.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(*order))).filter("nth = 1").groupBy("i", "j").agg(F.count("*").alias("both"), F.first("p").alias("p"), F.first("jac").alias("jac")).filter("both = 2")
         best = materialise(best.orderBy(*order).limit(1) if exact else best, "chosen").select("i", "j")
+        release(found)
         if best.isEmpty():
             return bics, members, samples
         genes = best.join(members.withColumnRenamed("id", "i"), "i").select("i", "j", "gene").union(best.join(members.withColumnRenamed("id", "j"), "j").select("i", "j", "gene")).select(F.col("i").alias("id"), "gene").distinct()
@@ -44,13 +46,15 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
         gone = done.select(F.col("i").alias("id")).union(done.select(F.col("j").alias("id")))
         fresh = done.select(F.col("i").alias("id"))
         direction = first.join(got, "id", "left_semi").unionByName(second).join(fresh, "id", "left_semi").dropDuplicates(["id"])
+        was = bics, members, samples, tried
         bics = materialise(bics.join(gone, "id", "left_anti").unionByName(direction), "bics")
         members = materialise(members.join(gone, "id", "left_anti").unionByName(genes.join(fresh, "id", "left_semi")), "genes")
         samples = materialise(samples.join(gone, "id", "left_anti").unionByName(new.join(fresh, "id", "left_semi")), "samples")
         stale = gone.select(F.col("id").alias("x"))
         tried = tried.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select("i", "j")
         tried = materialise(tried.union(failed.select("i", "j")), "tried")
-    return bics, members, samples
+        release(*was)
+    raise RuntimeError(f"merging did not end in {max_rounds} rounds")
 
 
 def unite_up_down(up: tuple[DataFrame, DataFrame, DataFrame], down: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from weftlab.operators.network import incidence
 
 
 def random_connected_subnets(edges: DataFrame, sizes: list[int], n: int, seed: int = 1, max_restarts: int = 10) -> DataFrame:
-    """(size, walk, gene): n random connected gene sets of each size, by walks with restarts; walks that give up leave no rows.
+    """(size, walk, gene): n random connected gene sets of each size; those that give up after max_restarts starts leave no rows.
 
     Walks are dealt over tasks, each with its own generator. The adjacency is broadcast: a gene network has some ten thousand genes, whose number
     does not grow with the samples; above a million edges the call is refused.
@@ -29,15 +29,20 @@ def random_connected_subnets(edges: DataFrame, sizes: list[int], n: int, seed: i
     kind = edges.schema["g1"].dataType.simpleString()
 
     def walk(size: int, rng: random.Random) -> set:
+        """Grow from the last gene to one of its unseen neighbours, else from a member that has several, else start anew."""
         nbrs, genes = shared.value, sorted(shared.value)
         for _ in range(max_restarts):
             at = rng.choice(genes)
             seen = {at}
-            for _ in range(20 * size):
-                if len(seen) == size:
-                    return seen
-                at = rng.choice(nbrs[at])
-                seen.add(at)
+            while len(seen) < size:
+                fresh = [x for x in nbrs[at] if x not in seen]
+                if fresh:
+                    at = rng.choice(fresh)
+                    seen.add(at)
+                elif roots := [g for g in sorted(seen) if sum(x not in seen for x in nbrs[g]) > 1]:
+                    at = rng.choice(roots)
+                else:
+                    break
             if len(seen) == size:
                 return seen
         return set()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlab.functions.ordering import numbered
+
 
 def bad_value_census(m: DataFrame) -> DataFrame:
     """One row: counts and percentages of NaN, infinite and zero cells, and the dimensions. Null counts as NaN."""
@@ -36,6 +38,7 @@ def drop_duplicate_profiles(m: DataFrame) -> DataFrame:
 
 
 def log2_transform(m: DataFrame) -> DataFrame:
+    """log2(value + 1); null stays null, values under -1 become NaN or null as Spark's log2 gives."""
     return m.withColumn("value", F.log2(F.col("value") + 1))
 
 
@@ -51,9 +54,9 @@ def duplicate_gene_check(names: DataFrame, col: str = "gene") -> DataFrame:
 
 
 def assign_ids(names: DataFrame, col: str, out: str) -> DataFrame:
-    """(col, out): dense ids from 0 in name order. The name list is one column of distinct names."""
+    """(col, out): dense ids from 0 in name order. Null names are left out, repeated ones count once."""
     distinct = names.select(col).distinct().filter(F.col(col).isNotNull())
-    return distinct.withColumn(out, F.row_number().over(Window.orderBy(col)) - 1)
+    return numbered(distinct, [col], out).withColumn(out, F.col(out).cast("int"))
 
 
 def map_back(ids: DataFrame, key: str, named: DataFrame) -> DataFrame:
@@ -67,6 +70,7 @@ def gene_power_sums(m: DataFrame) -> DataFrame:
 
 
 def filter_by_snr(bics: DataFrame, least: float) -> DataFrame:
+    """Rows with avgSNR of at least `least`; a null avgSNR goes."""
     return bics.filter(F.col("avgSNR") >= least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlab.functions.stats import hypergeom_tail, log_factorials, snr
+from weftlab.functions.stats import hypergeom_tail, snr
 from weftlab.operators.network import drop_small_components
 from weftlab.operators.prepare import gene_power_sums
 from weftlab.session import materialise
@@ -25,11 +25,10 @@ def cutoffs(n: int, step: int) -> list[int]:
 def overlap_thresholds(spark, n: int, step: int, p: float) -> DataFrame:
     """(tu, tw, min_overlap): the smallest overlap from which on every overlap up to min(tu, tw) has a right tail below p; n if none.
     The grid has (n / 2 / step) squared cells, whatever the data."""
-    lf = log_factorials(n)
     grid = cutoffs(n, step)
     one = spark.createDataFrame([(t,) for t in grid], "tu int")
     cells = one.withColumn("tw", F.explode(F.lit(grid))).withColumn("x", F.explode(F.sequence(F.lit(0), F.least("tu", "tw"))))
-    tail = cells.withColumn("ok", hypergeom_tail(F.col("x"), F.col("tu"), F.col("tw"), n, lf) < p)
+    tail = cells.withColumn("ok", hypergeom_tail(F.col("x"), F.col("tu"), F.col("tw"), n) < p)
     down = Window.partitionBy("tu", "tw").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
     run = tail.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(down) == 1)
     return run.groupBy("tu", "tw").agg(F.coalesce(F.min(F.when(F.col("all_ok"), F.col("x"))), F.lit(n)).cast("int").alias("min_overlap"))
@@ -53,14 +52,24 @@ def top_overlap_test(edges: DataFrame, ranked: DataFrame, n: int, tu: int, tw: i
     return out.withColumn("p", hypergeom_tail(F.col("overlap"), F.lit(tu), F.lit(tw), n)).withColumn("enrichment", F.col("overlap") / (tu * tw / n))
 
 
-def overlap_grid(edges: DataFrame, ranked: DataFrame, n: int, step: int) -> DataFrame:
+def overlap_grid(edges: DataFrame, ranked: DataFrame, n: int, step: int, least: int | None = None) -> DataFrame:
     """(g1, g2, c1, c2, tu, tw, n, s1, ss1, s2, ss2): samples in each corner top-tu x top-tw, and the sums of both ends' values there.
-    c counts cells inwards from the widest cut-off; corners of the whole grid are present for edges with any sample."""
+    c counts cells inwards from the widest cut-off; corners of the whole grid are present for edges with any sample.
+
+    least: only corners up to the first diagonal that surely holds one with at most so many samples, which is where the walk of
+    best_corner ends: on one of its two ends. The samples of an edge, an array of numbers of cells, tell where.
+    """
     mid, k = n // 2, len(cutoffs(n, step))
     cell = lambda r: F.least(F.floor((F.lit(mid) - F.col(r) - 1) / step), F.lit(k - 1)).cast("int")
     low = edge_profiles(edges, ranked, mid).select("g1", "g2", cell("r1").alias("c1"), cell("r2").alias("c2"), "v1", "v2")
+    if least is None:
+        ends = low.select("g1", "g2").distinct().withColumn("end", F.lit(k - 1))
+    else:
+        nth = lambda c: F.coalesce(F.get(F.sort_array(F.collect_list(c), asc=False), F.lit(least)) + 1, F.lit(0))
+        ends = low.groupBy("g1", "g2").agg(F.least(nth("c1"), nth("c2"), F.lit(k - 1)).alias("end"))
+        low = low.join(ends, ["g1", "g2"]).withColumns({c: F.least(c, "end") for c in ("c1", "c2")})
     sums = low.groupBy("g1", "g2", "c1", "c2").agg(F.count("*").alias("n"), F.sum("v1").alias("s1"), F.sum(F.col("v1") * F.col("v1")).alias("ss1"), F.sum("v2").alias("s2"), F.sum(F.col("v2") * F.col("v2")).alias("ss2"))
-    dense = low.select("g1", "g2").distinct().withColumn("c1", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("c2", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    dense = ends.withColumn("c1", F.explode(F.sequence(F.lit(0), "end"))).withColumn("c2", F.explode(F.sequence(F.lit(0), "end"))).drop("end")
     full = dense.join(sums, ["g1", "g2", "c1", "c2"], "left")
     cols = ["n", "s1", "ss1", "s2", "ss2"]
     along = Window.partitionBy("g1", "g2", "c2").orderBy("c1").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -72,7 +81,7 @@ def overlap_grid(edges: DataFrame, ranked: DataFrame, n: int, step: int) -> Data
 
 def corner_snr(grid: DataFrame, sums: DataFrame) -> DataFrame:
     """grid with snr, the mean over both ends. sums: gene_power_sums."""
-    of = lambda g, i: F.broadcast(sums.select(F.col("gene").alias(g), F.col("n").alias(f"t{i}"), F.col("s").alias(f"ts{i}"), F.col("ss").alias(f"tss{i}")))
+    of = lambda g, i: sums.select(F.col("gene").alias(g), F.col("n").alias(f"t{i}"), F.col("s").alias(f"ts{i}"), F.col("ss").alias(f"tss{i}"))
     both = grid.join(of("g1", 1), "g1").join(of("g2", 2), "g2")
     side = lambda i: snr(F.col("n"), F.col(f"s{i}"), F.col(f"ss{i}"), F.col(f"t{i}"), F.col(f"ts{i}"), F.col(f"tss{i}"))
     return both.withColumn("snr", (side(1) + side(2)) / 2).drop("t1", "ts1", "tss1", "t2", "ts2", "tss2")
@@ -108,7 +117,7 @@ def assign_samples_to_edges(edges: DataFrame, m: DataFrame, direction: str = "UP
     step = max(1, n // 100)
     least = min_n_samples if min_n_samples is not None else max(10, int(0.05 * n))
     ranked = rank_samples(m, direction)
-    grid = corner_snr(overlap_grid(edges, ranked, n, step), gene_power_sums(m))
+    grid = corner_snr(overlap_grid(edges, ranked, n, step, least), gene_power_sums(m))
     best = best_corner(grid, overlap_thresholds(m.sparkSession, n, step, p), least, min_snr).filter(F.col("n") >= least)
     rows = materialise(samples_of_corner(materialise(best, "best-corners"), edges, ranked, n), "edge-samples")
     kept = drop_small_components(rows.select("g1", "g2").distinct(), k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlab.operators import modules
-from weftlab.session import materialise
+from weftlab.session import materialise, release
 
 
 def draw(probs: DataFrame, seed: int, step: int, block: int) -> DataFrame:
@@ -17,12 +17,13 @@ def draw(probs: DataFrame, seed: int, step: int, block: int) -> DataFrame:
     return hit.groupBy("eid").agg(F.min_by("module", "cum").alias("module"))
 
 
-def sample_modules(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200, blocks: int = 4, averaged: int = 20, needed: int = 5, tol: float = 0.1, seed: int = 1) -> DataFrame:
-    """history (step, eid, module) of a block Gibbs sampler, from every edge alone to convergence or `steps`.
+def run_sampler(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200, blocks: int = 4, averaged: int = 20, needed: int = 5, tol: float = 0.1, seed: int = 1, points: int = 10) -> tuple[DataFrame, bool]:
+    """(history, converged): history (step, eid, module) of a block Gibbs sampler, from every edge alone to convergence or `steps`.
 
     In a step the edges draw block by block (block by hash of the edge); counts are taken anew before each block. The state is written
     after each block, so lineage stays short and a lost executor costs one block. blocks = number of edges is the strictly
-    sequential sampler. Converged: needed steps in a row with flat transition and log-likelihood series.
+    sequential sampler. Converged: `needed` steps in a row with flat series, over the last `points` steps, of the change of the transition
+    tables over `averaged` steps and of the log-likelihood. Without edges the history is empty.
     """
     state = materialise(modules.initial_state(edges, samples, n).select("eid", "module"), "state")
     history, tables, series, flat = [], None, [], 0
@@ -33,21 +34,33 @@ def sample_modules(edges: DataFrame, samples: DataFrame, n: int, steps: int = 20
             offers = modules.edge_candidate_modules(edges, state).join(turn.select("eid"), "eid", "left_semi")
             logp = materialise(modules.edge_module_loglik(offers, state, samples, n), "logp")
             drawn = draw(modules.move_probabilities(logp), seed, step, b)
-            state = materialise(state.join(drawn.withColumnRenamed("module", "new"), "eid", "left").select("eid", F.coalesce("new", "module").alias("module")), "state")
+            was, state = state, materialise(state.join(drawn.withColumnRenamed("module", "new"), "eid", "left").select("eid", F.coalesce("new", "module").alias("module")), "state")
             total += logp.join(state, ["eid", "module"]).agg(F.sum("lp")).first()[0] or 0.0
+            release(logp, was if b else None)  # states at the end of a step stay: they are the history
         history.append(state.select(F.lit(step).alias("step"), "eid", "module"))
         if step >= averaged:
-            window = _union(history[step - averaged : step])
-            now = materialise(modules.edge_transitions(window), "transitions")
+            now = materialise(modules.edge_transitions(_union(history[step - averaged : step])), "transitions")
             if tables is not None:
                 series.append((step, modules.transition_rmsd(tables, now).first()[0], total))
+            release(tables)
             tables = now
-        if len(series) >= 10:
-            done = modules.convergence_check(edges.sparkSession.createDataFrame(series, "step int, x1 double, x2 double"), tol=tol).first()["converged"]
+        if len(series) >= points:
+            done = modules.convergence_check(edges.sparkSession.createDataFrame(series, "step int, x1 double, x2 double"), last=points, tol=tol).first()["converged"]
             flat = flat + 1 if done else 0
             if flat >= needed:
-                break
-    return _union(history)
+                return _union(history), True
+    return _union(history), False
+
+
+def sample_modules(edges: DataFrame, samples: DataFrame, n: int, **how) -> DataFrame:
+    """The history of run_sampler."""
+    return run_sampler(edges, samples, n, **how)[0]
+
+
+def final_modules(history: DataFrame, converged: bool, needed: int = 5, points: int = 10) -> DataFrame:
+    """consensus_modules over the last steps: points + needed of them if the sampler has converged, else `needed`."""
+    last = history.agg(F.max("step")).first()[0]
+    return modules.consensus_modules(history.filter(F.col("step") > (last or 0) - (points + needed if converged else needed)))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

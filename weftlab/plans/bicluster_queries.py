@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlab.functions.stats import tail_sql
-from weftlab.operators import bicluster, merge, modules, network, nulls, pairs, prepare, rankoverlap, sampler, sets
+from weftlab.operators import bicluster, jobs, merge, modules, network, nulls, pairs, prepare, rankoverlap, sampler, sets
 from weftlab.plans import fixtures as fx
 from weftlab.session import materialise, table
 
@@ -109,7 +109,7 @@ best AS (SELECT g1, g2, tu, tw, n, snr FROM (SELECT *, row_number() OVER (PARTIT
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.exprs(spark, sf_dir)
-    grid = rankoverlap.corner_snr(rankoverlap.overlap_grid(_edges(spark, sf_dir), rankoverlap.rank_samples(m), N, 1), prepare.gene_power_sums(m))
+    grid = rankoverlap.corner_snr(rankoverlap.overlap_grid(_edges(spark, sf_dir), rankoverlap.rank_samples(m), N, 1, 10), prepare.gene_power_sums(m))
     return rankoverlap.best_corner(grid, rankoverlap.overlap_thresholds(spark, N, 1, 0.01), 10, 0.2)
 
 
@@ -167,21 +167,33 @@ def _bics(genes: DataFrame) -> DataFrame:
     return fx.directions(genes.select("id").distinct())
 
 
-PAIRS = f"""{SETS}, sz AS (SELECT id, {fx.DIRECTION} AS d, count(*) AS n FROM sa GROUP BY id),
+#: As SETS, with twins: biclusters whose ids leave one remainder by 12 hold the same samples, so they overlap significantly.
+TWINS = f"{fx.bic_genes_sql('ga')}, {fx.bic_samples_sql('sa', 'ga', twin=12)}"
+
+
+def _twins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fx.bic_genes(spark, sf_dir), fx.bic_samples(spark, sf_dir, twin=12)
+
+
+def _pairs_sql(sets_: str) -> str:
+    return f"""{sets_}, sz AS (SELECT id, {fx.DIRECTION} AS d, count(*) AS n FROM sa GROUP BY id),
 pr AS (SELECT x.id AS i, y.id AS j, x.n AS n1, CASE WHEN x.d = y.d THEN y.n ELSE {N} - y.n END AS n2, (SELECT count(*) FROM sa p JOIN sa q ON p.sample = q.sample WHERE p.id = x.id AND q.id = y.id) AS it, x.d = y.d AS same FROM sz x JOIN sz y ON x.id < y.id),
 pv AS (SELECT i, j, n1, n2, CASE WHEN same THEN it ELSE n1 - it END AS shared FROM pr),
 pp AS (SELECT i, j, shared, n1 - shared AS only_1, n2 - shared AS only_2, {tail_sql('shared', 'n1', 'n2', str(N))} AS p, shared / (n1 + n2 - shared) AS jac FROM pv)"""
 
 
+PAIRS = _pairs_sql(SETS)
+
+
 @query(f"WITH {PAIRS} SELECT i, j, shared, only_1, only_2, round(p, 6) AS p, round(jac, 6) AS jac FROM pp")
 def bicluster_pair_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes, samples = _set_a(spark, sf_dir)
     return rounded(pairs.bicluster_pair_overlap(_bics(genes), samples, N), "p", "jac")
 
 
-@query(f"WITH {PAIRS} SELECT i, j, shared, round(p, 6) AS p FROM pp WHERE p * (SELECT count(*) FROM sz) < 0.05")
+@query(f"WITH {_pairs_sql(TWINS)} SELECT i, j, shared, round(p, 6) AS p FROM pp WHERE p * (SELECT count(*) FROM sz) < 0.05")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genes, samples = _set_a(spark, sf_dir)
+    genes, samples = _twins(spark, sf_dir)
     found = pairs.bicluster_pair_overlap(_bics(genes), samples, N)
     return rounded(pairs.merge_candidates(found, 25).select("i", "j", "shared", "p"), "p")
 
@@ -239,10 +251,14 @@ def move_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.move_probabilities(rows).select("eid", "module", F.round("p", 5).alias("p"))
 
 
+#: A step takes seconds of set-up whatever the data, so the queries watch fewer steps than the defaults (20, 10 and 5 of at most 200).
+SAMPLING = {"blocks": 2, "averaged": 2, "points": 2, "needed": 1, "steps": 6}
+
+
 @query()
 def sample_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, samples, _ = _tops(spark, sf_dir)
-    return sampler.sample_modules(materialise(edges, "edges"), materialise(samples.select("eid", "sample"), "samples"), N, steps=2, blocks=2)
+    return sampler.sample_modules(materialise(edges, "edges"), materialise(samples.select("eid", "sample"), "samples"), N, **SAMPLING)
 
 
 HIST = "hist AS (SELECT l_orderkey AS eid, l_linenumber AS step, min(l_suppkey) % 3 AS module FROM lineitem GROUP BY 1, 2)"
@@ -350,19 +366,19 @@ def modules_to_biclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    genes, samples = _set_a(spark, sf_dir)
-    bics, members, samples = merge.merge_biclusters(_bics(genes), genes, samples, fx.exprs(spark, sf_dir), N, 0.2, **how)
+    genes, samples = _twins(spark, sf_dir)
+    bics, members, samples = merge.merge_biclusters(_bics(genes), genes, samples, fx.exprs(spark, sf_dir), N, 0.15, **how)
     return bics.join(members.groupBy("id").agg(F.count("*").alias("n_genes")), "id").join(samples.groupBy("id").agg(F.count("*").alias("n_samples")), "id")
 
 
 @query()
 def merge_biclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, max_rounds=2)
+    return _merged(spark, sf_dir)
 
 
 @query()
 def merge_discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, discordant=True, max_rounds=2)
+    return _merged(spark, sf_dir, discordant=True)
 
 
 @query(f"WITH {SETS}, o AS (SELECT max(id) + 1 AS off FROM ga) SELECT id, direction, n_genes FROM (SELECT id, {fx.DIRECTION} AS direction, count(*) AS n_genes FROM ga GROUP BY 1, 2) UNION ALL SELECT CAST(id + off AS INTEGER), {fx.DIRECTION}, count(*) FROM gb, o GROUP BY ALL")
@@ -389,14 +405,19 @@ def sizes_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bicluster.sizes_census(_set_a(spark, sf_dir)[0])
 
 
+def _gene_set_sizes(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The sizes of the biclusters' gene sets."""
+    return [r["n_genes"] for r in bicluster.sizes_census(_set_a(spark, sf_dir)[0]).select("n_genes").orderBy("n_genes").collect()]
+
+
 @query()
 def random_connected_subnets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nulls.random_connected_subnets(_edges(spark, sf_dir), [4, 8], 50)
+    return nulls.random_connected_subnets(_edges(spark, sf_dir), _gene_set_sizes(spark, sf_dir), 1000)
 
 
 @query()
 def null_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nulls.null_distribution(_edges(spark, sf_dir), fx.exprs(spark, sf_dir), [4, 8], 50)
+    return nulls.null_distribution(_edges(spark, sf_dir), fx.exprs(spark, sf_dir), _gene_set_sizes(spark, sf_dir), 1000)
 
 
 @query("WITH b AS (SELECT c_custkey AS id, c_nationkey AS n_genes, c_custkey % 50 AS n_samples, CAST(c_acctbal AS DOUBLE) AS avgSNR FROM customer), z AS (SELECT s_nationkey AS n_genes, s_suppkey % 50 AS n_samples, CAST(s_acctbal AS DOUBLE) AS avgSNR FROM supplier) SELECT b.id, round((count(*) FILTER (z.n_samples >= b.n_samples AND z.avgSNR >= b.avgSNR) + 1) / (count(z.n_genes) + 1.0), 6) AS p_val, count(*) FILTER (z.n_samples >= b.n_samples) AS n_not_less_samples, count(*) FILTER (z.n_samples >= b.n_samples AND z.avgSNR >= b.avgSNR) AS \"n_higher_SNR\" FROM b LEFT JOIN z USING (n_genes) GROUP BY b.id")
@@ -415,3 +436,19 @@ def final_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BIC_SNR} SELECT CAST(CASE WHEN avgSNR >= 0.5 THEN 26 ELSE floor(avgSNR / 0.5 * 25) + 1 END AS BIGINT) AS bin, count(*) AS n FROM scores WHERE avgSNR IS NOT NULL GROUP BY 1")
 def bicluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bicluster.bicluster_stats(bicluster.bicluster_snr(*_set_a(spark, sf_dir), fx.exprs(spark, sf_dir)), "avgSNR", 25, 0, 0.5)
+
+
+# the two jobs
+
+
+@query()
+def discover_biclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bics, members, samples = jobs.discover(fx.vector_edges(spark, sf_dir), fx.exprs(spark, sf_dir), "UP", p=0.2, min_snr=0.1, min_n_samples=8, **SAMPLING)
+    return bicluster.final_report(bics.select("id", "direction", "avgSNR"), members, samples)
+
+
+@query()
+def significance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda sets_, way: (sets_[0].select("id").distinct().withColumn("direction", F.lit(way)), *sets_)
+    up, down = side(_twins(spark, sf_dir), "UP"), side(_set_b(spark, sf_dir), "DOWN")
+    return rounded(jobs.significance(up, down, fx.vector_edges(spark, sf_dir), fx.exprs(spark, sf_dir), 0.15, 8), "avgSNR", "p_val")

@@ -66,15 +66,15 @@ def bic_genes_sql(name: str, k: int = 25, shift: int = 0) -> str:
     return f"{name} AS (SELECT DISTINCT CAST(unnest([(vec_id + {shift}) % {k}, ((vec_id + {shift}) // 2) % {k}]) AS INTEGER) AS id, vec_id AS gene FROM embeddings)"
 
 
-def bic_samples(spark: SparkSession, sf_dir: str, k: int = 25, shift: int = 0) -> DataFrame:
-    """(id, sample): samples whose product rule with the id is small."""
+def bic_samples(spark: SparkSession, sf_dir: str, k: int = 25, shift: int = 0, twin: int | None = None) -> DataFrame:
+    """(id, sample): samples whose product rule with the id is small; twin: ids with one remainder by it have one set."""
     ids = bic_genes(spark, sf_dir, k, shift).select("id").distinct()
     s = F.explode(F.sequence(F.lit(0), F.lit(N - 1)))
-    return ids.withColumn("sample", s).filter(f"(sample * (id + 3) + {shift}) % 17 < 6")
+    return ids.withColumn("sample", s).filter(f"(sample * (id{f' % {twin}' if twin else ''} + 3) + {shift}) % 17 < 6")
 
 
-def bic_samples_sql(name: str, genes: str, shift: int = 0) -> str:
-    return f"{name} AS (SELECT id, CAST(sample AS INTEGER) AS sample FROM (SELECT id, unnest(range(0, {N})) AS sample FROM (SELECT DISTINCT id FROM {genes})) WHERE (sample * (id + 3) + {shift}) % 17 < 6)"
+def bic_samples_sql(name: str, genes: str, shift: int = 0, twin: int | None = None) -> str:
+    return f"{name} AS (SELECT id, CAST(sample AS INTEGER) AS sample FROM (SELECT id, unnest(range(0, {N})) AS sample FROM (SELECT DISTINCT id FROM {genes})) WHERE (sample * (id{f' % {twin}' if twin else ''} + 3) + {shift}) % 17 < 6)"
 
 
 def directions(ids: DataFrame) -> DataFrame:

@@ -118,16 +118,19 @@ def read_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", F.array_join("genes", " ").alias("genes"), F.array_join("samples", " ").alias("samples"))
 
 
-@query(f"WITH {BICS} SELECT kind, CAST(CASE WHEN kind = 'flat' THEN 3 ELSE 0 END AS INTEGER) AS run, array_to_string(genes, ' ') AS genes, array_to_string(samples, ' ') AS samples FROM bics, (VALUES ('flat'), ('keyed')) v(kind)")
+@query(f"WITH {BICS} SELECT kind, CAST(CASE kind WHEN 'flat' THEN 3 WHEN 'own' THEN 7 ELSE 0 END AS INTEGER) AS run, CASE WHEN kind = 'flat' THEN 'a' END AS parameters, array_to_string(genes, ' ') AS genes, array_to_string(CASE WHEN kind = 'flat' THEN samples[1:2] ELSE samples END, ' ') AS samples FROM bics, (VALUES ('flat'), ('keyed'), ('own')) v(kind)")
 def read_tool_biclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tools")
     b = _bics(spark, sf_dir).withColumn("g", F.array_join("genes", " ")).withColumn("s", F.array_join("samples", " "))
-    flat = F.concat(F.array_join(F.array("n_genes", "n_samples"), " "), F.lit("\n"), "g", F.lit("\n"), "s")
+    two = F.slice("samples", 1, 2)  # records of two numeric names look like lines of sizes
+    flat = F.concat_ws("\n", F.concat_ws(" ", F.col("n_genes").cast("string"), F.size(two).cast("string")), F.when(F.col("g") != "", F.col("g")), F.when(F.size(two) > 0, F.array_join(two, " ")))
+    own = F.concat(F.lit("id:\t"), "id", F.lit("\naverage SNR:\t0.5\ngenes:\t"), "g", F.lit("\nsamples:\t"), "s")
     keyed = F.concat(F.lit("Bicluster "), "id", F.lit("\nNumber_of_Genes: "), "n_genes", F.lit("\nNumber_of_Conditions: "), "n_samples", F.lit("\nGene_names: "), "g", F.lit("\nCondition_names: "), "s")
     b.groupBy().agg(F.concat(F.lit("Sample_id:1; Parameters:a; Runtime:1; Run:3\n"), F.array_join(F.collect_list(flat), "\n"))).write.text(path + "/flat")
     b.groupBy().agg(F.array_join(F.collect_list(keyed), "\n")).write.text(path + "/keyed")
-    got = matrix.read_tool_biclusters(spark, path + "/*/*")
-    return got.select(F.regexp_extract("file", "/(flat|keyed)/", 1).alias("kind"), "run", F.array_join("genes", " ").alias("genes"), F.array_join("samples", " ").alias("samples"))
+    b.groupBy().agg(F.array_join(F.collect_list(own), "\n")).write.text(path + "/own_7.a.biclusters.txt")
+    got = matrix.read_tool_biclusters(spark, path + "/*/part-*")
+    return got.select(F.regexp_extract("file", "/(flat|keyed|own)[^/]*/", 1).alias("kind"), "run", "parameters", F.array_join("genes", " ").alias("genes"), F.array_join("samples", " ").alias("samples"))
 
 
 @query("SELECT DISTINCT p_brand AS set_name, CAST(p_partkey AS VARCHAR) AS gene FROM part WHERE p_size > 10")
@@ -145,10 +148,10 @@ def read_clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.read_clinical(spark, path)
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS gene, unnest(['0', '1', '2']) AS sample, round(CAST(unnest(embedding[1:3]) AS DOUBLE), 6) AS value FROM embeddings")
+@query("SELECT CAST(vec_id AS VARCHAR) AS gene, CAST(generate_subscripts(embedding, 1) - 1 AS VARCHAR) AS sample, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
 def write_harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "harmonised")
-    matrix.write_harmonised(fx.exprs(spark, sf_dir), path, [0, 1, 2])
+    matrix.write_harmonised(fx.exprs(spark, sf_dir), path, list(range(fx.N)))
     return matrix.read_expression(spark, path).withColumn("value", R6("value"))
 
 

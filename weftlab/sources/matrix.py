@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlab.functions.ordering import numbered
+
 #: A bicluster table as written to text.
 BICLUSTERS = "id int, avgSNR double, n_genes int, n_samples int, direction string, genes array<string>, samples array<string>"
 
@@ -45,9 +51,9 @@ def read_cx_network(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bicluster_order(bics: DataFrame) -> DataFrame:
-    """bics with ids 0.. by avgSNR, n_genes, n_samples, all descending, then the old id. A table of biclusters is small."""
-    w = Window.orderBy(F.desc("avgSNR"), F.desc("n_genes"), F.desc("n_samples"), "id")
-    return bics.withColumn("id", F.row_number().over(w) - 1)
+    """bics with ids 0.. by avgSNR, n_genes, n_samples, all descending, then the old id."""
+    placed = numbered(bics, [F.desc("avgSNR"), F.desc("n_genes"), F.desc("n_samples"), F.asc("id")], "__nth")
+    return placed.withColumn("id", F.col("__nth").cast("int")).drop("__nth")
 
 
 def write_biclusters(bics: DataFrame, path: str) -> None:
@@ -94,43 +100,74 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return got.select(F.trim("id").cast("int").alias("id"), _words("genes").alias("genes"), _words("samples").alias("samples"))
 
 
-def read_tool_biclusters(spark: SparkSession, path: str) -> DataFrame:
-    """(file, run, id, genes, samples) of result files of other tools.
-
-    Flat files: a header line with `Run:k`, then three lines per bicluster (sizes, genes, samples; lines of empty sets are left out).
-    Keyed files: `Bicluster`, `Gene_names:` and `Condition_names:` lines. Files are told apart by their first line.
+#: Rows of read_tool_biclusters.
+TOOL_ROWS = "file string, run int, parameters string, id int, avgSNR double, genes array<string>, samples array<string>"
+
+
+def _flat_records(lines: list[str]) -> Iterator[tuple]:
+    """Header lines name the run; a record is a line of two sizes and the lines of its sets that are not empty, by the sizes promised."""
+    run, params, nth, rest = 0, None, 0, iter([x for x in lines if x.strip()])
+    for line in rest:
+        if "Run:" in line:
+            run, nth = int(re.search(r"Run:\s*(\d+)", line)[1]), 0
+            named = re.search(r"Parameters:\s*([^;]*)", line)
+            params = named[1].strip() if named else None
+            continue
+        sizes = [int(x) for x in line.split()]
+        genes, samples = (next(rest, "").split() if n else [] for n in sizes)
+        nth += 1
+        yield run, params, nth, None, sorted(set(genes)), sorted(set(samples))
+
+
+def _named_records(lines: list[str], file: str) -> Iterator[tuple]:
+    """Records of lines with a name before a colon; one ends with its line of samples. The run is a number in the path, or 0."""
+    at = re.search(r"_(\d+)(?:/Results_biclustering/|\.[^/]*biclusters\.txt)", file)
+    run, found = int(at[1]) if at else 0, {}
+    for line in lines:
+        name, _, value = line.strip().partition(":")
+        if name.startswith("Bicluster"):
+            found = {"id": name.removeprefix("Bicluster").strip() or value.strip()}
+        elif name:
+            found = {} if name == "id" else found
+            found[name.lower().replace("condition_names", "samples").replace("gene_names", "genes")] = value.strip()
+        if name in ("samples", "Condition_names"):
+            snr = found.get("average snr")
+            yield run, None, int(found.get("id") or 0), float(snr) if snr else None, sorted(set(found.get("genes", "").split())), sorted(set(found["samples"].split()))
+            found = {}
+
+
+def read_tool_biclusters(spark: SparkSession, path: str, n_runs: int | None = None) -> DataFrame:
+    """TOOL_ROWS of result files of this and other tools, told apart by their first line; each file is one run or a few.
+
+    Flat files: a header line with `Parameters:p` and `Run:k`, then per bicluster a line of two sizes and a line each for genes and samples, without
+    the lines of empty sets; ids count from 1 per run. Named files: `Bicluster`, `Gene_names:` and `Condition_names:` lines, or `id:`, `average
+    SNR:`, `genes:` and `samples:` lines. n_runs: runs 1 to n_runs that a file of its kind lacks come as a row with id 0 and empty sets, for
+    flat files per file and for named ones per path without its number. Empty files have no rows.
     """
-    line = _lines(spark, path)
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first("line").over(w)
-    line = line.withColumn("flat", first.contains("Run:"))
-    head = F.col("line").contains("Run:")
-    flat = line.filter("flat").withColumn("run", F.last(F.when(head, F.regexp_extract("line", r"Run:\s*(\d+)", 1).cast("int")), ignorenulls=True).over(w)).filter(~head & (F.trim("line") != ""))
-    sizes = F.col("line").rlike(r"^\s*\d+\s+\d+\s*$") & (F.size(F.split(F.trim("line"), r"\s+")) == 2)
-    nth = F.row_number().over(Window.partitionBy("file", "run", "rec").orderBy("pos"))
-    flat = flat.withColumn("prev", F.lag("line", 1).over(Window.partitionBy("file").orderBy("pos"))).withColumn("rec", F.sum(F.when(sizes & _is_new(w), 1).otherwise(0)).over(w))
-    flat = flat.filter("rec > 0").withColumn("nth", nth)
-    size = F.split(F.trim("line"), r"\s+")
-    wide = flat.groupBy("file", "run", "rec").agg(F.max(F.when(F.col("nth") == 1, size[0].cast("int"))).alias("ng"), F.max(F.when(F.col("nth") == 1, size[1].cast("int"))).alias("ns"), F.max(F.when(F.col("nth") == 2, F.col("line"))).alias("l2"), F.max(F.when(F.col("nth") == 3, F.col("line"))).alias("l3"))
+    names = [c.split()[0] for c in TOOL_ROWS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                lines = text.splitlines()
+                first = next((x for x in lines if x.strip()), "")
+                rows = _flat_records(lines) if "Run:" in first else _named_records(lines, file)
+                yield pd.DataFrame([(file, *r) for r in rows], columns=names)
+
+    got = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").mapInPandas(run, TOOL_ROWS)
+    if n_runs is None:
+        return got
+    source = F.regexp_replace("file", r"_\d+(?=/Results_biclustering/|\.[^/]*biclusters\.txt)", "_*")
+    there = got.select(source.alias("source"), "file", "run").groupBy("source", "run").agg(F.min("file").alias("file"))
+    every = there.groupBy("source").agg(F.min("file").alias("file")).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_runs))))
     empty = F.array().cast("array<string>")
-    wide = wide.select("file", "run", "rec", F.when(F.col("ng") > 0, _words("l2")).otherwise(empty).alias("genes"), F.when(F.col("ns") == 0, empty).when(F.col("ng") > 0, _words("l3")).otherwise(_words("l2")).alias("samples"))
-    keyed = line.filter("not flat").withColumn("rec", F.sum(F.when(F.col("line").rlike(r"^\s*Bicluster\b"), 1).otherwise(0)).over(w)).filter("rec > 0")
-    of = lambda k: F.coalesce(_words(F.max(F.when(F.trim("line").startswith(k), F.regexp_replace("line", r"^[^:]*:", "")))), empty)
-    keyed = keyed.groupBy("file", "rec").agg(of("Gene_names").alias("genes"), of("Condition_names").alias("samples")).withColumn("run", F.lit(0))
-    both = wide.unionByName(keyed)
-    return both.withColumn("id", (F.row_number().over(Window.partitionBy("file", "run").orderBy("rec")) - 1)).drop("rec")
-
-
-def _is_new(w) -> Column:
-    """Whether a line of two numbers starts a record: the two set lines of the record before are complete. Set lines of exactly two numeric
-    names would look alike, so a start also needs the promised number of names in the line before, or no line before."""
-    return F.col("prev").isNull() | F.col("prev").contains("Run:") | ~F.col("prev").rlike(r"^\s*\d+\s+\d+\s*$") | F.col("prev").rlike(r"^\s*0\s+0\s*$")
+    return got.unionByName(every.join(there.select("source", "run"), ["source", "run"], "left_anti").select("file", "run", F.lit(None).cast("string").alias("parameters"), F.lit(0).alias("id"), F.lit(None).cast("double").alias("avgSNR"), empty.alias("genes"), empty.alias("samples")))
 
 
 def read_gene_sets(spark: SparkSession, path: str, background: DataFrame | None = None) -> DataFrame:
     """(set_name, gene) of a GMT file; blank names dropped; only genes of background, if given."""
     part = spark.read.text(path).select(F.split("value", "\t").alias("p")).filter(F.size("p") > 2)
-    rows = part.select(F.col("p")[0].alias("set_name"), F.explode(F.slice("p", 3, 1 << 20)).alias("gene")).select("set_name", F.trim("gene").alias("gene")).filter("gene <> ''").distinct()
+    rows = part.select(F.col("p")[0].alias("set_name"), F.explode(F.slice("p", F.lit(3), F.size("p"))).alias("gene")).select("set_name", F.trim("gene").alias("gene")).filter("gene <> ''").distinct()
     return rows if background is None else rows.join(background.select("gene").distinct(), "gene", "left_semi").select("set_name", "gene")
 
 
