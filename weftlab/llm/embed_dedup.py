@@ -127,7 +127,7 @@ def _count_links(grouped: DataFrame, threshold: float) -> DataFrame:
     sizes = grouped.groupBy("comp", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     dealt = grouped.join(sizes, ["comp", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).repartition("comp", "dim", "i", "j")  # else a component's blocks would stay in one task
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).repartition(max(2, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "comp", "dim", "i", "j")  # else a component's blocks would stay in one task
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, own, copies = unit(stack(pdf["vec"], int(pdf["dim"].iat[0]))), pdf["own"].to_numpy(), pdf["copies"].to_numpy()

@@ -31,6 +31,8 @@ from weftlab.session import materialise
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 BLOCK = 256
+#: Ids that are broadcast at most (8 bytes each).
+MOST_SENT = 1_000_000
 #: Odd multipliers of the signature's hash functions.
 _MULTIPLIERS = stream(3, HASHES) | np.uint64(1)
 
@@ -105,7 +107,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     dealt = materialise(pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).select("a", "part", "b"), "star-blocks")
     first = dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"))
-    texts = dealt.withColumnRenamed("b", "id").union(first).join(docs, "id")
+    places = dealt.withColumnRenamed("b", "id").union(first)
+    texts = places.join(_few(docs, places.select("id")), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf["a"].iat[0]
@@ -118,7 +121,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
                 keep[i] |= 100 * both >= percent * (len(s) + len(t) - both) and both > 0
         return pd.DataFrame({"a": a, "b": others.loc[keep, "id"].unique()})
 
-    return texts.repartition("a", "part").groupBy("a", "part").applyInPandas(run, "a long, b long")
+    return _dealt_out(texts, "a", "part").groupBy("a", "part").applyInPandas(run, "a long, b long")
 
 
 def _blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
@@ -128,7 +131,18 @@ def _blocks(rows: DataFrame, key: list[str], size: int) -> DataFrame:
     dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("k", "other")
-    return dealt.repartition(*key, "i", "j")  # else the blocks of a key would stay in one task
+    return _dealt_out(dealt, *key, "i", "j")  # else the blocks of a key would stay in one task
+
+
+def _dealt_out(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt by key to the full number of shuffle partitions: comparing costs far more than the bytes of a block tell."""
+    return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
+def _few(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (id, text) with one of the ids; up to MOST_SENT ids are sent to all tasks, more meet the rows by a shuffle."""
+    ids = ids.distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi")
 
 
 def _survivors(pdf: pd.DataFrame, need: dict[int, int], percent: int, component: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -249,7 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         final = comp
     else:
         clusters = connected_components(maybe, "a", "b").toDF("rep", "cluster")
-        nodes = clusters.join(known, "rep").join(texts.withColumnRenamed("id", "rep"), "rep").dropDuplicates(["cluster", "rep", "sig"])
+        clusters = materialise(clusters, "clusters")
+        few = _few(texts, clusters.select(F.col("rep").alias("id")))
+        nodes = clusters.join(known, "rep").join(few.withColumnRenamed("id", "rep"), "rep").dropDuplicates(["cluster", "rep", "sig"])
         more = materialise(_verified(nodes, percent, miss, size), "links")
         final = comp if more.isEmpty() else connected_components(comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).union(more), "a", "b").toDF("rep", "comp")
     placed = first.join(final, "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
