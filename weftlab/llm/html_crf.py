@@ -114,7 +114,8 @@ def block_features(found: list[Block]) -> list[list[str]]:
         inner = next((t for t in reversed(tags) if t in ("article", "main", "aside", "nav", "footer", "header", "form", "section")), "none")
         f += [f"nearest={inner}", f"end={b.text[-1] in '.!?:;)”»…'}", f"commas={min(2, b.text.count(','))}"]
         low = b.text.lower()
-        f += [f"word={w}" for w in set(_WORD.findall(low)) & TEXT_WORDS] if len(low) < 300 else []
+        long = "long" if len(low) >= 300 else "short"  # a telling word says less in a long block; the chain weighs both kinds
+        f += [f"word={w},{long}" for w in set(_WORD.findall(low)) & TEXT_WORDS]
         if "©" in low or "all rights" in low:
             f.append("copyright")
         out.append(f)
