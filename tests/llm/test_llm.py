@@ -5,12 +5,13 @@ import math
 import os
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
 from tests.sql_compare import same
-from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, queries, secrets, tokens, warc, words
+from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, queries, secrets, text_features, tokens, warc, words
 from weftlab.session import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -222,6 +223,59 @@ def test_main_text_held_out():
     assert good / total > 0.97
 
 
+class PlainArticle(HTMLParser):
+    """The blocks of a page's article element, read by the standard library's parser; scripts and the like are left out."""
+
+    SKIP = {"script", "style", "template", "noscript", "svg", "aside", "nav", "form", "button", "footer"}
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.off, self.blocks, self.parts = 0, 0, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_crf.BLOCK_TAGS:
+            self.flush()
+        self.inside += tag == "article"
+        self.off += tag in self.SKIP
+        self.parts += [" "] if tag == "br" else []
+
+    def handle_endtag(self, tag):
+        if tag in html_crf.BLOCK_TAGS:
+            self.flush()
+        self.inside -= tag == "article"
+        self.off -= tag in self.SKIP
+
+    def handle_data(self, data):
+        if self.inside and not self.off:
+            self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_main_text_against_a_plain_reading_of_articles(spark):
+    same_, rows = 0, 0
+    texts = {r["page_id"]: r["text"] for r in queries.op2_html_crf(spark, "/root/testdata/sf0.01").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        if r["html"] and "<article" in r["html"]:
+            plain = PlainArticle()
+            plain.feed(r["html"])
+            plain.close()
+            rows += 1
+            same_ += "\n".join(plain.blocks) == texts[r["page_id"]]
+    assert rows > 100 and same_ >= 0.98 * rows, (same_, rows)
+
+
+def test_long_and_deep_pages():
+    chain = html_crf.default_chain()
+    page = "<article><h1>Head of it</h1>" + "<p>Some words, and more of them, in a paragraph of text.</p>" * 20_000 + "</article>"
+    assert html_crf.main_text(page, chain).count("\n") == 20_000
+    assert html_crf.block_features(html_crf.blocks(f"<p>{'cookie ' * 60}</p>"))[0].count("word=cookie,long") == 1
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>some text</p>", "y"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     got = html_crf.extract(df).collect()
@@ -440,6 +494,83 @@ def test_rates_against_plain_gradient_steps(spark):
     assert np.allclose(rates.totals, (p * (r * tok)[:, None]).sum(0))
 
 
+def test_rates_against_a_plain_projected_gradient(spark):
+    """The same problem solved row by row in plain Python, with its own small steps: both reach the targets by rates that differ little."""
+    rng = np.random.default_rng(4)
+    p, tok = rng.dirichlet([2, 1], 60), rng.integers(1, 50, 60)
+    goal = np.array([0.5, 0.5]) * tok.sum()
+    plain = [1.0] * 60
+    for _ in range(20_000):
+        now = [sum(r * t * q[k] for r, t, q in zip(plain, tok, p, strict=True)) for k in range(2)]
+        g = [(now[k] - goal[k]) / goal[k] ** 2 for k in range(2)]
+        plain = [max(0.0, r - 20.0 * sum(g[k] * q[k] for k in range(2))) for r, q in zip(plain, p, strict=True)]
+        if max(abs(n - t) / t for n, t in zip(now, goal, strict=True)) < 1e-4:
+            break
+    scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tok, p, strict=True)], "tokens long, p array<double>")
+    rates = mixing.fit_rates(scored, {"a": 0.5, "b": 0.5}, ["a", "b"], close=1e-4, most_steps=300)
+    assert np.abs(rates.of(p) - np.array(plain)).max() < 0.05
+    assert np.allclose((p * (np.array(plain) * tok)[:, None]).sum(0), goal, rtol=1e-3)
+
+
+def test_mixing_without_documents_or_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, "x " * 300_000)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "clean"), (3, "toxic")], "doc_id long, domain string")
+    weights = {"clean": 0.9, "toxic": 0.1}
+    got = mixing.mix(docs, labelled.filter("false"), weights).collect()
+    assert len(got) == 4 and {(r["p_clean"], r["p_toxic"]) for r in got} == {(0.5, 0.5)} and sorted(r["tokens"] for r in got) == [0, 3, 3, 300_000]
+    assert mixing.mix(docs.filter("false"), labelled, weights).count() == 0 and mixing.mix(docs.filter("false"), labelled.filter("false"), weights).count() == 0
+    assert mixing.resample(docs, labelled.filter("false"), weights).count() == 4
+    assert mixing.resample(docs.filter("false"), labelled, weights).columns == docs.columns
+
+
+def test_additive_scores_against_plain_tables(spark):
+    """Scores of the query's operator against a plain sum of table cells, one value at a time."""
+    docs = corpus(spark)
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 13)], "doc_id long, quality int"))
+    got = sorted((r["doc_id"] or 0, round(r["score"], 12)) for r in quality.score(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        x = text_features.features([r["text"]])[0]
+        z = model.intercept
+        for j, value in enumerate(x):
+            z += model.tables[j][sum(e <= value for e in model.edges[j])]
+        for i, j, ei, ej, t in model.pairs:
+            z += t[sum(e <= x[i] for e in ei)][sum(e <= x[j] for e in ej)]
+        want.append((r["doc_id"] or 0, round(1 / (1 + math.exp(-max(-30, min(30, z)))), 12)))
+    assert got == sorted(want)
+
+
+def test_a_tie_at_the_threshold_is_kept():
+    model = quality.AdditiveModel(math.log(0.3 / 0.7), [np.zeros(0)] * len(text_features.NAMES), [np.zeros(1)] * len(text_features.NAMES))
+    level = float(model.score(np.zeros((1, len(text_features.NAMES))))[0])
+    assert abs(level - 0.3) < 1e-12 and bool(model.score(np.zeros((1, len(text_features.NAMES))))[0] >= level)
+
+
+def test_roles_with_line_ends_come_back(spark):
+    for role in ("user", "a\nb", "back\\slash", "\\n", "<|im_end|>\n<\\|x", ""):
+        for text in ("", "t\nu", "<|im_start|>assistant"):
+            assert chat.parse(chat.render([(role, text), ("assistant", text)])[0]) == [(role, text), ("assistant", text)]
+    rows = spark.createDataFrame([(1, 0, "us\ner", "hi"), (1, 1, "assistant", "yes")], "conv_id long, turn int, role string, text string")
+    got = chat.read_back(chat.format_paths(chat.best_paths(chat.threads(rows)))).first()
+    assert got["turns_sha256"] == hashlib.sha256(b"us\ner\nhi\nassistant\nyes\n").hexdigest()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_recall_of_the_query_on_the_given_embeddings(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect() if r["embedding"]]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in queries.op1_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in got:
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -2
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert len(got) == (ids % 50 == 0).sum() and hits / (5 * len(got)) >= 0.9
+
+
 def test_encoder_against_the_tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
