@@ -576,11 +576,12 @@ def test_encoder_against_the_tokenizer():
     import public_tokenizers
 
     whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    texts = [None, "", " ", "a  b", "a\n b", "it's 'tis ''s \n's don't", "1a2 3  4\t5", "x 😀😀", "a\r\n\r\n b ", "0٠²Ⅷ", "<|endoftext|> z", "\x1c\x1f a\x00b\x85c", "  é　y", prose(1), "z" * 20_000] * 2
-    enc = tokens.encoder(*packing.public_vocabulary())
-    for t, ids in zip(texts, enc.encode(texts), strict=True):
-        assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    texts = [None, "", " ", "a  b", "a\n b", "it's 'tis ''s \n's don't", "1a2 3  4\t5", "x 😀😀", "a\r\n\r\n b ", "0٠²Ⅷ", "<|endoftext|> z", "a  <|endoftext|><|endoftext|>'s  b \n", "<|endoftext|>", "<|endoftext", "\x1c\x1f a\x00b\x85c", "  é　y", prose(1), "z" * 20_000] * 2
+    for control in (True, False):
+        whole.encode_special_tokens = not control
+        enc = tokens.encoder(*packing.public_vocabulary(control))
+        for t, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
 def test_best_fit_against_plain_best_fit():

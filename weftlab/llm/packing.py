@@ -9,6 +9,7 @@ within a length, are joined back to the pieces, whose ranks are counted in paral
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +27,24 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "length long, low long, high long, sequence long, per_sequence long, base long"
 
 
-def public_vocabulary() -> tuple[str, str]:
-    """(ranks file, split rule) of the public 50k byte-level vocabulary."""
+Vocabulary = tuple[str, str] | tuple[str, str, tuple[tuple[str, int], ...]]
+
+
+def public_vocabulary(control: bool = False) -> Vocabulary:
+    """(ranks file, split rule, control tokens) of the public 50k byte-level vocabulary.
+
+    control: a control token's string inside a text gets the token's id, as its tokenizer does unless told otherwise; by default it
+    is ordinary text, so that no text of a corpus can bring in a control token."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    added: list[dict] = []
+    if control:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in added)
 
 
-def cut_pieces(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every row of docs (null text: empty, so only the closing id 0); with_ids adds the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +150,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*pieces.columns, (F.col("sequence") + F.floor(i / F.col("per_sequence"))).cast("long").alias("sequence_id"), (F.col("base") + i % F.col("per_sequence") * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset of every piece of docs."""
     pieces = cut_pieces(docs, vocabulary or public_vocabulary(), id_col, text_col, capacity, with_ids)
     return pack(materialise(pieces, "pieces"), capacity)

@@ -3,7 +3,7 @@
 The split rule of the vocabulary (letters, digits, other signs, each with one leading blank; white space) is applied to
 whole batches of code points with numpy; distinct pieces are encoded once and their ids gathered. Texts with an
 apostrophe contraction, whose rule depends on its surroundings, go through the tokenizer one by one.
-Strings of special tokens inside a text are ordinary text. Null texts have no ids.
+Strings of control tokens inside a text are ordinary text, unless the encoder is given their ids. Null texts have no ids.
 """
 
 from __future__ import annotations
@@ -38,12 +38,16 @@ def _classes() -> np.ndarray:
 
 
 class Encoder:
-    """ids of texts under the ranks file at `path`; pattern is its split rule."""
+    """ids of texts under the ranks file at `path`; pattern is its split rule.
 
-    def __init__(self, path: str, pattern: str):
+    control: (string, id) of tokens that a text is cut at, the longest first where several begin; each gets its id."""
+
+    def __init__(self, path: str, pattern: str, control: tuple[tuple[str, int], ...] = ()):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._control = dict(control)
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._control, key=len, reverse=True))) + ")") if control else None
         self._clear()
 
     def _clear(self) -> None:
@@ -74,6 +78,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
+        if self._cut is None:
+            yield from self._ordinary(texts)
+            return
+        parts = [self._cut.split(t or "") for t in texts]
+        done = self._ordinary([p for cut in parts for p in cut[::2]])
+        for cut in parts:
+            got = [next(done)]
+            for name in cut[1::2]:
+                got += [np.array([self._control[name]], np.int32), next(done)]
+            yield np.concatenate(got) if len(got) > 1 else got[0]
+
+    def _ordinary(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, control tokens spelled out."""
         first, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t or "")
@@ -115,6 +132,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, control: tuple[tuple[str, int], ...] = ()) -> Encoder:
     """One encoder per Python worker."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, control)
