@@ -92,13 +92,14 @@ def net(spark):
     return network.canonical_edges(frame(spark, edges, "g1 long, g2 long"))
 
 
-def test_walks_are_connected_and_repeatable(spark, net):
+@pytest.mark.parametrize("most_edges", [nulls.MOST_EDGES, 0])
+def test_walks_are_connected_and_repeatable(spark, net, most_edges):
     nbrs = {}
     for r in net.collect():
         nbrs.setdefault(r["g1"], set()).add(r["g2"])
         nbrs.setdefault(r["g2"], set()).add(r["g1"])
     got = {}
-    for r in nulls.random_connected_subnets(net, [4, 6], 10, seed=3).collect():
+    for r in nulls.random_connected_subnets(net, [4, 6], 10, seed=3, most_edges=most_edges).collect():
         got.setdefault((r["size"], r["walk"]), set()).add(r["gene"])
     assert len(got) == 20
     for (size, _), genes in got.items():
@@ -109,7 +110,7 @@ def test_walks_are_connected_and_repeatable(spark, net):
                 seen.add(x)
                 todo += [y for y in nbrs[x] if y in genes]
         assert seen == genes and len(genes) == size
-    again = nulls.random_connected_subnets(net.repartition(7), [4, 6], 10, seed=3).collect()
+    again = nulls.random_connected_subnets(net.repartition(7), [4, 6], 10, seed=3, most_edges=most_edges).collect()
     assert {(r["size"], r["walk"], r["gene"]) for r in again} == {(k[0], k[1], g) for k, v in got.items() for g in v}
 
 
@@ -203,11 +204,13 @@ def test_pair_overlap_of_empty_sets(spark):
     assert [(r["shared"], r["p"], r["jac"]) for r in rows] == [(0, 1.0, 0.0)]
 
 
-def test_null_sets_grow_along_a_path_and_give_up(spark):
-    path = frame(spark, [(k, k + 1) for k in range(9)], "g1 long, g2 long")
-    for r in nulls.random_connected_subnets(path, [4], 50, seed=2).groupBy("walk").count().collect():
+@pytest.mark.parametrize("most_edges", [nulls.MOST_EDGES, 0])
+def test_null_sets_grow_along_a_path_and_give_up(spark, most_edges):
+    path = frame(spark, [(k, k + 1) for k in range(9)] + [(3, 3), (2, 1), (None, 4)], "g1 long, g2 long")
+    for r in nulls.random_connected_subnets(path, [4], 50, seed=2, most_edges=most_edges).groupBy("walk").count().collect():
         assert r["count"] == 4
-    assert nulls.random_connected_subnets(path, [20], 5).count() == 0
+    assert nulls.random_connected_subnets(path, [20], 2, max_restarts=2, most_edges=most_edges).count() == 0
+    assert nulls.random_connected_subnets(path.filter("false"), [3], 2, most_edges=most_edges).count() == 0
     m = planted(spark, [], 10, 30)
     rows = nulls.null_distribution(path, m, [3], 20).collect()
     assert len(rows) == 20 and all(r["n_genes"] == 3 and 1 <= r["n_samples"] <= 15 and r["avgSNR"] > 0 for r in rows)

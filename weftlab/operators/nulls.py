@@ -6,32 +6,98 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlab.functions.ordering import numbered
 from weftlab.operators import bicluster
-from weftlab.operators.network import incidence
+from weftlab.operators.network import canonical_edges, incidence
+from weftlab.session import materialise, release
 
 
-def random_connected_subnets(edges: DataFrame, sizes: list[int], n: int, seed: int = 1, max_restarts: int = 10) -> DataFrame:
+#: Edges whose adjacency is sent to all tasks at most; beyond it the walks meet the edges in joins.
+MOST_EDGES = 1_000_000
+
+
+def random_connected_subnets(edges: DataFrame, sizes: list[int], n: int, seed: int = 1, max_restarts: int = 10, most_edges: int = MOST_EDGES) -> DataFrame:
     """(size, walk, gene): n random connected gene sets of each size; those that give up after max_restarts starts leave no rows.
 
-    Walks are dealt over tasks, each with its own generator. The adjacency is broadcast: a gene network has some ten thousand genes, whose number
-    does not grow with the samples; above a million edges the call is refused.
+    A set grows from its last gene to one of the unseen neighbours, else from a member that has several, else it starts anew. Up to most_edges
+    edges the adjacency is broadcast and each walk runs within a task; beyond that all walks take their steps together, by joins
+    with the edges. Both follow the same rule but draw different sets. Null ends and self-loops are left out, repeated edges count once.
     """
     spark = edges.sparkSession
-    both = incidence(edges, "g1", "g2").select("gene", F.when(F.col("gene") == F.col("g1"), F.col("g2")).otherwise(F.col("g1")).alias("nbr"))
-    if edges.count() > 1_000_000:
-        raise ValueError("the network is too large to broadcast")
+    given = canonical_edges(edges)
+    both = incidence(given, "g1", "g2").select("gene", F.when(F.col("gene") == F.col("g1"), F.col("g2")).otherwise(F.col("g1")).alias("nbr"))
+    walks = spark.createDataFrame([(k,) for k in sizes], "size int").withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if given.count() > most_edges:
+        return _by_joins(both, walks, seed, max_restarts)
+    return _within_tasks(both, walks.repartition(32, "size", "walk"), seed, max_restarts)
+
+
+def _by_joins(both: DataFrame, walks: DataFrame, seed: int, max_restarts: int) -> DataFrame:
+    """The walks as a table that takes one step a round: (size, walk, start, seen, at).
+
+    Neighbours are numbered over the whole table, so that drawing one is a join on a unique number, however many a gene has. Free
+    neighbours of a gene are its degree less the members among its neighbours, which are as few as a set has genes.
+    """
+    edges = materialise(numbered(both, ["gene", "nbr"], "nth"), "neighbours")
+    degrees = edges.groupBy("gene").agg(F.min("nth").alias("low"), F.count("*").alias("degree"))
+    genes = materialise(numbered(degrees, ["gene"], "number"), "genes")
+    n_genes = genes.count()
+    key = ["size", "walk"]
+
+    def draw(below: Column, *what: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *key, "start", F.size("seen"), *[F.lit(w) for w in what]), below)
+
+    def started(rows: DataFrame) -> DataFrame:
+        first = rows.withColumn("seen", F.array().cast(seen_type)).withColumn("number", draw(F.lit(n_genes), "start"))
+        return first.join(genes.select("number", F.col("gene").alias("at")), "number").select(*key, "start", F.array("at").alias("seen"), "at")
+
+    def free(rows: DataFrame) -> DataFrame:
+        """rows (with gene) and (low, free, taken): the numbers of its neighbours that are members, sorted."""
+        among = rows.select(*key, "gene", F.explode("seen").alias("nbr")).join(edges, ["gene", "nbr"])
+        taken = among.groupBy(*key, "gene").agg(F.array_sort(F.collect_list("nth")).alias("taken"))
+        known = rows.join(genes.select("gene", "low", "degree"), "gene").join(taken, [*key, "gene"], "left")
+        known = known.withColumn("taken", F.coalesce("taken", F.array().cast("array<long>")))
+        return known.withColumn("free", F.col("degree") - F.size("taken"))
+
+    seen_type = f"array<{both.schema['gene'].dataType.simpleString()}>"
+    state = materialise(started(walks.withColumn("start", F.lit(1))), "walks")
+    found = []
+    while True:
+        done = state.filter(F.size("seen") >= F.col("size"))
+        found.append(done.select(*key, F.explode("seen").alias("gene")))
+        going = state.filter(F.size("seen") < F.col("size"))
+        if going.isEmpty():
+            break
+        ends = materialise(free(going.withColumn("gene", F.col("at"))), "ends")
+        skip = F.aggregate("taken", F.col("low") + draw(F.col("free"), "step"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
+        grown = ends.filter("free > 0").withColumn("nth", skip).drop("gene").join(edges.select("nth", "nbr"), "nth")
+        grown = grown.select(*key, "start", F.concat("seen", F.array("nbr")).alias("seen"), F.col("nbr").alias("at"))
+        stuck = ends.filter("free = 0").select(*key, "start", "seen")
+        roots = free(stuck.withColumn("gene", F.explode("seen"))).filter("free > 1").groupBy(*key).agg(F.array_sort(F.collect_list("gene")).alias("roots"))
+        turned = materialise(stuck.join(roots, key, "left"), "stuck")
+        back = turned.filter("roots is not null").withColumn("at", F.element_at("roots", (draw(F.size("roots"), "root") + 1).cast("int")))
+        anew = started(turned.filter("roots is null").select(*key, (F.col("start") + 1).alias("start")).filter(F.col("start") <= max_restarts))
+        state = materialise(grown.unionByName(back.select(*key, "start", "seen", "at")).unionByName(anew), "walks")
+        release(ends, turned)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _within_tasks(both: DataFrame, walks: DataFrame, seed: int, max_restarts: int) -> DataFrame:
+    """The walks dealt over tasks, each with a generator of its own, over the broadcast adjacency."""
     rows = both.groupBy("gene").agg(F.array_sort(F.collect_set("nbr")).alias("nbrs")).orderBy("gene").collect()
-    shared = spark.sparkContext.broadcast({r["gene"]: r["nbrs"] for r in rows})
-    walks = spark.createDataFrame([(k,) for k in sizes], "size int").withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(32, "size", "walk")
-    kind = edges.schema["g1"].dataType.simpleString()
+    shared = both.sparkSession.sparkContext.broadcast({r["gene"]: r["nbrs"] for r in rows})
+    kind = both.schema["gene"].dataType.simpleString()
 
     def walk(size: int, rng: random.Random) -> set:
         """Grow from the last gene to one of its unseen neighbours, else from a member that has several, else start anew."""
         nbrs, genes = shared.value, sorted(shared.value)
-        for _ in range(max_restarts):
+        for _ in range(max_restarts if genes else 0):
             at = rng.choice(genes)
             seen = {at}
             while len(seen) < size:
