@@ -86,6 +86,18 @@ def test_complement_of_everything_is_empty(spark):
     assert sets.complement(frame(spark, [(1, 1), (1, 2)], "id int, sample int"), "id", every).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_complement_in_parts(spark, block):
+    names = set(range(40))
+    own = {1: {0, 5, 39, 77}, 2: set(), None: {7}, 3: names}
+    rows = [(k, s) for k, have in own.items() for s in [*have, *list(have)[:1], None]]
+    every = frame(spark, [(s,) for s in [*names, 3, None]], "sample long")
+    got = sets.complement(frame(spark, rows, "id int, sample int"), "id", every, block).collect()
+    assert sorted((str(r["id"]), r["sample"]) for r in got) == sorted((str(k), s) for k, have in own.items() for s in names - have)
+    assert sets.complement(frame(spark, [], "id int, sample int"), "id", every, block).count() == 0
+    assert sets.complement(frame(spark, rows, "id int, sample int"), "id", every.filter("false"), block).count() == 0
+
+
 @pytest.fixture(scope="module")
 def net(spark):
     edges = [(k, (k * 3 + 1) % 30) for k in range(30)] + [(k, k + 1) for k in range(29)]

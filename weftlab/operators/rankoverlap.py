@@ -94,7 +94,7 @@ def best_corner(grid: DataFrame, thresholds: DataFrame, min_n_samples: int, min_
     least min_snr) or with any n <= min_n_samples, and before the first with a cut-off <= 0. Best: most samples, then
     smallest abs(tu - tw), then smallest c1.
     """
-    cells = grid.join(F.broadcast(thresholds), ["tu", "tw"]).withColumn("diag", F.col("c1") + F.col("c2"))
+    cells = grid.join(thresholds, ["tu", "tw"]).withColumn("diag", F.col("c1") + F.col("c2"))
     hit = (F.col("n") > F.col("min_overlap")) & (F.col("snr") >= min_snr)
     w = Window.partitionBy("g1", "g2")
     edge = F.max(F.greatest("c1", "c2")).over(w)  # the last diagonal whose cells all have positive cut-offs
