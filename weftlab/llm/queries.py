@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, secrets, warc
-from weftlab.session import materialise, table
+from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, secrets, token_files, warc
+from weftlab.session import materialise, new_path, table
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_paths(chat.best_paths(messages, per_tree=None)))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.read_tokens(spark, path).drop("place")
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_html_crf": op2_html_crf,
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_reply_trees": op10_reply_trees,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLE_SQL = {
