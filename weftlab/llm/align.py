@@ -36,7 +36,7 @@ from weftlab.session import materialise, new_path
 
 BUCKETS = 128
 FAN = 64
-PAIR_BITS = 43  # of a pair's number; the rest numbers the documents of a slice
+PAIR_BITS = 40  # of a pair's number; the rest numbers the documents of a slice
 LARGE_GROUP = 4096
 MOST_LINKS = 1 << 22
 MOST_HELD = 1 << 20
@@ -90,25 +90,50 @@ class Aligned:
             j = np.arange(int(n.sum())) + np.repeat(start[g] - (np.cumsum(n) - n), n)
             yield self.doc[g[i]], x[i] * b_ids + b[j], c[i] * cb[j]
 
-    def texts_of_groups(self) -> Iterator[str]:
+    def texts_of_groups(self) -> Iterator[bytes]:
         """`a1,a2|b1;a3|b2,b3` per document: the groups' ids in order."""
         first_a, first_b = np.cumsum(self.na) - self.na, np.cumsum(self.nb) - self.nb
         place_a = np.arange(len(self.a)) + first_b[self.ga]
         place_b = np.arange(len(self.b)) + (first_a + self.na)[self.gb]
-        ids, ends = np.zeros(len(self.a) + len(self.b), np.int64), np.zeros(len(self.a) + len(self.b), np.int64)
+        ids, sign = np.zeros(len(self.a) + len(self.b), np.int32), np.full(len(self.a) + len(self.b), ord(","), np.uint8)
         ids[place_a], ids[place_b] = self.a, self.b
-        ends[place_a] = np.append(self.ga[1:] != self.ga[:-1], True)[: len(self.a)] * 1
-        ends[place_b] = np.append(self.gb[1:] != self.gb[:-1], True)[: len(self.b)] * 2
-        signed = [_signed(e) for e in (",", "|", ";")]
-        flat = [signed[e][i] for i, e in zip(ids.tolist(), ends.tolist(), strict=True)]
-        stop = np.cumsum(self.n_a + self.n_b).tolist()
-        for lo, hi in zip([0, *stop[:-1]], stop, strict=True):
-            yield "".join(flat[lo:hi])[:-1]
+        sign[place_a[np.append(self.ga[1:] != self.ga[:-1], True)[: len(self.a)]]] = ord("|")
+        sign[place_b[np.append(self.gb[1:] != self.gb[:-1], True)[: len(self.b)]]] = ord(";")
+        digits, size = _decimals(int(ids.max(initial=0)).bit_length())
+        signs = digits[ids]
+        signs[np.arange(len(ids)), size[ids]] = sign
+        text = signs[np.arange(digits.shape[1]) <= size[ids][:, None]]
+        stop = np.append(0, np.cumsum(size[ids] + 1))[np.append(0, np.cumsum(self.n_a + self.n_b))].tolist()
+        for lo, hi in zip(stop[:-1], stop[1:], strict=True):
+            yield text[lo : max(lo, hi - 1)].tobytes()
 
 
 @functools.cache
-def _signed(sign: str, most: int = 1 << 18) -> list[str]:
-    return [f"{i}{sign}" for i in range(most)]
+def _decimals(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(digits, number of digits) of all numbers of so many bits; a row has room for one more sign."""
+    rows = [str(i).encode() for i in range(1 << bits)]
+    width = len(rows[-1]) + 1
+    return np.frombuffer(b"".join(r.ljust(width) for r in rows), np.uint8).reshape(-1, width), np.array([len(r) for r in rows])
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers of x, how often each)."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _ranked(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers of x, which of them each place holds); x of so many bits. The places are sorted along with the numbers."""
+    places = max(1, len(x) - 1).bit_length()
+    if bits + places > 63:
+        return np.unique(x, return_inverse=True)
+    s = np.sort((x << places) | np.arange(len(x)))
+    v = s >> places
+    new = np.append(True, v[1:] != v[:-1])[: len(x)]
+    which = np.empty(len(x), np.int64)
+    which[s & ((1 << places) - 1)] = np.cumsum(new) - 1
+    return v[new], which
 
 
 def _once(g: np.ndarray, ids: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,8 +253,8 @@ def pair_counts(docs: DataFrame, files: Tokenizers, text_col: str = "text", buck
         for batch in batches:
             for _, _, found in align(batch.column("text").to_pylist()):
                 for doc, pair, _ in found.links(align.b_ids):
-                    once = np.unique((doc << PAIR_BITS) | pair) & ((1 << PAIR_BITS) - 1)
-                    held.append(np.unique(once, return_counts=True))
+                    once = _distinct((doc << PAIR_BITS) | pair)[0] & ((1 << PAIR_BITS) - 1)
+                    held.append(_distinct(once))
                     if sum(len(x) for x, _ in held) > MOST_HELD:
                         held[:] = [_summed(held)]
                         if len(held[0][0]) > MOST_HELD // 2:
@@ -387,14 +412,14 @@ def align_documents(docs: DataFrame, files: Tokenizers | None = None, id_col: st
                 for doc, pair, times in found.links(b_ids):
                     if not len(doc):
                         continue
-                    once, which = np.unique(pair, return_inverse=True)
+                    once, which = _ranked(pair, PAIR_BITS)
                     count, top = lookup(once)
                     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                     best[doc[first]] += np.add.reduceat(top[which] * times, first)
                     total[doc[first]] += np.add.reduceat(count[which] * times, first)
                 n_links = np.zeros(hi - lo, np.int64)
                 np.add.at(n_links, found.doc, found.na * found.nb)
-                shas = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in found.texts_of_groups()]
+                shas = [hashlib.sha256(t).hexdigest() if t else "" for t in found.texts_of_groups()]
                 for col, x in zip(cols, (found.n_a, found.n_b, found.n_groups, n_links, best, total, shas), strict=True):
                     col.extend(x)
             kinds = [pa.int64()] * 6 + [pa.string()]
