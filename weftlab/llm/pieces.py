@@ -9,16 +9,18 @@ vocabularies without a piece that holds a blank after another sign.
 from __future__ import annotations
 
 import functools
-import os
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from weftlab.llm.tokens import _LETTER, _SPACE, MOST_PIECES, SLICE_CHARS, _classes
+from weftlab.llm.tokens import _LETTER, _SPACE, _classes
 from weftlab.llm.words import mix, stream
 
 _CP_BASE = np.uint64(0xD6E8FEB86659FD93)
+SLICE_CHARS = 1 << 20
+MOST_PIECES = 1_600_000
 
 
 def split_words(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -59,13 +61,11 @@ def split_blanks(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """encode: ids of each of a list of pieces. spell: the bytes of an id; a piece whose ids do not spell it is counted as odd.
+    """encode: ids of each of a list of pieces; size: of the vocabulary. spell: the bytes of each id; a piece whose ids do not spell it is
+    counted as odd (none, where spell is not given). control: strings at which texts are cut, and the id each of them gets."""
 
-    control: strings at which texts are cut, and the id each of them gets."""
-
-    def __init__(self, split: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], spell: list[bytes] | None = None, control: dict[str, int] | None = None):
-        self._split, self._encode, self._spell, self._control = split, encode, spell, control or {}
-        self.size = len(spell or ())  # of the vocabulary
+    def __init__(self, split: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], size: int, spell: list[bytes] | None = None, control: dict[str, int] | None = None):
+        self._split, self._encode, self.size, self._spell, self._control = split, encode, size, spell, control or {}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._control, key=len, reverse=True))) + ")") if control else None
         self._clear()
 
@@ -74,10 +74,11 @@ class PieceEncoder:
 
     def _learn(self, hashes: np.ndarray, places: np.ndarray, pieces: list[str]) -> None:
         ids = self._encode(pieces)
-        odd = [self._spell is not None and b"".join(map(self._spell.__getitem__, i)) != p.encode("utf-8", "replace") for i, p in zip(ids, pieces, strict=True)]
+        spell = self._spell
+        odd = [b"".join(map(spell.__getitem__, i)) != p.encode("utf-8", "replace") for i, p in zip(ids, pieces, strict=True)] if spell else np.zeros(len(ids), bool)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self._ids) + np.cumsum(sizes) - sizes
-        self._ids = np.concatenate([self._ids, np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))])
+        self._ids = np.concatenate([self._ids, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))])
         self._hash = np.insert(self._hash, places, hashes)
         self._start, self._size, self._odd = np.insert(self._start, places, starts), np.insert(self._size, places, sizes), np.insert(self._odd, places, odd)
 
@@ -155,14 +156,22 @@ def byte_spelling(path: str) -> list[bytes]:
 @functools.lru_cache(maxsize=4)
 def byte_level(path: str, plain: bool = False) -> PieceEncoder:
     """The encoder of a byte-level vocabulary file of the tokenizers library; plain: control strings inside texts are ordinary text, otherwise
-    they get their ids, as the library does by default."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    they get their ids, as the library does by default. Pieces, which are what the library's own splitting gives, go to its BPE model at once.
+
+    ValueError for vocabularies without an entry for every byte: ids would not spell every text."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, values = Tokenizer.from_file(path), byte_values()
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    if not values.keys() <= vocabulary.keys():
+        raise ValueError(f"{path}: not a byte-level vocabulary")
     control = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(split_words, lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], byte_spelling(path), None if plain else control)
+    tokenize, signs = tokenizer.model.tokenize, {b: c for c, b in values.items() if ord(c) != b}
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        return [[t.id for t in tokenize(p.encode("utf-8", "replace").decode("latin-1").translate(signs))] for p in pieces]
+
+    return PieceEncoder(split_words, encode, max(vocabulary.values()) + 1, control=None if plain else control)
 
 
 def piece_spelling(path: str) -> list[bytes]:
@@ -191,4 +200,5 @@ def blank_led(path: str) -> PieceEncoder:
         some = iter(model.encode([w[1:] for w in words if w != " "], num_threads=1))
         return [blank if w == " " else next(some) for w in words]
 
-    return PieceEncoder(split_blanks, encode, piece_spelling(path))
+    spell = piece_spelling(path)
+    return PieceEncoder(split_blanks, encode, len(spell), spell)
