@@ -47,6 +47,14 @@ def hypergeom_tail(x: Column, k: Column, m: Column, n: int) -> Column:
     return F.when(x.isNull() | k.isNull() | m.isNull(), F.lit(None).cast("double")).when(x <= least, 1.0).when(x > most, 0.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
 
 
+def with_tail(df: DataFrame, x: str, k: str, m: str, n: int, out: str = "p") -> DataFrame:
+    """df with `out`, the hypergeom_tail of three of its columns, computed once per distinct triple: counts repeat, and the sum is long. df is read
+    twice. A null in the triple gives null."""
+    triples = df.select(x, k, m).distinct()
+    tails = triples.select(F.col(x).alias("__x"), F.col(k).alias("__k"), F.col(m).alias("__m"), hypergeom_tail(F.col(x), F.col(k), F.col(m), n).alias(out))
+    return df.join(tails, F.col(x).eqNullSafe(F.col("__x")) & F.col(k).eqNullSafe(F.col("__k")) & F.col(m).eqNullSafe(F.col("__m")), "left").drop("__x", "__k", "__m")
+
+
 def tail_sql(x: str, k: str, m: str, n: str) -> str:
     """DuckDB text of hypergeom_tail."""
     lf = lambda v: f"lgamma(({v}) + 1.0)"

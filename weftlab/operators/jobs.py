@@ -35,7 +35,7 @@ def discover(edges: DataFrame, m: DataFrame, direction: str = "UP", p: float = 0
 
     Restrict the network, set the SNR threshold (unless given), assign samples to edges, sample modules until they have converged,
     take the consensus of the last steps, split samples per module, keep those that pass, and merge what overlaps. bics: id, direction,
-    avgSNR, n_genes, n_samples. min_n_samples: by default the larger of 10 and a twentieth of the samples. Without edges or without a
+    avgSNR, n_genes, n_samples, converged (whether the sampler has, the same in every row). min_n_samples: by default the larger of 10 and a twentieth of the samples. Without edges or without a
     module that passes, all three are empty.
     """
     edges, m = restricted(edges, m, k)
@@ -47,14 +47,15 @@ def discover(edges: DataFrame, m: DataFrame, direction: str = "UP", p: float = 0
     named = materialise(numbered(assigned.select("g1", "g2").distinct(), ["g1", "g2"], "eid"), "edge-ids")
     carried = materialise(assigned.join(named, ["g1", "g2"]).select("eid", "sample"), "carried")
     history, converged = sampler.run_sampler(named, carried, n, **sampling)
-    state = materialise(sampler.final_modules(history, converged).select("eid", "module"), "modules")
+    window = {c: sampling[c] for c in ("needed", "points") if c in sampling}
+    state = materialise(sampler.final_modules(history, converged, **window).select("eid", "module"), "modules")
     found = bicluster.modules_to_biclusters(named, state, m, direction, n, snr, least).filter("reason = 'kept'").select(F.col("id").alias("module"))
     ids = materialise(numbered(found, ["module"], "id").select("module", F.col("id").cast("int").alias("id")), "module-ids")
     members = module_genes(named, state).join(ids, "module").select("id", "gene")
     bics = ids.select("id", F.lit(direction).alias("direction"))
     samples = bicluster.optimal_sample_set(members, m, bics, n, least)
     merged = merge.merge_biclusters(bics, members, samples, m, n, snr, least, alpha)
-    return described(*merged, m), merged[1], merged[2]
+    return described(*merged, m).withColumn("converged", F.lit(converged)), merged[1], merged[2]
 
 
 def described(bics: DataFrame, members: DataFrame, samples: DataFrame, m: DataFrame) -> DataFrame:

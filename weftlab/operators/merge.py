@@ -15,14 +15,20 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
     Each round merges all pairs that are each other's best (lowest p, then highest J, then ids), which are disjoint; exact: the one best pair only.
     The union of the genes gets a new sample set in the first's direction, else, if directions differ, in the second's (discordant: MIXED,
     the smaller cluster); it replaces both when its avgSNR reaches min_snr, otherwise the pair is not tried again. The factor is fixed per round.
-    Rounds go on until no pair is left (every round takes a bicluster or a pair away); RuntimeError after max_rounds. An empty table stays empty.
+    Pairs are compared once: after a round only those of the merged biclusters are new, the others' are kept, down to p under alpha, as the
+    factor falls with the number of biclusters. Rounds go on until no pair is left (every round takes a bicluster or a pair away);
+    RuntimeError after max_rounds. An empty table stays empty.
     """
     spark = bics.sparkSession
     tried = spark.createDataFrame([], "i int, j int")
     bics, members, samples = materialise(bics.select("id", "direction"), "bics"), materialise(members, "genes"), materialise(samples, "samples")
+    numbers = materialise(pairs.sample_numbers(samples.select("sample").union(m.select("sample"))), "sample-numbers")
+    n_numbers = numbers.count()
+    sets = materialise(pairs.packed_sets(bics, samples, numbers, n_numbers), "packed-sets")
+    open_ = lambda found: pairs.pair_overlaps(found, n, listed=False).filter((F.col("p") < alpha) & (F.col("jac") >= least_jaccard)).select("i", "j", "p", "jac")
+    known = materialise(open_(pairs.set_pairs(sets)), "open-pairs")
     for _ in range(max_rounds):
-        found = pairs.merge_candidates(pairs.bicluster_pair_overlap(bics, samples, n), bics.count(), alpha).filter(F.col("jac") >= least_jaccard)
-        found = materialise(found.join(tried, ["i", "j"], "left_anti"), "pairs")
+        found = materialise(pairs.merge_candidates(known, sets.count(), alpha).join(tried, ["i", "j"], "left_anti"), "pairs")
         order = ["p", F.desc("jac"), "i", "j"]
         ends = found.select(F.col("i").alias("x"), "*").union(found.select(F.col("j").alias("x"), "*"))
         best = ends.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(*order))).filter("nth = 1").groupBy("i", "j").agg(F.count("*").alias("both"), F.first("p").alias("p"), F.first("jac").alias("jac")).filter("both = 2")
@@ -53,7 +59,12 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
         stale = gone.select(F.col("id").alias("x"))
         tried = tried.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select("i", "j")
         tried = materialise(tried.union(failed.select("i", "j")), "tried")
-        release(*was)
+        left = known.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select(*known.columns)
+        merged = materialise(pairs.packed_sets(bics.join(fresh, "id", "left_semi"), samples.join(fresh, "id", "left_semi"), numbers, n_numbers), "packed-sets")
+        was += sets, known
+        sets = materialise(sets.join(gone, "id", "left_anti").unionByName(merged), "packed-sets")
+        known = materialise(left.unionByName(open_(pairs.set_pairs(merged, sets))), "open-pairs")
+        release(*was, merged)
     raise RuntimeError(f"merging did not end in {max_rounds} rounds")
 
 

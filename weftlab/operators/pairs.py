@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlab.functions.stats import hypergeom_tail, jaccard
+from weftlab.functions.ordering import numbered
+from weftlab.functions.stats import jaccard, with_tail
+from weftlab.session import materialise
 
 
 def shared_counts(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
@@ -13,23 +15,71 @@ def shared_counts(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     return a.select(F.col("id").alias("i"), item).join(b.select(F.col("id").alias("j"), item), item).groupBy("i", "j").agg(F.count("*").alias("shared"))
 
 
+#: Sets of a block; two blocks meet in one row, so pairs are dealt evenly whatever the sets hold.
+BLOCK = 128
+
+
+def sample_numbers(samples: DataFrame) -> DataFrame:
+    """(sample, nth): a number from 0 for every sample, null left out."""
+    return numbered(samples.select("sample").filter("sample is not null").distinct(), ["sample"], "nth")
+
+
+def packed_sets(bics: DataFrame, samples: DataFrame, numbers: DataFrame, n_numbers: int) -> DataFrame:
+    """(id, direction, size, words): each bicluster's samples as bits of 64-bit words, in the order of sample_numbers; its n_numbers give their length.
+    Ids without samples have no bit set; repeated samples count once; samples without a number are left out."""
+    word = F.expr("shiftleft(1L, cast(nth % 64 as int))")
+    bits = samples.join(numbers, "sample").groupBy("id", F.floor(F.col("nth") / 64).cast("int").alias("w")).agg(F.bit_or(word).alias("bits"))
+    sets = bits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("held"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(max(0, (n_numbers - 1) // 64))), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("long")))
+    rows = bics.select("id", "direction").join(sets, "id", "left").withColumn("words", words)
+    return rows.select("id", "direction", F.aggregate("words", F.lit(0), lambda a, x: a + F.bit_count(x)).cast("long").alias("size"), "words")
+
+
+def set_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(i, j, d1, d2, n1, n2, inter) with i < j: all pairs of packed sets of left, or, given right, all pairs with one in left and the other in right;
+    right then holds left's rows too. Sets are dealt to blocks by hash, and blocks meet by equi-joins on their numbers."""
+    def blocks(df: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // BLOCK))
+        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "direction", "size", "words", "new")).alias("sets")), n
+
+    left = left.withColumn("new", F.lit(True))
+    one, n = blocks(left)
+    two = one
+    if right is not None:
+        two, n = blocks(right.join(left.select("id", "new"), "id", "left").withColumn("new", F.coalesce("new", F.lit(False))))
+    met = one.withColumn("other", F.explode(F.sequence(F.col("block") if right is None else F.lit(0), F.lit(n - 1)))).join(two.select(F.col("block").alias("other"), F.col("sets").alias("others")), "other")
+    rows = met.select("block", "other", F.explode("sets").alias("a"), "others").select("block", "other", "a", F.explode("others").alias("b"))
+    once = (F.col("a.id") < F.col("b.id")) | (F.col("block") != F.col("other") if right is None else ~F.col("b.new"))
+    rows = rows.filter(once & (F.col("a.id") != F.col("b.id")))
+    first = F.col("a.id") < F.col("b.id")
+    rows = rows.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"))
+    inter = F.aggregate(F.zip_with("x.words", "y.words", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, c: s + c)
+    return rows.select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.col("x.direction").alias("d1"), F.col("y.direction").alias("d2"), F.col("x.size").alias("n1"), F.col("y.size").alias("n2"), inter.cast("long").alias("inter"))
+
+
+def pair_overlaps(found: DataFrame, n: int, listed: bool = True) -> DataFrame:
+    """(i, j, shared, only_1, only_2, p, jac) of set_pairs; the second set is complemented where directions differ. listed: else pairs of one direction
+    without a shared sample, whose p is 1, are left out. The tail is computed once per distinct (shared, n1, n2)."""
+    same = F.col("d1") == F.col("d2")
+    pairs = found if listed else found.filter(~same | (F.col("inter") > 0))
+    pairs = pairs.withColumn("shared", F.when(same, F.col("inter")).otherwise(F.col("n1") - F.col("inter"))).withColumn("n2", F.when(same, F.col("n2")).otherwise(n - F.col("n2")))
+    pairs = with_tail(materialise(pairs.select("i", "j", "shared", "n1", "n2"), "set-pairs"), "shared", "n1", "n2", n)
+    return pairs.select("i", "j", "shared", (F.col("n1") - F.col("shared")).alias("only_1"), (F.col("n2") - F.col("shared")).alias("only_2"), "p", jaccard(F.col("shared"), F.col("n1"), F.col("n2")).alias("jac"))
+
+
 def bicluster_pair_overlap(bics: DataFrame, samples: DataFrame, n: int) -> DataFrame:
     """(i, j, shared, only_1, only_2, p, jac) of all pairs i < j by samples; the second set is complemented where directions differ.
     bics: id, direction; samples: id, sample; n: all samples. One row per pair of biclusters is the result itself."""
-    size = bics.select("id", "direction").join(samples.groupBy("id").agg(F.count("*").alias("size")), "id", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    one = size.select(F.col("id").alias("i"), F.col("direction").alias("d1"), F.col("size").alias("n1"))
-    two = size.select(F.col("id").alias("j"), F.col("direction").alias("d2"), F.col("size").alias("n2"))
-    pairs = one.join(two, F.col("i") < F.col("j")).join(shared_counts(samples, samples, "sample"), ["i", "j"], "left")
-    same, inter = F.col("d1") == F.col("d2"), F.coalesce("shared", F.lit(0))
-    pairs = pairs.withColumn("shared", F.when(same, inter).otherwise(F.col("n1") - inter)).withColumn("n2", F.when(same, F.col("n2")).otherwise(n - F.col("n2")))
-    return pairs.select("i", "j", "shared", (F.col("n1") - F.col("shared")).alias("only_1"), (F.col("n2") - F.col("shared")).alias("only_2"), hypergeom_tail(F.col("shared"), F.col("n1"), F.col("n2"), n).alias("p"), jaccard(F.col("shared"), F.col("n1"), F.col("n2")).alias("jac"))
+    numbers = materialise(sample_numbers(samples), "sample-numbers")
+    sets = materialise(packed_sets(bics, samples, numbers, numbers.count()), "packed-sets")
+    return pair_overlaps(set_pairs(sets), n)
 
 
 def gene_overlap_pval(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """(i, j, shared, p): right-tail p that sets of a and b (id, gene) share so many of n genes; pairs without a shared gene are left out (p = 1)."""
     na, nb = a.groupBy(F.col("id").alias("i")).agg(F.count("*").alias("n1")), b.groupBy(F.col("id").alias("j")).agg(F.count("*").alias("n2"))
-    rows = shared_counts(a, b, "gene").join(na, "i").join(nb, "j")
-    return rows.select("i", "j", "shared", hypergeom_tail(F.col("shared"), F.col("n1"), F.col("n2"), n).alias("p"))
+    rows = materialise(shared_counts(a, b, "gene").join(na, "i").join(nb, "j"), "shared-genes")
+    return with_tail(rows, "shared", "n1", "n2", n).select("i", "j", "shared", "p")
 
 
 def merge_candidates(pairs: DataFrame, n_bics: int, alpha: float = 0.05) -> DataFrame:

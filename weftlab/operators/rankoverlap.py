@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from weftlab.functions.stats import hypergeom_tail, snr
 from weftlab.operators.network import drop_small_components
-from weftlab.operators.prepare import gene_power_sums
 from weftlab.session import materialise
 
 
@@ -48,35 +52,93 @@ def top_overlap_test(edges: DataFrame, ranked: DataFrame, n: int, tu: int, tw: i
     a = ranked.filter(F.col("rnk") < tu).select(F.col("gene").alias("g1"), "sample")
     b = ranked.filter(F.col("rnk") < tw).select(F.col("gene").alias("g2"), "sample")
     both = edges.select("g1", "g2").join(a, "g1").join(b, ["g2", "sample"]).groupBy("g1", "g2").agg(F.count("*").alias("overlap"), *([F.array_sort(F.collect_list("sample")).alias("samples")] if items else []))
-    out = edges.select("g1", "g2").join(both, ["g1", "g2"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-    return out.withColumn("p", hypergeom_tail(F.col("overlap"), F.lit(tu), F.lit(tw), n)).withColumn("enrichment", F.col("overlap") / (tu * tw / n))
-
-
-def overlap_grid(edges: DataFrame, ranked: DataFrame, n: int, step: int, least: int | None = None) -> DataFrame:
+    out = edges.select("g1", "g2").join(both, ["g1", "g2"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    tails = edges.sparkSession.range(min(tu, tw) + 1).select(F.col("id").alias("overlap"), hypergeom_tail(F.col("id"), F.lit(tu), F.lit(tw), n).alias("p"))
+    out = out.join(F.broadcast(tails), "overlap")  # a row per possible overlap
+    return out.select("g1", "g2", "overlap", "p", (F.col("overlap") / (tu * tw / n)).alias("enrichment"), *(["samples"] if items else []))
+
+
+def gene_profiles(ranked: DataFrame, below: int) -> DataFrame:
+    """(gene, n, s, ss, samples, values): count and power sums of each gene's values, and its samples of rank below `below` in their order."""
+    top = F.array_sort(F.collect_list(F.when(F.col("rnk") < below, F.struct("rnk", "sample", "value"))))
+    rows = ranked.groupBy("gene").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), top.alias("top"))
+    return rows.select("gene", "n", "s", "ss", F.col("top.sample").alias("samples"), F.col("top.value").alias("values"))
+
+
+def _edge_rows(edges: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """A row per edge with the profiles of both ends (columns with 1 and 2); no row per sample."""
+    profiles = gene_profiles(ranked, n // 2)
+    end = lambda i: profiles.select(F.col("gene").alias(f"g{i}"), *[F.col(c).alias(f"{c}{i}") for c in profiles.columns[1:]])
+    return edges.select("g1", "g2").join(end(1), "g1").join(end(2), "g2")
+
+
+class _Corners:
+    """Summed-area tables of the edges of a batch: counts and power sums of both ends in every corner of the grid of cut-offs."""
+
+    def __init__(self, batch: pa.RecordBatch, n: int, step: int):
+        mid, self.k, self.edges = n // 2, len(cutoffs(n, step)), batch.num_rows
+        lists = [[batch.column(f"{c}{i}") for c in ("samples", "values")] for i in (1, 2)]
+        code = pa.concat_arrays([x[0].flatten() for x in lists]).dictionary_encode()
+        self.names, codes = code.dictionary, code.indices.to_numpy()
+        size = [np.asarray(x[0].value_lengths()) for x in lists]
+        edge = [np.repeat(np.arange(self.edges), m) for m in size]
+        rank = [np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) for m in size]
+        value = [x[1].flatten().fill_null(0.0).to_numpy(zero_copy_only=False) for x in lists]
+        key = [edge[0] * len(self.names) + codes[: len(edge[0])], edge[1] * len(self.names) + codes[len(edge[0]) :]]
+        _, at, bt = np.intersect1d(*key, assume_unique=True, return_indices=True)
+        self.edge, self.sample, self.ranks = edge[0][at], codes[at], (rank[0][at], rank[1][bt])
+        v = (value[0][at], value[1][bt])
+        cell = [np.minimum((mid - r - 1) // step, self.k - 1) for r in self.ranks]
+        place = (self.edge * self.k + cell[0]) * self.k + cell[1]
+        self.sums = []
+        for w in (None, v[0], v[0] * v[0], v[1], v[1] * v[1]):
+            cells = np.bincount(place, w, self.edges * self.k**2).reshape(self.edges, self.k, self.k)
+            self.sums.append(cells[:, ::-1, ::-1].cumsum(axis=1).cumsum(axis=2)[:, ::-1, ::-1])
+        self.cut = mid - step * np.arange(self.k)
+
+    def snr(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The mean of both ends' ratios in every corner; NaN if undefined."""
+        got = np.zeros(self.sums[0].shape)
+        n1 = self.sums[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i in (1, 2):
+                n, s, ss = (batch.column(f"{c}{i}").to_numpy(zero_copy_only=False).astype(np.float64)[:, None, None] for c in ("n", "s", "ss"))
+                s1, ss1 = self.sums[2 * i - 1], self.sums[2 * i]
+                std = lambda n, s, ss: np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0.0))
+                spread = std(n1, s1, ss1) + std(n - n1, s - s1, ss - ss1)
+                got += np.where(spread > 0, np.abs(s1 / n1 - (s - s1) / (n - n1)) / spread, np.nan)
+        return got / 2
+
+
+def overlap_grid(edges: DataFrame, ranked: DataFrame, n: int, step: int) -> DataFrame:
     """(g1, g2, c1, c2, tu, tw, n, s1, ss1, s2, ss2): samples in each corner top-tu x top-tw, and the sums of both ends' values there.
     c counts cells inwards from the widest cut-off; corners of the whole grid are present for edges with any sample.
 
-    least: only corners up to the first diagonal that surely holds one with at most so many samples, which is where the walk of
-    best_corner ends: on one of its two ends. The samples of an edge, an array of numbers of cells, tell where.
+    Each end's profile is one row, joined with the edges; a corner's sums come from a summed-area table of the edge, in its task.
     """
-    mid, k = n // 2, len(cutoffs(n, step))
-    cell = lambda r: F.least(F.floor((F.lit(mid) - F.col(r) - 1) / step), F.lit(k - 1)).cast("int")
-    low = edge_profiles(edges, ranked, mid).select("g1", "g2", cell("r1").alias("c1"), cell("r2").alias("c2"), "v1", "v2")
-    if least is None:
-        ends = low.select("g1", "g2").distinct().withColumn("end", F.lit(k - 1))
-    else:
-        nth = lambda c: F.coalesce(F.get(F.sort_array(F.collect_list(c), asc=False), F.lit(least)) + 1, F.lit(0))
-        ends = low.groupBy("g1", "g2").agg(F.least(nth("c1"), nth("c2"), F.lit(k - 1)).alias("end"))
-        low = low.join(ends, ["g1", "g2"]).withColumns({c: F.least(c, "end") for c in ("c1", "c2")})
-    sums = low.groupBy("g1", "g2", "c1", "c2").agg(F.count("*").alias("n"), F.sum("v1").alias("s1"), F.sum(F.col("v1") * F.col("v1")).alias("ss1"), F.sum("v2").alias("s2"), F.sum(F.col("v2") * F.col("v2")).alias("ss2"))
-    dense = ends.withColumn("c1", F.explode(F.sequence(F.lit(0), "end"))).withColumn("c2", F.explode(F.sequence(F.lit(0), "end"))).drop("end")
-    full = dense.join(sums, ["g1", "g2", "c1", "c2"], "left")
-    cols = ["n", "s1", "ss1", "s2", "ss2"]
-    along = Window.partitionBy("g1", "g2", "c2").orderBy("c1").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    across = Window.partitionBy("g1", "g2", "c1").orderBy("c2").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    full = full.select("g1", "g2", "c1", "c2", *[F.sum(F.coalesce(c, F.lit(0))).over(along).alias(c) for c in cols])
-    full = full.select("g1", "g2", "c1", "c2", *[F.sum(c).over(across).alias(c) for c in cols])
-    return full.select("g1", "g2", "c1", "c2", (F.lit(mid) - F.col("c1") * step).alias("tu"), (F.lit(mid) - F.col("c2") * step).alias("tw"), *cols)
+    rows = _edge_rows(edges, ranked, n)
+    out = rows.select("g1", "g2").schema.add("c1", "integer").add("c2", "integer").add("tu", "integer").add("tw", "integer").add("n", "long")
+    for c in ("s1", "ss1", "s2", "ss2"):
+        out = out.add(c, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches, len(cutoffs(n, step)) ** 2):
+            got = _Corners(batch, n, step)
+            some = np.flatnonzero(got.sums[0][:, 0, 0] > 0)
+            e, c1, c2 = (x.ravel() for x in np.meshgrid(some, np.arange(got.k), np.arange(got.k), indexing="ij"))
+            at = pa.array(e)
+            cells = [c1.astype(np.int32), c2.astype(np.int32), got.cut[c1].astype(np.int32), got.cut[c2].astype(np.int32), got.sums[0][some].ravel().astype(np.int64), *(s[some].ravel() for s in got.sums[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("g1").take(at), batch.column("g2").take(at), *map(pa.array, cells)], out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def _few(batches: Iterator[pa.RecordBatch], cells: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Batches of so many edges that their tables stay small."""
+    size = max(1, most // max(1, cells))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, size):
+            yield batch.slice(lo, size)
 
 
 def corner_snr(grid: DataFrame, sums: DataFrame) -> DataFrame:
@@ -87,41 +149,62 @@ def corner_snr(grid: DataFrame, sums: DataFrame) -> DataFrame:
     return both.withColumn("snr", (side(1) + side(2)) / 2).drop("t1", "ts1", "tss1", "t2", "ts2", "tss2")
 
 
-def best_corner(grid: DataFrame, thresholds: DataFrame, min_n_samples: int, min_snr: float) -> DataFrame:
-    """(g1, g2, tu, tw, n, snr) of the best corner of each edge that has one.
+def best_corner(edges: DataFrame, ranked: DataFrame, n: int, step: int, thresholds: DataFrame, min_n_samples: int, min_snr: float, with_samples: bool = False) -> DataFrame:
+    """(g1, g2, tu, tw, n, snr[, samples]) of the best corner of each edge that has one; samples: those in it, in no order.
 
     Anti-diagonals c1 + c2 are walked from the widest corner; the walk ends after the first with a hit (n above its threshold and snr at
     least min_snr) or with any n <= min_n_samples, and before the first with a cut-off <= 0. Best: most samples, then
-    smallest abs(tu - tw), then smallest c1.
+    smallest abs(tu - tw), then smallest c1. Undefined ratios are no hits. thresholds: overlap_thresholds of the same n and step; it is
+    gathered, as its size is that of the grid whatever the data.
     """
-    cells = grid.join(thresholds, ["tu", "tw"]).withColumn("diag", F.col("c1") + F.col("c2"))
-    hit = (F.col("n") > F.col("min_overlap")) & (F.col("snr") >= min_snr)
-    w = Window.partitionBy("g1", "g2")
-    edge = F.max(F.greatest("c1", "c2")).over(w)  # the last diagonal whose cells all have positive cut-offs
-    stop = F.least(F.coalesce(F.min(F.when(hit | (F.col("n") <= min_n_samples), F.col("diag"))).over(w), edge), edge)
-    order = w.orderBy(F.desc("n"), F.abs(F.col("tu") - F.col("tw")), "c1")
-    seen = cells.withColumn("stop", stop).filter(hit & (F.col("diag") <= F.col("stop")))
-    return seen.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("g1", "g2", "tu", "tw", "n", "snr")
-
-
-def samples_of_corner(best: DataFrame, edges: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
-    """(g1, g2, sample) in the best corner of each edge."""
-    rows = edge_profiles(best.select("g1", "g2"), ranked, n // 2).join(best, ["g1", "g2"])
-    return rows.filter("r1 < tu and r2 < tw").select("g1", "g2", "sample")
+    rows = _edge_rows(edges, ranked, n)
+    k = len(cutoffs(n, step))
+    least = np.full((n + 1, n + 1), n)
+    for r in thresholds.collect():
+        least[r["tu"], r["tw"]] = r["min_overlap"]
+    kind = ranked.schema["sample"].dataType
+    out = rows.select("g1", "g2").schema.add("tu", "integer").add("tw", "integer").add("n", "long").add("snr", "double")
+    if with_samples:
+        out = out.add("samples", ArrayType(kind))
+    cut = n // 2 - step * np.arange(k)
+    needed = least[np.ix_(cut, cut)]
+    c1, c2 = np.indices((k, k))
+    diagonal = c1 + c2
+    order = (k * np.abs(c1 - c2) + c1)[None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches, k**2):
+            got = _Corners(batch, n, step)
+            size, ratio = got.sums[0].astype(np.int64), got.snr(batch)
+            hit = (size > needed) & (ratio >= min_snr)
+            end = np.where(hit | (size <= min_n_samples), diagonal, k - 1).min(axis=(1, 2))
+            seen = hit & (diagonal <= np.minimum(end, k - 1)[:, None, None])
+            worth = np.where(seen, size * k**3 - order, -1).reshape(len(seen), -1)
+            at = worth.argmax(axis=1)
+            edge = np.flatnonzero(seen.any(axis=(1, 2)))
+            u, w = at[edge] // k, at[edge] % k
+            cols = [*(batch.column(g).take(pa.array(edge)) for g in ("g1", "g2")), *(pa.array(cut[x].astype(np.int32)) for x in (u, w)), pa.array(size[edge, u, w]), pa.array(ratio[edge, u, w])]
+            if with_samples:
+                limit = np.zeros((2, got.edges), np.int64)
+                limit[0, edge], limit[1, edge] = cut[u], cut[w]
+                inside = (got.ranks[0] < limit[0, got.edge]) & (got.ranks[1] < limit[1, got.edge])
+                counts = np.bincount(got.edge[inside], minlength=got.edges)[edge]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), got.names.take(pa.array(got.sample[inside]))))
+            yield pa.RecordBatch.from_arrays(cols, out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def assign_samples_to_edges(edges: DataFrame, m: DataFrame, direction: str = "UP", p: float = 0.01, min_snr: float = 0.0, min_n_samples: int | None = None, k: int = 3) -> DataFrame:
     """(g1, g2, sample): the samples in which both ends are extreme; edges with fewer than min_n_samples and components of fewer
-    than k genes are dropped. Default for min_n_samples: the larger of 10 and a twentieth of the samples."""
+    than k genes are dropped. Default for min_n_samples: the larger of 10 and a twentieth of the samples. A gene has one value per sample."""
     n = m.select("sample").distinct().count()
     step = max(1, n // 100)
     least = min_n_samples if min_n_samples is not None else max(10, int(0.05 * n))
-    ranked = rank_samples(m, direction)
-    grid = corner_snr(overlap_grid(edges, ranked, n, step, least), gene_power_sums(m))
-    best = best_corner(grid, overlap_thresholds(m.sparkSession, n, step, p), least, min_snr).filter(F.col("n") >= least)
-    rows = materialise(samples_of_corner(materialise(best, "best-corners"), edges, ranked, n), "edge-samples")
-    kept = drop_small_components(rows.select("g1", "g2").distinct(), k)
-    return rows.join(kept, ["g1", "g2"], "left_semi")
+    best = best_corner(edges, rank_samples(m, direction), n, step, overlap_thresholds(m.sparkSession, n, step, p), least, min_snr, with_samples=True).filter(F.col("n") >= least)
+    best = materialise(best, "best-corners")
+    kept = drop_small_components(best.select("g1", "g2"), k)
+    return best.join(kept, ["g1", "g2"], "left_semi").select("g1", "g2", F.explode("samples").alias("sample"))
 
 
 def snr_threshold(edges: DataFrame, avg_snr: Column | str, q: float = 0.1, size: int = 1000) -> DataFrame:

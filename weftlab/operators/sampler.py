@@ -1,13 +1,23 @@
-"""The block sampler over module labels."""
+"""The sampler over module labels: parts of the network are drawn in tasks, and exchange counts after every step."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlab.operators import modules
+from weftlab.functions.ordering import numbered
+from weftlab.operators import gibbs, modules
+from weftlab.operators.network import incidence
 from weftlab.session import materialise, release
 
+#: Cells (edges times samples) of a part.
+CELLS = 8_000_000
+#: Steps that a network of a single part takes in one job; it has nobody to exchange counts with, so the number changes no result.
+AT_ONCE = 10
+STATE = "part long, eid long, module long, steps array<long>, window array<long>"
+
 
 def draw(probs: DataFrame, seed: int, step: int, block: int) -> DataFrame:
     """(eid, module): one module per edge by inverse cumulative probability at a hash-uniform number."""
@@ -17,54 +27,158 @@ def draw(probs: DataFrame, seed: int, step: int, block: int) -> DataFrame:
     return hit.groupBy("eid").agg(F.min_by("module", "cum").alias("module"))
 
 
-def run_sampler(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200, blocks: int = 4, averaged: int = 20, needed: int = 5, tol: float = 0.1, seed: int = 1, points: int = 10) -> tuple[DataFrame, bool]:
-    """(history, converged): history (step, eid, module) of a block Gibbs sampler, from every edge alone to convergence or `steps`.
+def parted(edges: DataFrame, n: int, part_edges: int | None = None) -> tuple[DataFrame, int]:
+    """(edges with `part`, number of parts): edges in the order of the busiest gene near them, cut into parts of equal size, so that most edges
+    that share a gene share a part, and a gene of any number of edges is spread over as many parts as it needs."""
+    total, size = edges.count(), part_edges or max(1, CELLS // max(1, n))
+    if total <= size:
+        return edges.withColumn("part", F.lit(0).cast("long")), 1
+    degree = incidence(edges, "eid").groupBy("gene").agg(F.count("*").alias("n"))
+    of = lambda g, i: degree.select(F.col("gene").alias(g), F.col("n").alias(f"n{i}"))
+    busy = F.when((F.col("n1") > F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("g1") < F.col("g2")), F.col("g1")).otherwise(F.col("g2"))
+    placed = numbered(edges.join(of("g1", 1), "g1").join(of("g2", 2), "g2").withColumn("__busy", busy), ["__busy", "eid"], "__nth")
+    return placed.select(*edges.columns, F.floor(F.col("__nth") / size).alias("part")), -(-total // size)
+
+
+def _seen(edges: DataFrame, state: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, kind, a, b, c): what each part must know of the others. kind 1: (gene, module) that their edges offer at its genes; kind 2: (module,
+    sample, ones) of every module that it can see."""
+    ends = incidence(edges.select("eid", "g1", "g2", "part").join(state.select("eid", "module"), "eid").select("g1", "g2", "part", F.array("module", "eid").alias("both")), "part", "both")
+    offers = ends.select("gene", F.explode("both").alias("module"), F.col("part").alias("source")).distinct()
+    near = ends.select("gene", "part").distinct()
+    other = near.join(offers, "gene").filter("part <> source").select("part", "gene", "module").distinct()
+    own = state.select("part", F.explode(F.array("module", "eid")).alias("module"))
+    needed = other.select("part", "module").union(own).distinct().join(counts, "module")
+    return other.select("part", F.lit(1).alias("kind"), F.col("gene").alias("a"), F.col("module").alias("b"), F.lit(0).cast("long").alias("c")).union(
+        needed.select("part", F.lit(2), "module", F.col("sample").cast("long"), "ones")
+    )
+
+
+def run_sampler(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200, averaged: int = 20, needed: int = 5, tol: float = 0.1, seed: int = 1, points: int = 10, part_edges: int | None = None, alpha: float = modules.ALPHA, beta: float = modules.BETA) -> tuple[DataFrame, bool]:
+    """(history, converged): history (step, eid, module) of a Gibbs sampler, from every edge alone to convergence or `steps`.
 
-    In a step the edges draw block by block (block by hash of the edge); counts are taken anew before each block. The state is written
-    after each block, so lineage stays short and a lost executor costs one block. blocks = number of edges is the strictly
-    sequential sampler. Converged: `needed` steps in a row with flat series, over the last `points` steps, of the change of the transition
-    tables over `averaged` steps and of the log-likelihood. Without edges the history is empty.
+    The network is cut into parts of bounded size (`part_edges` edges, by default CELLS cells). In a step each part draws its edges in one task, level
+    by level as `gibbs` tells, from counts that its own moves keep current and that hold the other parts' edges as they were before the step;
+    after it, the parts' changes are added to the counts. With one part this is the sequential sampler in a fixed order. What was
+    drawn is written after each job, so lineage stays short and a lost executor costs one step. Results depend on the seed and the parts, not on
+    Spark's partitions. Converged: `needed` steps in a row with flat series, over the last `points` steps, of the change of the transition
+    tables over `averaged` steps and of the log-likelihood. Samples may be of any type; edges without samples take part; repeated
+    samples of an edge count once. Without edges the history is empty.
     """
-    state = materialise(modules.initial_state(edges, samples, n).select("eid", "module"), "state")
-    history, tables, series, flat = [], None, [], 0
-    for step in range(steps):
-        total = 0.0
-        for b in range(blocks):
-            turn = edges.filter(F.pmod(F.xxhash64("eid"), F.lit(blocks)) == b)
-            offers = modules.edge_candidate_modules(edges, state).join(turn.select("eid"), "eid", "left_semi")
-            logp = materialise(modules.edge_module_loglik(offers, state, samples, n), "logp")
-            drawn = draw(modules.move_probabilities(logp), seed, step, b)
-            was, state = state, materialise(state.join(drawn.withColumnRenamed("module", "new"), "eid", "left").select("eid", F.coalesce("new", "module").alias("module")), "state")
-            total += logp.join(state, ["eid", "module"]).agg(F.sum("lp")).first()[0] or 0.0
-            release(logp, was if b else None)  # states at the end of a step stay: they are the history
-        history.append(state.select(F.lit(step).alias("step"), "eid", "module"))
-        if step >= averaged:
-            now = materialise(modules.edge_transitions(_union(history[step - averaged : step])), "transitions")
-            if tables is not None:
-                series.append((step, modules.transition_rmsd(tables, now).first()[0], total))
-            release(tables)
-            tables = now
-        if len(series) >= points:
-            done = modules.convergence_check(edges.sparkSession.createDataFrame(series, "step int, x1 double, x2 double"), last=points, tol=tol).first()["converged"]
-            flat = flat + 1 if done else 0
+    spark = edges.sparkSession
+    if edges.isEmpty():
+        return spark.createDataFrame([], "step int, eid long, module long"), False
+    ids = numbered(samples.select("sample").distinct(), ["sample"], "nth")
+    listed = samples.join(ids, "sample").groupBy("eid").agg(F.array_sort(F.collect_set(F.col("nth").cast("int"))).alias("samples"))
+    genes = numbered(incidence(edges).select("gene").distinct(), ["gene"], "nth")  # any type of gene becomes a number
+    gene = lambda g: genes.select(F.col("gene").alias(g), F.col("nth").cast("long").alias(f"{g}n"))
+    plain = edges.select("eid", "g1", "g2").join(gene("g1"), "g1").join(gene("g2"), "g2").select(F.col("eid").cast("long").alias("eid"), F.col("g1n").alias("g1"), F.col("g2n").alias("g2"))
+    cut, parts = parted(plain, n, part_edges)
+    fixed = materialise(cut.join(listed, "eid", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<int>"))), "parts")
+    none = F.array().cast("array<long>")
+    state = fixed.select("part", "eid", F.col("eid").alias("module"), none.alias("steps"), none.alias("window"))
+    counts = None
+    if parts > 1:
+        counts = materialise(fixed.select(F.col("eid").alias("module"), F.explode(F.concat("samples", F.array(F.lit(-1)))).alias("sample"), F.lit(1).cast("long").alias("ones")), "counts")
+    history, series, flat, step = [], [], 0, 0
+    while step < steps:
+        k = 1 if parts > 1 else min(AT_ONCE, steps - step)
+        after = materialise(_job(fixed, state, counts, n, step, k, averaged, seed, alpha, beta, parts > 1), "sampled")
+        moved = after.filter("eid is not null").drop("sums")
+        history.append((step, moved))
+        told = after.filter("module is null").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(*[F.sum(F.col("x")[i]).alias(c) for i, c in enumerate(("lp", "squares", "terms", "known"))])
+        for r in sorted(told.collect(), key=lambda r: r["at"]):  # one row per step of the job
+            if r["known"]:
+                series.append((step, (r["squares"] / r["terms"]) ** 0.5 if r["terms"] else 0.0, r["lp"]))
+            flat = flat + 1 if len(series) >= points and is_flat(series, points, tol) else 0
+            step += 1
             if flat >= needed:
-                return _union(history), True
-    return _union(history), False
+                return _history(history, step), True
+        if parts > 1:
+            changed = after.filter("eid is null and module is not null").select("module", F.col("part").cast("int").alias("sample"), F.col("sums")[0][0].cast("long").alias("ones"))
+            was, counts = counts, materialise(counts.union(changed).groupBy("module", "sample").agg(F.sum("ones").alias("ones")).filter("ones <> 0"), "counts")
+            release(was)
+        state = moved
+    return _history(history, step), False
+
+
+def is_flat(series: list[tuple[int, float, float]], points: int, tol: float) -> bool:
+    """convergence_check of a series (step, x1, x2) that is at hand: at most one row per step."""
+    rows = np.array(series, dtype=np.float64)
+    t = rows[-points:, 0] - rows[-points:, 0].mean()
+    for x in (rows[:, 1], rows[:, 2]):
+        lo, hi = x.min(), x.max()
+        if hi <= lo or not (t * t).sum():
+            return False
+        y = 10 * (x[-points:] - lo) / (hi - lo)
+        if not abs((t * y).sum() / (t * t).sum()) < tol:
+            return False
+    return True
+
+
+def _job(fixed: DataFrame, state: DataFrame, counts: DataFrame | None, n: int, first: int, k: int, averaged: int, seed: int, alpha: float, beta: float, exchange: bool) -> DataFrame:
+    """The state after k steps, with rows of two other kinds: per part (eid and module null) the sums of each step, and, where parts
+    exchange, the changes of counts (eid null; sample in `part`, change in sums)."""
+    out = f"{STATE}, sums array<array<double>>"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        edges = left.sort_values("eid")
+        rows = right[right["kind"] == 0].sort_values("a")
+        held = offered = None
+        if exchange:
+            some = right[right["kind"] == 2]
+            held = tuple(some[c].to_numpy(np.int64) for c in "abc")
+            some = right[right["kind"] == 1]
+            offered = (some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64))
+        part = gibbs.Part(*(edges[c].to_numpy(np.int64) for c in ("eid", "g1", "g2")), list(edges["samples"]), rows["b"].to_numpy(np.int64), n, alpha, beta, seed, held, offered)
+        before = part.counts() if exchange else None
+        windows = [np.asarray(w, np.int64) for w in rows["window"]]
+        window = np.stack(windows) if len(windows[0]) else np.zeros((len(rows), 0), np.int64)
+        drawn, sums = [], []
+        for step in range(first, first + k):
+            full = window.shape[1] > averaged
+            squares, terms = gibbs.window_change(window) if full else (0.0, 0)
+            sums.append([part.sweep(step), squares, float(terms), float(full)])
+            drawn.append(part.modules[part.label])
+            window = np.concatenate([window, drawn[-1][:, None]], axis=1)[:, -(averaged + 1) :]
+        name = int(left["part"].iloc[0])
+        moved = pd.DataFrame({"part": name, "eid": part.eid, "module": drawn[-1], "steps": list(np.stack(drawn, axis=1)), "window": list(window), "sums": None})
+        tables = [moved, pd.DataFrame({"part": [name], "eid": [None], "module": [None], "steps": [None], "window": [None], "sums": [sums]})]
+        if exchange:
+            key, change = _difference(before, part.counts())
+            tables.append(pd.DataFrame({"part": key[:, 1], "eid": None, "module": key[:, 0], "steps": None, "window": None, "sums": [[[float(c)]] for c in change]}))
+        return pd.concat([t.astype({"eid": "Int64", "module": "Int64"}) for t in tables if len(t)])
+
+    kinds = F.col("part").alias("of"), F.lit(0).alias("kind"), F.col("eid").alias("a"), F.col("module").alias("b"), F.lit(0).cast("long").alias("c"), "window"
+    told = state.select(*kinds)
+    if exchange:
+        told = told.union(_seen(fixed, state, counts).withColumn("window", F.array().cast("array<long>")))
+    return fixed.groupBy("part").cogroup(told.groupBy("of")).applyInPandas(run, out)
+
+
+def _difference(was: tuple[np.ndarray, ...], now: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """((module, sample), change) between two tables of counts."""
+    key, at = np.unique(np.concatenate([np.stack(was[:2], 1), np.stack(now[:2], 1)]), axis=0, return_inverse=True)
+    change = np.zeros(len(key), np.int64)
+    np.add.at(change, at.ravel(), np.concatenate([-was[2], now[2]]))
+    return key[change != 0], change[change != 0]
+
+
+def _history(parts: list[tuple[int, DataFrame]], steps: int) -> DataFrame:
+    out = None
+    for first, moved in parts:
+        rows = moved.select("eid", F.posexplode("steps").alias("at", "module")).select((F.col("at") + first).alias("step"), "eid", "module")
+        out = rows if out is None else out.union(rows)
+    return out.filter(F.col("step") < steps)
 
 
 def sample_modules(edges: DataFrame, samples: DataFrame, n: int, **how) -> DataFrame:
-    """The history of run_sampler."""
-    return run_sampler(edges, samples, n, **how)[0]
+    """The history of run_sampler with `converged`, the same in every row."""
+    history, converged = run_sampler(edges, samples, n, **how)
+    return history.withColumn("converged", F.lit(converged))
 
 
 def final_modules(history: DataFrame, converged: bool, needed: int = 5, points: int = 10) -> DataFrame:
     """consensus_modules over the last steps: points + needed of them if the sampler has converged, else `needed`."""
     last = history.agg(F.max("step")).first()[0]
     return modules.consensus_modules(history.filter(F.col("step") > (last or 0) - (points + needed if converged else needed)))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out

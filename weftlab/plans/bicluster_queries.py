@@ -108,9 +108,8 @@ best AS (SELECT g1, g2, tu, tw, n, snr FROM (SELECT *, row_number() OVER (PARTIT
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.exprs(spark, sf_dir)
-    grid = rankoverlap.corner_snr(rankoverlap.overlap_grid(_edges(spark, sf_dir), rankoverlap.rank_samples(m), N, 1, 10), prepare.gene_power_sums(m))
-    return rankoverlap.best_corner(grid, rankoverlap.overlap_thresholds(spark, N, 1, 0.01), 10, 0.2)
+    ranked = rankoverlap.rank_samples(fx.exprs(spark, sf_dir))
+    return rankoverlap.best_corner(_edges(spark, sf_dir), ranked, N, 1, rankoverlap.overlap_thresholds(spark, N, 1, 0.01), 10, 0.2)
 
 
 @query(f"WITH {RANKED}, {BEST} SELECT g1, g2, CAST(tu AS INTEGER) AS tu, CAST(tw AS INTEGER) AS tw, n, round(snr, 5) AS snr FROM best")
@@ -251,14 +250,10 @@ def move_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.move_probabilities(rows).select("eid", "module", F.round("p", 5).alias("p"))
 
 
-#: A step takes seconds of set-up whatever the data, so the queries watch fewer steps than the defaults (20, 10 and 5 of at most 200).
-SAMPLING = {"blocks": 2, "averaged": 2, "points": 2, "needed": 1, "steps": 6}
-
-
 @query()
 def sample_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, samples, _ = _tops(spark, sf_dir)
-    return sampler.sample_modules(materialise(edges, "edges"), materialise(samples.select("eid", "sample"), "samples"), N, **SAMPLING)
+    return sampler.sample_modules(materialise(edges, "edges"), materialise(samples.select("eid", "sample"), "samples"), N)
 
 
 HIST = "hist AS (SELECT l_orderkey AS eid, l_linenumber AS step, min(l_suppkey) % 3 AS module FROM lineitem GROUP BY 1, 2)"
@@ -443,8 +438,8 @@ def bicluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def discover_biclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bics, members, samples = jobs.discover(fx.vector_edges(spark, sf_dir), fx.exprs(spark, sf_dir), "UP", p=0.2, min_snr=0.1, min_n_samples=8, **SAMPLING)
-    return bicluster.final_report(bics.select("id", "direction", "avgSNR"), members, samples)
+    bics, members, samples = jobs.discover(fx.vector_edges(spark, sf_dir), fx.exprs(spark, sf_dir), "UP", p=0.2, min_snr=0.1, min_n_samples=8)
+    return bicluster.final_report(bics.select("id", "direction", "avgSNR", "converged"), members, samples)
 
 
 @query()
