@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,13 +12,31 @@ from pyspark.sql import functions as F
 
 #: ln(i!) for the first i; beyond them Stirling's series has all digits of a double.
 _SMALL = [math.lgamma(i + 1) for i in range(16)]
+#: Up to so large a number log-factorials are looked up, which keeps expressions small.
+_TABLE = 4096
 
 
-def log_factorial(i: Column) -> Column:
-    """ln(i!) of a whole number from 0, in closed form."""
-    x = i.cast("double")
-    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
-    return F.when(i < len(_SMALL), F.get(F.lit(np.array(_SMALL)), i.cast("int"))).otherwise(series)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: without this, an expression that is used in several places stands, and is planned, in each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def log_factorial(i: Column, most: int | None = None) -> Column:
+    """ln(i!) of a whole number from 0: looked up, if it is known to be at most `most` and that is small, else in closed form."""
+    if most is not None and most <= _TABLE:
+        return F.get(F.lit(np.array([math.lgamma(k + 1) for k in range(most + 1)])), i.cast("int"))
+
+    def series(x: Column) -> Column:
+        return (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+
+    return let(i.cast("double"), lambda x: F.when(x < len(_SMALL), F.get(F.lit(np.array(_SMALL)), x.cast("int"))).otherwise(series(x)))
+
+
+def hypergeom_term(x: Column, k: Column, m: Column, n: int) -> Column:
+    """P(X = x) for X the overlap of sets of k and m out of n; 0 where it cannot be."""
+    lf = lambda i: log_factorial(i, n)
+    p = F.exp(lf(k) + lf(n - k) + lf(m) + lf(n - m) - lf(F.lit(n)) - lf(x) - lf(k - x) - lf(m - x) - lf(n - k - m + x))
+    return F.when((x >= F.greatest(F.lit(0), k + m - n)) & (x <= F.least(k, m)), p).otherwise(0.0)
 
 
 def hypergeom_tail(x: Column, k: Column, m: Column, n: int) -> Column:
@@ -26,25 +45,32 @@ def hypergeom_tail(x: Column, k: Column, m: Column, n: int) -> Column:
     Terms are summed away from the middle of the distribution, each from the one before, and only as many as count: over x from
     there upwards, or below x, taken from 1. Null in, null out.
     """
-    x, k, m = x.cast("long"), k.cast("long"), m.cast("long")
-    least, most = F.greatest(F.lit(0), k + m - n), F.least(k, m)
-    middle = F.floor((k + 1) * (m + 1) / F.lit(n + 2.0))
-    upper = x > middle
-    at = F.when(upper, x).otherwise(x - 1)  # the first term of the sum
-    lf = log_factorial
-    first = F.exp(lf(k) + lf(n - k) + lf(m) + lf(n - m) - lf(F.lit(n)) - lf(at) - lf(k - at) - lf(m - at) - lf(n - k - m + at))
-    spread = F.sqrt(k * m * (n - k) * (n - m) / (float(n) * n * max(1, n - 1)))
-    steps = F.least(F.when(upper, most - at).otherwise(at - least), (40 * spread + 60).cast("long"))
-
-    def grow(acc: Column, s: Column) -> Column:
-        up, down = at + s, at - s  # from up - 1 to up, from down + 1 to down
-        ratio = F.when(upper, (k - up + 1) * (m - up + 1) / (up * (n - k - m + up)).cast("double")).otherwise((down + 1) * (n - k - m + down + 1) / ((k - down) * (m - down)).cast("double"))
-        return F.struct((acc["t"] * ratio).alias("t"), (acc["s"] + acc["t"] * ratio).alias("s"))
-
-    start = F.struct(first.alias("t"), first.alias("s"))
-    total = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, grow)["s"]).otherwise(first)
-    p = F.when(upper, total).otherwise(1 - total)
-    return F.when(x.isNull() | k.isNull() | m.isNull(), F.lit(None).cast("double")).when(x <= least, 1.0).when(x > most, 0.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
+
+    def placed(s: Column) -> Column:
+        middle = F.floor((s["k"] + 1) * (s["m"] + 1) / F.lit(n + 2.0))
+        least, most = F.greatest(F.lit(0).cast("long"), s["k"] + s["m"] - n), F.least(s["k"], s["m"])
+        upper = s["x"] > middle
+        at = F.when(upper, s["x"]).otherwise(s["x"] - 1)  # the first term of the sum
+        return F.struct(s["x"].alias("x"), s["k"].alias("k"), s["m"].alias("m"), least.alias("least"), most.alias("most"), upper.alias("upper"), at.alias("at"))
+
+    def summed(b: Column) -> Column:
+        k, m, at, upper = b["k"], b["m"], b["at"], b["upper"]
+        spread = F.sqrt(k * m * (n - k) * (n - m) / (float(n) * n * max(1, n - 1)))
+        steps = F.least(F.when(upper, b["most"] - at).otherwise(at - b["least"]), (40 * spread + 60).cast("long"))
+
+        def grow(acc: Column, s: Column) -> Column:
+            up, down = at + s, at - s  # from up - 1 to up, from down + 1 to down
+            ratio = F.when(upper, (k - up + 1) * (m - up + 1) / (up * (n - k - m + up)).cast("double")).otherwise((down + 1) * (n - k - m + down + 1) / ((k - down) * (m - down)).cast("double"))
+            return let(acc["t"] * ratio, lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s")))
+
+        def whole(first: Column) -> Column:
+            return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1))), F.struct(first.alias("t"), first.alias("s")), grow)["s"]).otherwise(first)
+
+        p = let(let(hypergeom_term(at, k, m, n), whole), lambda total: F.when(upper, total).otherwise(1 - total))
+        return F.when(b["x"] <= b["least"], 1.0).when(b["x"] > b["most"], 0.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
+
+    given = F.struct(x.cast("long").alias("x"), k.cast("long").alias("k"), m.cast("long").alias("m"))
+    return F.when(x.isNotNull() & k.isNotNull() & m.isNotNull(), let(given, lambda s: let(placed(s), summed)))
 
 
 def with_tail(df: DataFrame, x: str, k: str, m: str, n: int, out: str = "p") -> DataFrame:

@@ -22,9 +22,8 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
     spark = bics.sparkSession
     tried = spark.createDataFrame([], "i int, j int")
     bics, members, samples = materialise(bics.select("id", "direction"), "bics"), materialise(members, "genes"), materialise(samples, "samples")
-    numbers = materialise(pairs.sample_numbers(samples.select("sample").union(m.select("sample"))), "sample-numbers")
-    n_numbers = numbers.count()
-    sets = materialise(pairs.packed_sets(bics, samples, numbers, n_numbers), "packed-sets")
+    bits, n_words = pairs.numbered_bits(samples.select("sample").union(m.select("sample")), n)
+    sets = materialise(pairs.packed_sets(bics, samples, bits, n_words), "packed-sets")
     open_ = lambda found: pairs.pair_overlaps(found, n, listed=False).filter((F.col("p") < alpha) & (F.col("jac") >= least_jaccard)).select("i", "j", "p", "jac")
     known = materialise(open_(pairs.set_pairs(sets)), "open-pairs")
     for _ in range(max_rounds):
@@ -60,7 +59,7 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
         tried = tried.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select("i", "j")
         tried = materialise(tried.union(failed.select("i", "j")), "tried")
         left = known.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select(*known.columns)
-        merged = materialise(pairs.packed_sets(bics.join(fresh, "id", "left_semi"), samples.join(fresh, "id", "left_semi"), numbers, n_numbers), "packed-sets")
+        merged = materialise(pairs.packed_sets(bics.join(fresh, "id", "left_semi"), samples.join(fresh, "id", "left_semi"), bits, n_words), "packed-sets")
         was += sets, known
         sets = materialise(sets.join(gone, "id", "left_anti").unionByName(merged), "packed-sets")
         known = materialise(left.unionByName(open_(pairs.set_pairs(merged, sets))), "open-pairs")

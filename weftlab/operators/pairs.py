@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlab.functions.ordering import numbered
 from weftlab.functions.stats import jaccard, with_tail
 from weftlab.session import materialise
 
@@ -19,27 +18,36 @@ def shared_counts(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
 BLOCK = 128
 
 
-def sample_numbers(samples: DataFrame) -> DataFrame:
-    """(sample, nth): a number from 0 for every sample, null left out."""
-    return numbered(samples.select("sample").filter("sample is not null").distinct(), ["sample"], "nth")
+def sample_bits(samples: DataFrame, n: int) -> DataFrame:
+    """(sample, word, bit) for every sample, null left out: samples are dealt by hash to words of 64 bits, half of which are used on average; where a
+    word has more samples, they go on in another layer of words. n: about the number of samples, which touches the size alone."""
+    words = max(1, -(-n // 32))
+    named = samples.select("sample").filter("sample is not null").distinct().withColumn("w", F.pmod(F.xxhash64("sample"), F.lit(words)))
+    nth = F.row_number().over(Window.partitionBy("w").orderBy("sample")) - 1
+    return named.withColumn("nth", nth).select("sample", (F.col("w") + words * F.floor(F.col("nth") / 64)).cast("int").alias("word"), (F.col("nth") % 64).cast("int").alias("bit"))
 
 
-def packed_sets(bics: DataFrame, samples: DataFrame, numbers: DataFrame, n_numbers: int) -> DataFrame:
-    """(id, direction, size, words): each bicluster's samples as bits of 64-bit words, in the order of sample_numbers; its n_numbers give their length.
-    Ids without samples have no bit set; repeated samples count once; samples without a number are left out."""
-    word = F.expr("shiftleft(1L, cast(nth % 64 as int))")
-    bits = samples.join(numbers, "sample").groupBy("id", F.floor(F.col("nth") / 64).cast("int").alias("w")).agg(F.bit_or(word).alias("bits"))
-    sets = bits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("held"))
-    words = F.transform(F.sequence(F.lit(0), F.lit(max(0, (n_numbers - 1) // 64))), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("long")))
+def numbered_bits(samples: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """sample_bits, written, and the number of words."""
+    bits = materialise(sample_bits(samples, n), "sample-bits")
+    return bits, (bits.agg(F.max("word")).first()[0] or 0) + 1
+
+
+def packed_sets(bics: DataFrame, samples: DataFrame, bits: DataFrame, n_words: int) -> DataFrame:
+    """(id, direction, size, words): each bicluster's samples in the words of sample_bits, of which there are n_words. Ids without samples have no bit
+    set; repeated samples count once; samples without a bit are left out."""
+    part = samples.join(bits, "sample").groupBy("id", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    sets = part.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("long")))
     rows = bics.select("id", "direction").join(sets, "id", "left").withColumn("words", words)
     return rows.select("id", "direction", F.aggregate("words", F.lit(0), lambda a, x: a + F.bit_count(x)).cast("long").alias("size"), "words")
 
 
-def set_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+def set_pairs(left: DataFrame, right: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """(i, j, d1, d2, n1, n2, inter) with i < j: all pairs of packed sets of left, or, given right, all pairs with one in left and the other in right;
-    right then holds left's rows too. Sets are dealt to blocks by hash, and blocks meet by equi-joins on their numbers."""
+    right then holds left's rows too. count: of the larger table's rows, if known. Sets are dealt to blocks by hash, and blocks meet by equi-joins on their numbers."""
     def blocks(df: DataFrame) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // BLOCK))
+        n = max(1, -(-(df.count() if count is None else count) // BLOCK))
         return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "direction", "size", "words", "new")).alias("sets")), n
 
     left = left.withColumn("new", F.lit(True))
@@ -70,9 +78,8 @@ def pair_overlaps(found: DataFrame, n: int, listed: bool = True) -> DataFrame:
 def bicluster_pair_overlap(bics: DataFrame, samples: DataFrame, n: int) -> DataFrame:
     """(i, j, shared, only_1, only_2, p, jac) of all pairs i < j by samples; the second set is complemented where directions differ.
     bics: id, direction; samples: id, sample; n: all samples. One row per pair of biclusters is the result itself."""
-    numbers = materialise(sample_numbers(samples), "sample-numbers")
-    sets = materialise(packed_sets(bics, samples, numbers, numbers.count()), "packed-sets")
-    return pair_overlaps(set_pairs(sets), n)
+    bits, n_words = numbered_bits(samples, n)
+    return pair_overlaps(set_pairs(packed_sets(bics, samples, bits, n_words), count=bics.count()), n)
 
 
 def gene_overlap_pval(a: DataFrame, b: DataFrame, n: int) -> DataFrame:

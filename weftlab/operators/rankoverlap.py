@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from weftlab.functions.stats import hypergeom_tail, snr
+from weftlab.functions.stats import hypergeom_tail, hypergeom_term, snr
 from weftlab.operators.network import drop_small_components
 from weftlab.session import materialise
 
@@ -32,8 +32,8 @@ def overlap_thresholds(spark, n: int, step: int, p: float) -> DataFrame:
     grid = cutoffs(n, step)
     one = spark.createDataFrame([(t,) for t in grid], "tu int")
     cells = one.withColumn("tw", F.explode(F.lit(grid))).withColumn("x", F.explode(F.sequence(F.lit(0), F.least("tu", "tw"))))
-    tail = cells.withColumn("ok", hypergeom_tail(F.col("x"), F.col("tu"), F.col("tw"), n) < p)
     down = Window.partitionBy("tu", "tw").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    tail = cells.withColumn("term", hypergeom_term(F.col("x"), F.col("tu"), F.col("tw"), n)).withColumn("ok", F.sum("term").over(down) < p)
     run = tail.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(down) == 1)
     return run.groupBy("tu", "tw").agg(F.coalesce(F.min(F.when(F.col("all_ok"), F.col("x"))), F.lit(n)).cast("int").alias("min_overlap"))
 
