@@ -43,7 +43,7 @@ def prepared(df: DataFrame, id_col: str, vec_col: str, label_col: str, scale: in
     with the smallest label and vector stays."""
     finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias(vec_col))
-    good = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.col(vec_col).isNotNull() & finite, F.lit(False)))
+    good = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size(vec_col) > 0) & finite, F.lit(False)))
     whole = good.select("id", "label", F.transform(vec_col, lambda x: F.floor(x * scale).cast("double")).alias("vec"))
     once = whole.groupBy("id").agg(F.min(F.struct("label", "vec")).alias("r"))
     return once.select("id", "r.label", F.size("r.vec").alias("dim"), "r.vec")
@@ -169,7 +169,7 @@ def hard_negatives(df: DataFrame, anchors: DataFrame, positives: int = 5, negati
     label, the first `negatives` rows of another label whose score lies between low and high per cent of the positive's.
 
     A score is the inner product of components floor(256 * x); higher scores come first, ties by smaller id. An anchor is never its own
-    positive. Rows with a null id or label, a null vector, or a null or non-finite component take no part; rows that repeat an id count once,
+    positive. Rows with a null id or label, a null or empty vector, or a null or non-finite component take no part; rows that repeat an id count once,
     with the smallest label and vector; only vectors of one length meet. Zero vectors score 0. Fewer rows than asked for: all of
     them. Anchors without a positive or without such a negative have no rows. Scores must fit into 63 bits. An empty table gives an empty result.
     clusters: by default one per PER_CLUSTER anchors, at most MOST_CLUSTERS; their centres are fitted on at most SAMPLE anchors.
