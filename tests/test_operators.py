@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftlab.functions.ordering import numbered
 from weftlab.functions.stats import hypergeom_tail
-from weftlab.operators import bicluster, evaluate, jobs, merge, modules, network, nulls, pairs, rankoverlap, sampler, sets
+from weftlab.operators import bicluster, evaluate, gibbs, jobs, merge, modules, network, nulls, pairs, rankoverlap, sampler, sets
 from weftlab.operators.components import connected_components
 from weftlab.session import new_path
 from weftlab.sources import matrix
@@ -122,21 +122,116 @@ def test_walks_are_connected_and_repeatable(spark, net, most_edges):
                 seen.add(x)
                 todo += [y for y in nbrs[x] if y in genes]
         assert seen == genes and len(genes) == size
-    again = nulls.random_connected_subnets(net.repartition(7), [4, 6], 10, seed=3, most_edges=most_edges).collect()
+    other_form = nulls.MOST_EDGES if most_edges == 0 else 0
+    again = nulls.random_connected_subnets(net.repartition(7), [4, 6], 10, seed=3, most_edges=other_form).collect()
     assert {(r["size"], r["walk"], r["gene"]) for r in again} == {(k[0], k[1], g) for k, v in got.items() for g in v}
 
 
-def test_sampler_labels_follow_the_candidate_rule(spark, net):
+def of_net(spark, net, n=12):
     edges = net.withColumn("eid", net["g1"] * 100 + net["g2"])
-    samples = spark.createDataFrame([(r["eid"], s) for r in edges.collect() for s in range(12) if (r["eid"] + s) % 3 == 0], "eid long, sample int")
-    history = sampler.sample_modules(edges, samples, 12, steps=2, blocks=2, seed=5)
-    last = history.filter("step = 1")
+    return edges, spark.createDataFrame([(r["eid"], s) for r in edges.collect() for s in range(n) if (r["eid"] + s) % 3 == 0], "eid long, sample int")
+
+
+@pytest.mark.parametrize("part_edges", [None, 17])
+def test_sampler_labels_follow_the_candidate_rule(spark, net, part_edges):
+    edges, samples = of_net(spark, net)
+    history = sampler.sample_modules(edges, samples, 12, steps=3, seed=5, part_edges=part_edges)
+    last = history.filter("step = 2")
     ids = {r["eid"] for r in edges.collect()}
     rows = history.collect()
-    assert len(rows) == 2 * len(ids) and {r["module"] for r in rows} <= ids
+    assert len(rows) == 3 * len(ids) and {r["module"] for r in rows} <= ids and {r["converged"] for r in rows} == {False}
     assert modules.module_sample_counts(last.select("eid", "module"), samples).groupBy("module").agg({"m": "max"}).agg({"max(m)": "sum"}).first()[0] == len(ids)
-    again = sampler.sample_modules(edges.repartition(5), samples, 12, steps=2, blocks=2, seed=5)
+    again = sampler.sample_modules(edges.repartition(5), samples.repartition(3), 12, steps=3, seed=5, part_edges=part_edges)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+    assert sampler.sample_modules(edges.filter("false"), samples, 12).count() == 0
+
+
+def test_part_scores_moves_as_the_operators_do(spark, net):
+    """Candidates and log-probabilities of a task's part equal edge_candidate_modules and edge_module_loglik, whole and split over parts."""
+    edges, samples = of_net(spark, net)
+    state = frame(spark, [(r["eid"], [e["eid"] for e in edges.collect()][(r["eid"] * 7 % 5) * 3]) for r in edges.collect()], "eid long, module long")
+    want = {(r["eid"], r["module"]): r["lp"] for r in modules.edge_module_loglik(modules.edge_candidate_modules(edges, state), state, samples, 12).collect()}
+    label, have = {r["eid"]: r["module"] for r in state.collect()}, {}
+    for r in samples.collect():
+        have.setdefault(r["eid"], []).append(r["sample"])
+    rows = [(r["eid"], r["g1"], r["g2"]) for r in edges.collect()]
+
+    def part(some, held=None, offered=None):
+        eid, g1, g2 = (np.array(x) for x in zip(*some, strict=True))
+        return gibbs.Part(eid, g1, g2, [np.array(have.get(e, []), int) for e in eid], np.array([label[e] for e in eid]), 12, 0.5, 1.0, 1, held, offered)
+
+    def scored(p):
+        every = np.arange(len(p.eid))
+        owner, k, alone_owner, alone = p.candidates(every)
+        got = {(int(p.eid[i]), int(p.modules[j])): x for i, j, x in zip(owner, k, p.loglik(every, owner, k).tolist(), strict=True)}
+        return got | {(int(p.eid[i]), int(p.modules[j])): p.alone() for i, j in zip(alone_owner, alone, strict=True)}
+
+    def equal(a, b):
+        return a.keys() == b.keys() and all(math.isclose(a[x], b[x], abs_tol=1e-9) for x in a)
+
+    assert equal(scored(part(rows)), want)
+    held = part(rows).counts()
+    split = {}
+    for mine, rest in ((rows[:25], rows[25:]), (rows[25:], rows[:25])):
+        offered = sorted({(g, k) for e, *ends in rest for g in ends for k in (e, label[e])})
+        split |= scored(part(mine, held, tuple(np.array(x) for x in zip(*offered, strict=True))))
+    assert equal(split, want)
+    moved = part(rows)
+    moved.sweep(0)
+    fresh = gibbs.Part(moved.eid, np.array([r[1] for r in sorted(rows)]), np.array([r[2] for r in sorted(rows)]), [np.array(have.get(e, []), int) for e in moved.eid], moved.modules[moved.label], 12, 0.5, 1.0, 1)
+    assert sorted(zip(*moved.counts(), strict=True)) == sorted(zip(*fresh.counts(), strict=True))  # counts kept by changes equal counts taken anew
+
+
+def test_sampler_has_the_sequential_sampler_s_distribution():
+    """Over many steps pairs of edges share a module as often as under a plain sampler that draws edge after edge."""
+    n, rng = 6, random.Random(8)
+    ends = [(0, 1), (1, 2), (2, 3), (3, 0), (1, 3)]
+    have = [{0, 1, 2}, {0, 1, 2}, {2, 3, 4}, {3, 4, 5}, {0, 1}]
+    steps, pairs_ = 6000, [(a, b) for a in range(5) for b in range(a)]
+    near = [[f for f in range(5) if set(ends[e]) & set(ends[f])] for e in range(5)]
+
+    def lp(e, k, label):
+        rest = [f for f in range(5) if f != e and label[f] == k]
+        m, ones = len(rest), [sum(s in have[f] for f in rest) for s in range(n)]
+        if m == 0:
+            return n * math.log(0.5)
+        if m == 1:
+            match = sum(ones[s] for s in have[e])
+            return match * math.log(1.25 / 0.5) + (n - match) * math.log(0.25 / 0.5) + math.log(2)
+        return sum(math.log(((ones[s] if s in have[e] else m - ones[s]) + 0.25) / (m + 0.5)) for s in range(n)) + math.log(m + 1)
+
+    label, plain = list(range(5)), dict.fromkeys(pairs_, 0)
+    for _ in range(steps):
+        for e in range(5):
+            ks = sorted({x for f in near[e] for x in (f, label[f])})
+            logs = [lp(e, k, label) for k in ks]
+            label[e] = rng.choices(ks, [math.exp(x - max(logs)) if x - max(logs) >= -7 else 0.0 for x in logs])[0]
+        for a, b in pairs_:
+            plain[a, b] += label[a] == label[b]
+    part = gibbs.Part(np.arange(5), *(np.array(x) for x in zip(*ends, strict=True)), [np.array(sorted(h)) for h in have], np.arange(5), n, 0.5, 1.0, 3)
+    assert all(not set(ends[a]) & set(ends[b]) for level in part.levels for a in level for b in level if a < b)
+    got = dict.fromkeys(pairs_, 0)
+    for step in range(steps):
+        part.sweep(step)
+        for a, b in pairs_:
+            got[a, b] += part.label[a] == part.label[b]
+    assert all(abs(got[x] - plain[x]) / steps < 0.05 for x in pairs_)
+
+
+def test_windows_and_flatness_as_the_operators_tell(spark):
+    rng = np.random.default_rng(2)
+    history = rng.integers(0, 3, (120, 8))
+    history[:40] = 1
+    rows = frame(spark, [(s, e, int(history[e, s])) for e in range(120) for s in range(8)], "step int, eid long, module long")
+    squares, terms = gibbs.window_change(history)
+    one, two = (modules.edge_transitions(rows.filter(f)) for f in ("step < 7", "step > 0"))
+    assert math.isclose((squares / terms) ** 0.5, modules.transition_rmsd(one, two).first()[0], rel_tol=1e-12)
+    assert gibbs.window_change(np.ones((3, 5), np.int64)) == (0.0, 0)
+    series = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.random(15), np.linspace(0, 1, 15) ** 0.1, strict=True))]
+    table = frame(spark, series, "step int, x1 double, x2 double")
+    for tol in (0.05, 0.12, 0.5):
+        assert sampler.is_flat(series, 10, tol) == modules.convergence_check(table, 10, tol).first()["converged"]
+    assert not sampler.is_flat([(i, 1.0, float(i)) for i in range(12)], 10, 0.1)
 
 
 def test_hypergeometric_tail_against_whole_numbers(spark):
@@ -228,6 +323,59 @@ def test_null_sets_grow_along_a_path_and_give_up(spark, most_edges):
     assert len(rows) == 20 and all(r["n_genes"] == 3 and 1 <= r["n_samples"] <= 15 and r["avgSNR"] > 0 for r in rows)
 
 
+def test_pvalues_count_ties_and_gaps(spark):
+    rng = random.Random(1)
+    some = lambda: rng.choice([None, 0.0, 0.5, 0.5, 1.0, math.nan])
+    null = [(rng.randrange(1, 4), rng.choice([None, *range(9)]), some()) for _ in range(300)]
+    bics = [(i, rng.randrange(1, 5), rng.choice([None, *range(10)]), some()) for i in range(60)]
+    key = lambda x: math.inf if x is not None and math.isnan(x) else x
+    got = bicluster.empirical_pvalues(frame(spark, bics, "id int, n_genes int, n_samples int, avgSNR double"), frame(spark, null, "n_genes int, n_samples int, avgSNR double"))
+    want = []
+    for i, size, n, r in bics:
+        own = [z for z in null if z[0] == size]
+        most = [z for z in own if n is not None and z[1] is not None and z[1] >= n]
+        high = [z for z in most if r is not None and z[2] is not None and key(z[2]) >= key(r)]
+        want.append((i, (len(high) + 1) / (len(own) + 1), len(most), len(high)))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_corners_of_one_edge_step_by_step(spark):
+    """The walk of a plain loop over diagonals, with ties and samples of any type."""
+    rng, n, step, least = np.random.default_rng(7), 24, 2, 2
+    x = rng.standard_normal((6, n)).round(1)
+    x[1:3, :8] += 2
+    m = frame(spark, [(g, f"s{s:02d}", float(x[g, s])) for g in range(6) for s in range(n)], "gene int, sample string, value double")
+    ranked = rankoverlap.rank_samples(m)
+    edges = frame(spark, [(a, b) for a in range(6) for b in range(a + 1, 6)], "g1 int, g2 int")
+    limit = rankoverlap.overlap_thresholds(spark, n, step, 0.2)
+    needed = {(r["tu"], r["tw"]): r["min_overlap"] for r in limit.collect()}
+    place = [{s: r for r, s in enumerate(sorted(range(n), key=lambda s: (-x[g, s], s)))} for g in range(6)]
+
+    def ratio(g, inside):
+        a, b = x[g, sorted(inside)], x[g, sorted(set(range(n)) - inside)]
+        return abs(a.mean() - b.mean()) / (a.std() + b.std())
+
+    want = {}
+    cuts = rankoverlap.cutoffs(n, step)
+    for a in range(6):
+        for b in range(a + 1, 6):
+            for d in range(len(cuts)):
+                hits, stop = [], False
+                for c1 in range(d + 1):
+                    tu, tw = cuts[c1], cuts[d - c1]
+                    inside = {s for s in range(n) if place[a][s] < tu and place[b][s] < tw}
+                    stop |= len(inside) <= least
+                    if len(inside) > needed[tu, tw] and (ratio(a, inside) + ratio(b, inside)) / 2 >= 0.3:
+                        hits.append((-len(inside), abs(tu - tw), c1, tu, tw, {f"s{s:02d}" for s in inside}))
+                if hits:
+                    want[a, b] = min(hits, key=lambda h: h[:3])[3:]
+                if hits or stop:
+                    break
+    got = rankoverlap.best_corner(edges, ranked, n, step, limit, least, 0.3, with_samples=True).collect()
+    assert want and {(r["g1"], r["g2"]): (r["tu"], r["tw"], set(r["samples"])) for r in got} == want
+    assert all(r["n"] == len(r["samples"]) for r in got)
+
+
 def test_consensus_of_the_last_steps(spark):
     rows = [(s, 1, 5 if s < 30 else 6) for s in range(40)]
     history = frame(spark, rows, "step int, eid long, module long")
@@ -242,7 +390,7 @@ def test_planted_biclusters_are_found(spark):
     rng = random.Random(6)
     edges = [(a, b) for genes, _ in truth for a in genes for b in genes if a < b and rng.random() < 0.5] + [(rng.randrange(60), rng.randrange(60)) for _ in range(60)]
     net_ = frame(spark, edges, "g1 long, g2 long")
-    found = jobs.discover(net_, m, "UP", min_snr=0.5, blocks=4, averaged=2, points=2, needed=1, steps=7)
+    found = jobs.discover(net_, m, "UP", min_snr=0.5)
     tg = frame(spark, [(i, g) for i, (gs, _) in enumerate(truth) for g in gs], "id int, gene long")
     ts = frame(spark, [(i, s) for i, (_, ss) in enumerate(truth) for s in ss], "id int, sample int")
     hit = [r["recovery"] for r in evaluate.recovery((found[1], found[2]), (tg, ts)).collect()]

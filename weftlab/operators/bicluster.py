@@ -133,12 +133,26 @@ def sizes_census(members: DataFrame) -> DataFrame:
 
 def empirical_pvalues(bics: DataFrame, null: DataFrame) -> DataFrame:
     """(id, p_val, n_not_less_samples, n_higher_SNR) of bics (id, n_genes, n_samples, avgSNR) against null rows (n_genes, n_samples, avgSNR) of the
-    same size: (n_higher + 1) / (n + 1), n all of them, n_higher those with no fewer samples and no lower SNR."""
-    all_ = null.groupBy("n_genes").agg(F.count("*").alias("n"))
-    other = null.select("n_genes", F.col("n_samples").alias("null_samples"), F.col("avgSNR").alias("null_snr"))
-    rows = bics.join(other, "n_genes", "left").groupBy("id", "n_genes").agg(F.count_if(F.col("null_samples") >= F.col("n_samples")).alias("n_not_less_samples"), F.count_if((F.col("null_samples") >= F.col("n_samples")) & (F.col("null_snr") >= F.col("avgSNR"))).alias("n_higher_SNR"))
-    rows = rows.join(all_, "n_genes", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.select("id", ((F.col("n_higher_SNR") + 1) / (F.col("n") + 1)).alias("p_val"), "n_not_less_samples", "n_higher_SNR")
+    same size: (n_higher + 1) / (n + 1), n all of them, n_higher those with no fewer samples and no lower SNR.
+
+    Sample numbers are the leaves of a binary tree. A null row stands at every node above its number, a bicluster asks the few nodes that make up
+    all numbers from its own on; at each node one sort by SNR counts the null rows before each bicluster. No null row meets a bicluster, so
+    the work is that of a sort, times the depth of the tree. Equal numbers and ratios count as no lower. A null ratio is no higher than
+    any other and has no higher ones; a null number of samples counts for nothing; sizes without null rows have p 1.
+    """
+    both = bics.agg(F.max("n_samples").alias("m")).union(null.agg(F.max("n_samples")))
+    depth = int(both.agg(F.max("m")).first()[0] or 0).bit_length()
+    above = F.expr(f"transform(sequence(0, {depth}), l -> struct(l AS level, shiftright(s, l) AS place))")
+    asked = F.expr(f"concat(array(struct(0 AS level, s AS place)), transform(filter(sequence(0, {depth}), l -> shiftright(s, l) % 2 = 0), l -> struct(l AS level, shiftright(s, l) + 1 AS place)))")
+    rows = lambda df, name, nodes, hit: df.withColumn("s", F.col("n_samples").cast("long")).filter("s is not null").select(name.alias("id"), "n_genes", F.col("avgSNR").alias("r"), F.explode(nodes).alias("node"), F.lit(hit).alias("hit"))
+    nodes = rows(bics, F.col("id"), asked, 0).unionByName(rows(null, F.lit(None).cast(bics.schema["id"].dataType), above, 1))
+    at = Window.partitionBy("n_genes", "node")
+    before = at.orderBy(F.desc("r"), F.desc("hit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = nodes.withColumns({"higher": F.sum("hit").over(before), "all": F.sum("hit").over(at)}).filter("hit = 0")
+    found = met.groupBy("id").agg(F.sum("all").alias("n_not_less_samples"), F.sum(F.when(F.col("r").isNotNull(), F.col("higher")).otherwise(0)).alias("n_higher_SNR"))
+    of_size = null.groupBy("n_genes").agg(F.count("*").alias("n"))
+    out = bics.select("id", "n_genes").join(found, "id", "left").join(of_size, "n_genes", "left").fillna(0, ["n", "n_not_less_samples", "n_higher_SNR"])
+    return out.select("id", ((F.col("n_higher_SNR") + 1) / (F.col("n") + 1)).alias("p_val"), "n_not_less_samples", "n_higher_SNR")
 
 
 def final_report(bics: DataFrame, members: DataFrame, samples: DataFrame) -> DataFrame:

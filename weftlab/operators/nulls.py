@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ def random_connected_subnets(edges: DataFrame, sizes: list[int], n: int, seed: i
 
     A set grows from its last gene to one of the unseen neighbours, else from a member that has several, else it starts anew. Up to most_edges
     edges the adjacency is broadcast and each walk runs within a task; beyond that all walks take their steps together, by joins
-    with the edges. Both follow the same rule but draw different sets. Null ends and self-loops are left out, repeated edges count once.
+    with the edges. Both draw by the same hash of the seed, the set, its start and its size, so they find the same sets. Null ends and self-loops are left out, repeated edges count once.
     """
     spark = edges.sparkSession
     given = canonical_edges(edges)
@@ -88,25 +88,35 @@ def _by_joins(both: DataFrame, walks: DataFrame, seed: int, max_restarts: int) -
     return out
 
 
+def _drawn(below: int, *parts: int | str) -> int:
+    """What pmod(xxhash64(parts), below) is in Spark, whole numbers being 32 bits wide."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(4, "little", signed=True), h)
+    return (h - (1 << 64) if h >> 63 else h) % below
+
+
 def _within_tasks(both: DataFrame, walks: DataFrame, seed: int, max_restarts: int) -> DataFrame:
-    """The walks dealt over tasks, each with a generator of its own, over the broadcast adjacency."""
+    """The walks dealt over tasks, over the broadcast adjacency."""
     rows = both.groupBy("gene").agg(F.array_sort(F.collect_set("nbr")).alias("nbrs")).orderBy("gene").collect()
-    shared = both.sparkSession.sparkContext.broadcast({r["gene"]: r["nbrs"] for r in rows})
+    shared = both.sparkSession.sparkContext.broadcast(({r["gene"]: r["nbrs"] for r in rows}, [r["gene"] for r in rows]))
     kind = both.schema["gene"].dataType.simpleString()
 
-    def walk(size: int, rng: random.Random) -> set:
+    def walk(size: int, number: int) -> set:
         """Grow from the last gene to one of its unseen neighbours, else from a member that has several, else start anew."""
-        nbrs, genes = shared.value, sorted(shared.value)
-        for _ in range(max_restarts if genes else 0):
-            at = rng.choice(genes)
-            seen = {at}
+        nbrs, genes = shared.value
+        for start in range(1, max_restarts + 1 if genes else 1):
+            seen: set = set()
+            draw = lambda some, what: some[_drawn(len(some), seed, size, number, start, len(seen), what)]
+            at = draw(genes, "start")
+            seen.add(at)
             while len(seen) < size:
                 fresh = [x for x in nbrs[at] if x not in seen]
                 if fresh:
-                    at = rng.choice(fresh)
+                    at = draw(fresh, "step")
                     seen.add(at)
                 elif roots := [g for g in sorted(seen) if sum(x not in seen for x in nbrs[g]) > 1]:
-                    at = rng.choice(roots)
+                    at = draw(roots, "root")
                 else:
                     break
             if len(seen) == size:
@@ -116,7 +126,7 @@ def _within_tasks(both: DataFrame, walks: DataFrame, seed: int, max_restarts: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for size, w in zip(pdf["size"], pdf["walk"], strict=True):
-                genes = sorted(walk(int(size), random.Random(f"{seed}-{size}-{w}")))
+                genes = sorted(walk(int(size), int(w)))
                 yield pd.DataFrame({"size": size, "walk": w, "gene": genes})
 
     return walks.mapInPandas(run, f"size int, walk int, gene {kind}")
@@ -124,9 +134,9 @@ def _within_tasks(both: DataFrame, walks: DataFrame, seed: int, max_restarts: in
 
 def null_distribution(edges: DataFrame, m: DataFrame, sizes: list[int], n: int, seed: int = 1) -> DataFrame:
     """(n_genes, n_samples, avgSNR) of n random connected sets per size: SNR of the smaller of two sample clusters, and its size."""
-    sets = random_connected_subnets(edges, sizes, n, seed).withColumn("id", F.col("size").cast("long") * 1_000_000 + F.col("walk"))
+    sets = random_connected_subnets(edges, sizes, n, seed).withColumn("id", F.col("size").cast("long") * n + F.col("walk"))  # walks are below n
     members = sets.select("id", "gene")
     total = m.select("sample").distinct().count()
     chosen = bicluster.discordant_sample_set(members, m, total, min_n_samples=1)
     rows = bicluster.bicluster_snr(members, chosen, m).join(chosen.groupBy("id").agg(F.count("*").alias("n_samples")), "id")
-    return rows.select(F.floor(F.col("id") / 1_000_000).alias("n_genes"), "n_samples", "avgSNR")
+    return rows.select(F.floor(F.col("id") / n).alias("n_genes"), "n_samples", "avgSNR")
