@@ -22,17 +22,18 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
     spark = bics.sparkSession
     tried = spark.createDataFrame([], "i int, j int")
     bics, members, samples = materialise(bics.select("id", "direction"), "bics"), materialise(members, "genes"), materialise(samples, "samples")
-    bits, n_words = pairs.numbered_bits(samples.select("sample").union(m.select("sample")), n)
+    m = materialise(m.join(members.select("gene").distinct(), "gene", "left_semi"), "member-genes")  # unions hold no other genes
+    one_way = bics.select("direction").distinct().count() < 2
+    bits, n_words = pairs.numbered_bits(samples.select("sample").union(m.select("sample")).distinct(), n)
     sets = materialise(pairs.packed_sets(bics, samples, bits, n_words), "packed-sets")
     open_ = lambda found: pairs.pair_overlaps(found, n, listed=False).filter((F.col("p") < alpha) & (F.col("jac") >= least_jaccard)).select("i", "j", "p", "jac")
     known = materialise(open_(pairs.set_pairs(sets)), "open-pairs")
     for _ in range(max_rounds):
-        found = materialise(pairs.merge_candidates(known, sets.count(), alpha).join(tried, ["i", "j"], "left_anti"), "pairs")
+        found = pairs.merge_candidates(known, sets.count(), alpha).join(tried, ["i", "j"], "left_anti")
         order = ["p", F.desc("jac"), "i", "j"]
         ends = found.select(F.col("i").alias("x"), "*").union(found.select(F.col("j").alias("x"), "*"))
         best = ends.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(*order))).filter("nth = 1").groupBy("i", "j").agg(F.count("*").alias("both"), F.first("p").alias("p"), F.first("jac").alias("jac")).filter("both = 2")
         best = materialise(best.orderBy(*order).limit(1) if exact else best, "chosen").select("i", "j")
-        release(found)
         if best.isEmpty():
             return bics, members, samples
         genes = best.join(members.withColumnRenamed("id", "i"), "i").select("i", "j", "gene").union(best.join(members.withColumnRenamed("id", "j"), "j").select("i", "j", "gene")).select(F.col("i").alias("id"), "gene").distinct()
@@ -42,7 +43,7 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
         new = bicluster.optimal_sample_set(genes, m, first, n, min_n_samples)
         got = new.select("id").distinct()
         second = ways.filter("d1 <> d2").select(F.col("i").alias("id"), F.col("d2").alias("direction")).join(got, "id", "left_anti")
-        if not discordant:
+        if not discordant and not one_way:
             new = new.union(bicluster.optimal_sample_set(genes.join(second.select("id"), "id", "left_semi"), m, second, n, min_n_samples))
         new = materialise(new, "merged-samples")
         score = bicluster.bicluster_snr(genes, new, m).filter(F.col("avgSNR") >= min_snr).select("id")
