@@ -9,6 +9,7 @@ from weftlab.functions.ordering import numbered
 from weftlab.operators import bicluster, merge, network, nulls, rankoverlap, sampler, sets
 from weftlab.operators.modules import module_genes
 from weftlab.session import materialise
+from weftlab.sources import matrix
 
 Biclusters = tuple[DataFrame, DataFrame, DataFrame]
 
@@ -64,6 +65,26 @@ def described(bics: DataFrame, members: DataFrame, samples: DataFrame, m: DataFr
     return bics.select("id", "direction").join(sizes, "id").join(bicluster.bicluster_snr(members, samples, m), "id")
 
 
+def listed(found: Biclusters) -> DataFrame:
+    """What discover returns as one table with the sets as arrays of text, as write_biclusters takes it."""
+    of = lambda d, c: d.groupBy("id").agg(F.collect_list(F.col(c).cast("string")).alias(f"{c}s"))
+    return found[0].join(of(found[1], "gene"), "id").join(of(found[2], "sample"), "id")
+
+
+def significance_from_files(up: str, down: str, edges: DataFrame, m: DataFrame, min_snr: float, **how) -> DataFrame:
+    """significance of two tables that write_biclusters has written, as discover leaves them; a path without a table counts as an empty one.
+    Names in files are text, so those of the network and the matrix are taken as text too."""
+    spark = m.sparkSession
+
+    def read(path: str) -> Biclusters:
+        rows = materialise(matrix.read_biclusters(spark, path).select("id", "direction", "genes", "samples"), "read-biclusters")
+        return rows.select("id", "direction"), rows.select("id", F.explode("genes").alias("gene")), rows.select("id", F.explode("samples").alias("sample"))
+
+    named = edges.select(F.col("g1").cast("string").alias("g1"), F.col("g2").cast("string").alias("g2"))
+    values = m.select(F.col("gene").cast("string").alias("gene"), F.col("sample").cast("string").alias("sample"), "value")
+    return significance(read(up), read(down), named, values, min_snr, **how)
+
+
 def significance(up: Biclusters, down: Biclusters, edges: DataFrame, m: DataFrame, min_snr: float, min_n_samples: int | None = None, k: int = 3, sets_per_size: int = 1000, seed: int = 1) -> DataFrame:
     """The final report of UP and DOWN biclusters (bics, members, samples each) with empirical p-values.
 

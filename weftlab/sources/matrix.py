@@ -15,23 +15,48 @@ from weftlab.functions.ordering import numbered
 BICLUSTERS = "id int, avgSNR double, n_genes int, n_samples int, direction string, genes array<string>, samples array<string>"
 
 
-def _wide_to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
-    samples = [c for c in wide.columns if c not in keys]
-    long = wide.unpivot(keys, [F.col(f"`{c}`") for c in samples], "sample", "value")
-    return long.withColumn("value", F.col("value").try_cast("double"))
+def _read_wide(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """(keys..., sample, value) of TSV lines under a header, whose first fields are the keys. Lines become arrays that are exploded against the
+    header's names, so the plan has no column per sample and a line may have any number of fields.
+
+    Each file of a folder may repeat the header. Quotes around a field are taken off; fields hold no tabs. Blank lines are skipped, missing cells and
+    cells that are no number are null, cells beyond the header are left out. Without lines the table is empty."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    first = lines.head()
+    if first is None:
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", sample string, value double")
+    fields = lambda line: F.transform(F.split(line, "\t", -1), lambda x: F.regexp_replace(x, '^"(.*)"$', "$1"))
+    rest = lambda a: F.slice(a, len(keys) + 1, F.greatest(F.size(a) - len(keys), F.lit(0)))
+    rows = lines.filter(F.col("value") != first["value"]).select(fields(F.col("value")).alias("cells"))
+    named = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(k) for i, k in enumerate(keys)]
+    cells = rows.select(*named, F.explode(F.arrays_zip(rest(fields(F.lit(first["value"]))).alias("sample"), rest(F.col("cells")).alias("cell"))).alias("x"))
+    return cells.filter("x.sample is not null").select(*keys, F.col("x.sample").alias("sample"), F.col("x.cell").try_cast("double").alias("value"))
+
+
+def _write_wide(long: DataFrame, row: str, column: str, value: str, names: list, path: str) -> None:
+    """TSV lines of one row each with a cell per name, in the order of names, under a header; every file has it. Rows of other names are left out,
+    missing and null cells are empty, of cells that repeat the smallest is written.
+
+    A line is joined from its sorted cells and the tabs between their places, without a plan column per name."""
+    spark = long.sparkSession
+    places = spark.createDataFrame([(str(n), i) for i, n in enumerate(names)], "name string, place int")
+    cells = long.select(F.col(row).alias("row"), F.col(column).cast("string").alias("name"), F.col(value).alias("cell")).join(places, "name").groupBy("row", "place").agg(F.min("cell").alias("cell"))
+    lines = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.col("cell").cast("string"), F.lit("")).alias("cell")))).alias("cells"))
+    at = F.col("cells")
+    cell = F.transform(at, lambda x, i: F.concat(F.repeat(F.lit("\t"), x["place"] - F.coalesce(F.get(at, i - 1)["place"], F.lit(-1))), x["cell"]))
+    line = F.concat(F.coalesce(F.col("row").cast("string"), F.lit("")), F.array_join(cell, ""), F.repeat(F.lit("\t"), len(names) - 1 - F.element_at(at, -1)["place"]))
+    header = "\t".join([row, *map(str, names)])
+    lines.select(line.alias(header)).write.csv(path, sep="\x01", quote="", header=True)
 
 
 def read_expression(spark: SparkSession, path: str) -> DataFrame:
     """(gene, sample, value) of a TSV matrix, genes as rows, first column the gene. Names are text; cells that are no number are null."""
-    wide = spark.read.csv(path, sep="\t", header=True)
-    return _wide_to_long(wide.withColumnRenamed(wide.columns[0], "gene"), ["gene"])
+    return _read_wide(spark, path, ["gene"])
 
 
 def read_expression_two_key(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, entrez, sample, value) of a TSV matrix with two key columns."""
-    wide = spark.read.csv(path, sep="\t", header=True)
-    wide = wide.withColumnRenamed(wide.columns[0], "symbol").withColumnRenamed(wide.columns[1], "entrez")
-    return _wide_to_long(wide, ["symbol", "entrez"])
+    return _read_wide(spark, path, ["symbol", "entrez"])
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
@@ -181,7 +206,7 @@ def write_harmonised(m: DataFrame, path: str, samples: list | None = None) -> No
     if samples is None:
         m.write.parquet(path)
         return
-    m.groupBy("gene").pivot("sample", samples).agg(F.first("value")).write.csv(path, sep="\t", header=True)
+    _write_wide(m, "gene", "sample", "value", samples, path)
 
 
 def write_annotation(table: DataFrame, path: str, key: str = "sample", columns: list | None = None) -> None:
@@ -191,4 +216,4 @@ def write_annotation(table: DataFrame, path: str, key: str = "sample", columns:
         return
     variables = [c for c in table.columns if c != key]
     long = table.select(key, *[F.col(v).cast("string") for v in variables]).unpivot([key], variables, "variable", "value")
-    long.groupBy("variable").pivot(key, columns).agg(F.first("value")).write.csv(path, sep="\t", header=True)
+    _write_wide(long, "variable", key, "value", columns, path)
