@@ -35,8 +35,8 @@ def given(spark):
     """(values, sets of genes, frames of both): noise with some raised and lowered blocks."""
     rng = np.random.default_rng(11)
     x = rng.standard_normal((30, 40)).round(3)
-    for lo in (0, 6, 12):
-        x[lo : lo + 5, rng.choice(40, 12, replace=False)] += rng.choice([-3.0, 3.0])
+    for lo, by in ((0, 3.0), (6, -3.0), (12, 2.0)):
+        x[lo : lo + 5, rng.choice(40, 12, replace=False)] += by
     x[20:24, :3] += 9.0  # too few samples
     x[25:28, :30] += 6.0  # too many
     sets = {1: [0, 1, 2, 3, 4], 2: [6, 7, 8], 3: [12, 13, 14, 16], 4: [20, 21, 22], 5: [25, 26, 27], 6: [3, 9, 17, 29], 7: [19]}
