@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -276,6 +277,28 @@ def test_long_and_deep_pages():
     assert html_crf.block_features(html_crf.blocks(f"<p>{'cookie ' * 60}</p>"))[0].count("word=cookie,long") == 1
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<b>x ", "<div>x", "<div>", '<a "', "<a '\" ", "<li><ul><b>x</b>", "<select><button>", "<script></script "])
+def test_pages_of_one_tag_take_linear_time(piece):
+    """Eight times the page takes far less than 64 times as long: open elements, unclosed tags and depth cost nothing per block."""
+    chain, took = html_crf.default_chain(), []
+    for size in (60_000, 480_000):
+        start = time.perf_counter()
+        html_crf.main_text(piece * (size // len(piece)), chain)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_deep_and_broken_pages_are_read_as_before():
+    texts = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert texts("<div>a" * 3000 + "</div>" * 3000 + "b") == ["a"] * 3000 + ["b"]
+    assert texts("x <a href='1' y") == ["x <a href='1' y"] and texts("x </a y") == ["x"] and texts('<p>1<a "<p>2') == ["1<a \"", "2"]
+    assert texts("<svg/>a<svg>b</svg>c<script>d</script >e<script>f") == ["ace"]
+    assert texts("<select>a<select>b</select>c<button>d") == ["acd"]
+    assert texts("<li>a<ul><b>" + "<i>" * 9 + "<li>b</ul><li>c") == ["a", "b", "c"]
+    deep = html_crf.block_features(html_crf.blocks("<nav class='menu'><ul>" + "<b>" * 5000 + "x"))
+    assert {"in=nav", "named=menu", "in=ul", "in=b", "nearest=nav", "own=ul"} <= set(deep[0])
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>some text</p>", "y"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     got = html_crf.extract(df).collect()

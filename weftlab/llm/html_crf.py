@@ -11,7 +11,7 @@ import functools
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,98 +21,201 @@ from pyspark.sql import functions as F
 
 from weftlab.llm.batches import add_columns
 
-_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-#: Comments; a self-closed svg; elements without text of the page, to their end tag or the page's end; select and button, whose
-#: start tag alone goes if they are not closed before the next one; other tags; text.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<svg(?=[\s/>]){_ATTRS}(?<=/)>"
-    rf"|<(script|style|template|svg|noscript|iframe|textarea|title)(?=[\s/>]){_ATTRS}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    rf"|<(select|button)(?=[\s/>]){_ATTRS}>(?:(?:(?!<\2[\s/>]).)*?</\2(?=[\s/>])[^>]*>)?"
-    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>|<[!?/][^>]*>?|([^<]+|<)",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_SPECIAL = re.compile("[>\"']")
+#: Elements without text of the page, to their end tag or the page's end.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style template svg noscript iframe textarea title".split()}
+#: Elements that go with their content; the start tag alone goes if they are not closed before the next one.
+CONTROLS = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in ("select", "button")}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[A-Za-z]{2,}")
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that a start tag ends.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Block elements that a start tag looks past for the open element it ends.
+PASSED = frozenset("p li dt dd td th tr".split())
+#: Elements that name a part of a page.
+PARTS = frozenset("article main aside nav footer header form section".split())
 #: Words whose presence in a block's text is a feature.
 TEXT_WORDS = frozenset("cookie cookies subscribe newsletter advertisement sponsored copyright rights reserved login sign comment comments reply share privacy terms menu search contact email password submit related read more".split())
 
 
+class Node:
+    """An open element, linked to the one around it, so that blocks share their ancestors. `held` keeps what features need of them."""
+
+    __slots__ = ("tag", "words", "up", "held")
+
+    def __init__(self, tag: str, words: tuple[str, ...], up: Node | None) -> None:
+        self.tag, self.words, self.up, self.held = tag, words, up, None
+
+
 @dataclass
 class Block:
-    """Text of a leaf block; its open elements from the root, as (tag, class and id words); share of its text within links."""
+    """Text of a leaf block; its innermost open element; share of its text within links."""
 
     text: str
-    path: list[tuple[str, tuple[str, ...]]]
+    node: Node | None
     linked: float
 
 
+def _tag_ends(page: str) -> Callable[[int], int]:
+    """A function of where attributes begin, in growing order: the place of the > that ends them, outside quotes, or -1.
+
+    A quote met outside quotes from which no end was found is remembered, and so is the next special sign: all calls together
+    read a page a bounded number of times.
+    """
+    failed: set[int] = set()
+    known = [0, -1]
+
+    def special(at: int) -> int:
+        if not known[0] <= at <= known[1]:
+            m = _SPECIAL.search(page, at)
+            known[:] = [at, m.start() if m else len(page)]
+        return known[1]
+
+    def end(at: int) -> int:
+        here, met = special(at), []
+        while here < len(page) and here not in failed:
+            if page[here] == ">":
+                return here
+            met.append(here)
+            close = page.find(page[here], here + 1)
+            if close < 0:
+                break
+            m = _SPECIAL.search(page, close + 1)
+            here = m.start() if m else len(page)
+        failed.update(met)
+        return -1
+
+    return end
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, bool, str, str]]:
+    """(text, None for a tag; whether it is an end tag; tag name; attributes) in page order, in time linear in the page's length."""
+    end, at, size = _tag_ends(page), 0, len(page)
+    past = lambda k: size if k < 0 else k + 1
+    while at < size:
+        if page[at] != "<":
+            until = page.find("<", at)
+            until = size if until < 0 else until
+            yield page[at:until], False, "", ""
+            at = until
+            continue
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = size if close < 0 else close + 3
+            continue
+        m = _TAG.match(page, at)
+        close = end(m.end()) if m else -1
+        if close < 0:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                at = past(page.find(">", at + 2))
+            else:
+                yield "<", False, "", ""
+                at += 1
+            continue
+        tag, attrs = m.group(2).lower(), page[m.end() : close]
+        at = close + 1
+        whole = not m.group(1) and (page[m.end()] in "/>" or page[m.end()].isspace())
+        if whole and tag in RAW:
+            if tag != "svg" or not attrs.endswith("/"):
+                over = RAW[tag].search(page, at)
+                at = past(page.find(">", over.end())) if over else size
+        elif whole and tag in CONTROLS:
+            over = CONTROLS[tag].search(page, at)
+            close = page.find(">", over.end()) if over and over.group(1) else -1
+            at = close + 1 if close >= 0 else at
+        else:
+            yield None, bool(m.group(1)), tag, attrs
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order. Character references are decoded, white space runs become one space."""
+    """Leaf blocks with text, in page order. Character references are decoded, white space runs become one space.
+
+    Pages of any length and depth are read in time linear in their length: open elements are counted by tag, never searched for.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}
+    barriers: list[int] = []
     parts: list[str] = []
-    state = {"links": 0, "path": ()}
+    links, some, node = 0, False, None
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().tag].pop()
+        while barriers and barriers[-1] >= size:
+            barriers.pop()
 
     def flush() -> None:
+        nonlocal links, some
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, list(state["path"]), min(1.0, state["links"] / len(text))))
+            out.append(Block(text, node, min(1.0, links / len(text))))
         parts.clear()
-        state["links"] = 0
+        links, some = 0, False
 
-    for m in _TOKEN.finditer(page or ""):
-        data = m.group(6)
+    for data, ending, tag, attrs in _tokens(page or ""):
         if data is not None:
-            if not parts or not "".join(parts).strip():
-                state["path"] = tuple(stack)
+            if not some:
+                node = stack[-1] if stack else None
             parts.append(data)
-            if any(t == "a" for t, _ in stack):
-                state["links"] += len(data.strip())
+            shown = data.strip()
+            some = some or bool(shown)
+            if places.get("a"):
+                links += len(shown)
             continue
-        tag = m.group(4)
-        if not tag:
-            continue
-        tag = tag.lower()
         if tag in ("br", "wbr"):
             parts.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-        if m.group(3):
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if ending:
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         ends = CLOSES.get(tag) or ({"p"} if tag in BLOCK_TAGS else ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                break
-            if stack[k][0] in BLOCK_TAGS and stack[k][0] not in ("p", "li", "dt", "dd", "td", "th", "tr"):
-                break
-        if tag not in VOID and not m.group(5).rstrip().endswith("/"):
-            words = tuple(w.lower() for v in _NAMED.findall(m.group(5)) for w in _WORD.findall(v))
-            stack.append((tag, words))
+        last = max((places[t][-1] for t in ends if places.get(t)), default=-1)
+        if last > (barriers[-1] if barriers else -1):
+            cut(last)
+        if tag not in VOID and not attrs.rstrip().endswith("/"):
+            words = tuple(w.lower() for v in _NAMED.findall(attrs) for w in _WORD.findall(v))
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK_TAGS and tag not in PASSED:
+                barriers.append(len(stack))
+            stack.append(Node(tag, words, stack[-1] if stack else None))
     flush()
     return out
 
 
-def block_features(found: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def _held(node: Node | None, known: Container[str] | None) -> tuple[str, str, frozenset[str]]:
+    """(innermost block tag, innermost page part, names of features of all ancestors), kept at the nodes."""
+    fresh = []
+    while node is not None and node.held is None:
+        fresh.append(node)
+        node = node.up
+    own, part, names = node.held if node is not None else ("none", "none", frozenset())
+    for n in reversed(fresh):
+        own = n.tag if n.tag in BLOCK_TAGS else own
+        part = n.tag if n.tag in PARTS else part
+        new = {f for f in (f"in={n.tag}", *(f"named={w}" for w in n.words)) if known is None or f in known}
+        names = names if new <= names else names | new
+        n.held = own, part, names
+    return own, part, names
+
+
+def block_features(found: list[Block], known: Container[str] | None = None) -> list[list[str]]:
+    """Names of the features that hold for each block. With `known`, features of ancestors that are not in it are left out.
+
+    A page's blocks are described with one and the same `known`, which bounds what an element deep in a page carries.
+    """
     out, n = [], len(found)
     for k, b in enumerate(found):
-        tags = [t for t, _ in b.path]
-        own = next((t for t in reversed(tags) if t in BLOCK_TAGS), "none")
+        own, part, names = _held(b.node, known)
         f = ["bias", f"own={own}", f"size={min(9, len(b.text).bit_length())}", f"links={int(b.linked * 4)}", f"first={k == 0}", f"place={3 * k // n}"]
-        f += [f"in={t}" for t in set(tags)]
-        f += [f"named={w}" for w in {w for _, ws in b.path for w in ws}]
-        inner = next((t for t in reversed(tags) if t in ("article", "main", "aside", "nav", "footer", "header", "form", "section")), "none")
-        f += [f"nearest={inner}", f"end={b.text[-1] in '.!?:;)”»…'}", f"commas={min(2, b.text.count(','))}"]
+        f += names
+        f += [f"nearest={part}", f"end={b.text[-1] in '.!?:;)”»…'}", f"commas={min(2, b.text.count(','))}"]
         low = b.text.lower()
         long = "long" if len(low) >= 300 else "short"  # a telling word says less in a long block; the chain weighs both kinds
         f += [f"word={w},{long}" for w in set(_WORD.findall(low)) & TEXT_WORDS]
@@ -134,17 +237,23 @@ class Chain:
         """The likeliest labels (Viterbi); ties go to label 1."""
         if not names:
             return []
-        get, back, best = self.index.get, [], None
-        for fs in names:
-            at = [i for f in fs if (i := get(f)) is not None]
-            e = self.weights[at].sum(axis=0)
-            if best is None:
-                best = e
-                continue
-            via = best[:, None] + self.moves
-            back.append((via[1] >= via[0]).astype(int).tolist())
-            best = via.max(axis=0) + e
-        labels = [int(best[1] >= best[0])]
+        get, weights, back = self.index.get, self.weights.tolist(), []
+        (m00, m01), (m10, m11) = self.moves.tolist()
+        no = yes = 0.0
+        for k, fs in enumerate(names):
+            e0 = e1 = 0.0
+            for f in fs:
+                i = get(f)
+                if i is not None:
+                    w = weights[i]
+                    e0 += w[0]
+                    e1 += w[1]
+            if k:
+                a0, b0, a1, b1 = no + m00, yes + m10, no + m01, yes + m11
+                back.append((int(b0 >= a0), int(b1 >= a1)))
+                no, yes = max(a0, b0), max(a1, b1)
+            no, yes = no + e0, yes + e1
+        labels = [int(yes >= no)]
         for b in reversed(back):
             labels.append(b[labels[-1]])
         return labels[::-1]
@@ -324,7 +433,7 @@ def default_chain(pages: int = 600, seed: int = 17) -> Chain:
 def main_text(page: str | None, chain: Chain) -> str:
     """The blocks labelled as main text, joined by line ends; empty for null, empty or text-free pages."""
     found = blocks(page)
-    return "\n".join(b.text for b, on in zip(found, chain.decode(block_features(found)), strict=True) if on)
+    return "\n".join(b.text for b, on in zip(found, chain.decode(block_features(found, chain.index)), strict=True) if on)
 
 
 def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
