@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.sql_compare import same
 from weftlab.llm import ann, chat, embed_dedup, html_crf, mixing, near_dedup, packing, quality, queries, secrets, text_features, tokens, warc, words
@@ -400,6 +401,38 @@ def test_kinds_of_secrets(spark, text, secret):
     assert [(r["start"], r["candidate"]) for r in found] == ([(text.index(secret), secret)] if secret else [])
 
 
+SOME = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(330))
+RSA = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(SOME[k : k + 64] for k in range(0, 20_800, 64)) + "\n-----END RSA PRIVATE KEY-----"
+PGP = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v1.4\n\n{SOME[:60]}\n=ab1C\n-----END PGP PRIVATE KEY BLOCK-----"
+
+
+def test_secrets_of_any_length_and_in_quotes(spark):
+    """Long passwords, names and key blocks, quoted values with separators, blanks and escapes; prose in quotes is left."""
+    cases = [
+        (f"go postgres://bob:{SOME[:132]}@host/x", SOME[:132]), ("a" * 75 + "_password = 'q7w!e9r!t1'", "q7w!e9r!t1"), ("password = 'ab1!c'", "ab1!c"), ("password = 'a;b!c9;dd'", "a;b!c9;dd"),
+        ('{"password":"p@ss;w0rd!"}', "p@ss;w0rd!"), (PGP, PGP), (f"see\n{RSA}\nend", RSA), (f'private_key = "{RSA}"', RSA), ("password: 'correct horse battery staple'", "correct horse battery staple"),
+        ("password      =      hunter2!x", "hunter2!x"), ("password_for_the_main_database_server = q7w!e9r!t1", "q7w!e9r!t1"), ('password = "a\\"b9!c;d"', 'a\\"b9!c;d'),
+        ("the password is required: ask", None), ("password: yes", None), ("token = ''", None), ('"token": "The token is a piece of text, which every reader gets at the door."', None), ('password: "Please enter your new password here"', None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {k: [] for k in range(len(cases))}
+    for r in secrets.scan(df).filter("is_secret").collect():
+        found[r["doc_id"]].append((r["start"], r["candidate"]))
+    for k, (text, secret) in enumerate(cases):
+        assert found[k] == ([(text.index(secret), secret)] if secret else []), text[:60]
+    done = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert all(done[k] == (text.replace(secret, "<SECRET>") if secret else text) for k, (text, secret) in enumerate(cases))
+
+
+def test_texts_full_of_candidates_take_linear_time(spark):
+    pieces = ["password='", "pass-=", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\nab1", "://a:", "secret = ", 'token = "a\\"', "passpass =", "ab1cdefgh "]
+    df = spark.createDataFrame([(k, p * (400_000 // len(p))) for k, p in enumerate(pieces)], "doc_id long, text string")
+    start = time.perf_counter()
+    rows = {r["doc_id"]: r for r in secrets.candidates(df).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("start") + F.char_length("candidate")).alias("last")).collect()}
+    assert time.perf_counter() - start < 60
+    assert rows[8]["n"] == 40_000 and rows[8]["last"] == 399_999 and rows[0]["n"] == 20_000
+
+
 def test_secret_occurrences_and_long_texts(spark):
     key = hashlib.sha1(b"k").hexdigest()
     text = f'token = "{key}" {key}9 token = "{key}" ' + "a" * 1_000_000 + " x1-" * 60_000 + f'secret="{key}"'

@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives from candidate strings. DataFrame and SQL functions only.
 
-Candidates are values assigned to a name that speaks of secrets, passwords in addresses, private-key blocks, runs of at least 8
-key characters with a letter and a digit, and runs of at least 20 letters. One regular expression, which reads a text once, marks
+Candidates are values assigned to a name that speaks of secrets (in quotes, all up to the closing quote of the line; without, up to a
+blank, quote, comma or semicolon), passwords in addresses, private-key blocks, runs of at least 8 key characters with a letter and a
+digit, and runs of at least 20 letters. Names, values, addresses and key blocks may be of any length. One regular expression, which reads a text once, marks
 them; the text is split at the marks into an array of what lies between and of candidates, and everything else happens on that array, so no
 shuffle is needed to find them. Each is described by its length, character transitions, dictionary coverage, path signs and neighbouring
 words; the forest is trained from labelled findings (by default a built-in set, made from templates by a seed) and scores every
@@ -10,6 +11,8 @@ candidate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,14 +29,19 @@ AROUND = 64
 EDGE, OTHER = "\ufdd0", "\ufffd"
 
 # The candidates. What starts with a key character is looked for at the start of a run only, and possessively, so no sign is read more than
-# a few times; names are searched for words of secrets only where a sign of assignment follows.
+# a few times; names are searched for words of secrets only where a sign of assignment follows. A key block runs to the next five dashes,
+# which must begin its end line.
 _KEY = r"A-Za-z0-9+/_\-"
-_ASSIGN = r"[\"'\])]{0,2}[ \t]{0,4}(?:=>|:=|[:=])"
-ASSIGNED = rf"(?=[A-Za-z0-9_\-]{{3,64}}+{_ASSIGN})([A-Za-z0-9_\-]{{0,48}}?(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)[A-Za-z0-9_\-]{{0,16}}{_ASSIGN}[ \t]{{0,4}}[\"'`]?)([^\s\"'`<>,;]{{5,}}[^\s\"'`<>,;.!?):])"
+_ASSIGN = r"[\"'\])]{0,2}+[ \t]*+(?:=>|:=|[:=])"
+_NAME = r"(?>[A-Za-z0-9_\-]*?(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key))[A-Za-z0-9_\-]*+"
+_QUOTED = "|".join(rf"(?<={q})(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+(?={q})" for q in "\"'`")
+_BARE = r"[^\s\"'`<>,;]*[^\s\"'`<>,;.!?):]"
+ASSIGNED = rf"(?=[A-Za-z0-9_\-]{{3,}}+{_ASSIGN})({_NAME}{_ASSIGN}[ \t]*+[\"'`]?+)(?!-----BEGIN )({_QUOTED}|{_BARE})"
 RUN = rf"((?=[A-Za-z+/_\-]*+[0-9])(?=[0-9+/_\-]*+[A-Za-z])[{_KEY}]{{8,}}+={{0,2}}+)"
 LETTERS = rf"([A-Za-z]{{20,}}+(?![{_KEY}]))"
-ADDRESS = r"(://[^\s/:@\"'<>]{1,64}:)([^\s/@:\"'<>]{3,128}+)(?=@)"
-BLOCK = r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]{1,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----)"
+ADDRESS = r"(://[^\s/:@\"'<>]++:)([^\s/@:\"'<>]++)(?=@)"
+_KIND = r"[A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = rf"(-----BEGIN {_KIND}[^\-]++(?:-(?!----)[^\-]*+)*+-----END {_KIND})"
 CANDIDATE = rf"(?<![A-Za-z0-9_\-])(?:{ASSIGNED}|(?<![+/])(?:{RUN}|{LETTERS}))|{ADDRESS}|{BLOCK}"
 _MARKED = f"$1$5{EDGE}$2$3$4$6$7{EDGE}"
 
@@ -42,7 +50,7 @@ KEY_WORDS = "token|secret|passwd|password|pwd|apikey|api_key|api-key|access_key|
 SUM_WORDS = "sha1|sha256|sha512|sha|md5|commit|checksum|hash|digest|revision|rev|uuid|guid|etag|blob|tree|integrity|version|build"
 FILLER = "example|sample|dummy|your|changeme|placeholder|xxxx|0000|1234567|abcdef|test|fake|redacted"
 DICTIONARY = "the|and|for|with|from|this|that|key|api|file|image|page|part|user|name|date|time|data|test|long|title|article|lib|usr|python|site|packages|content|upload|version|release|index|html|node|module|server|client|config|default|source|build|report|final|draft|summer|winter|photo|video|your|here|insert|token|secret|value|string|number|example|sample|about|guide|how|what|news|blog|post"
-FEATURES = ["size", "digit_share", "upper_share", "symbol_share", "distinct_share", "class_changes", "vowel_changes", "hex_only", "letters_only", "covered", "slashes", "extension", "url", "dashes", "key_word", "sum_word", "assigned", "quoted", "filler", "prefix", "longest_letters", "credentials", "key_block", "called"]
+FEATURES = ["size", "digit_share", "upper_share", "symbol_share", "distinct_share", "class_changes", "vowel_changes", "hex_only", "letters_only", "covered", "slashes", "extension", "url", "dashes", "key_word", "sum_word", "assigned", "quoted", "filler", "prefix", "longest_letters", "credentials", "key_block", "called", "blanks", "password"]
 
 
 def _pieces(text: Column) -> Column:
@@ -50,32 +58,39 @@ def _pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(F.translate(text, EDGE, OTHER), F.lit(CANDIDATE), F.lit(_MARKED)), EDGE)
 
 
-def _starts(pieces: Column, step: int = 256) -> Column:
-    """Code points before each piece: sums of whole steps of pieces first, then within a step, so the work is linear."""
-    sizes = F.transform(pieces, F.char_length)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, not once per element of the arrays that body walks over."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _starts(pieces: Column, step: int = 128) -> Column:
+    """Code points before each piece: sums of whole steps of pieces first, then within a step."""
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    each = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / step)), lambda k: total(F.slice(sizes, (k * step + 1).cast("int"), F.lit(step))))
-    before = F.aggregate(each, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.transform(pieces, lambda _, i: F.get(before, F.floor(i / step).cast("int")) + total(F.slice(sizes, (F.floor(i / step) * step + 1).cast("int"), i % step)))
+    steps = lambda sizes: F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / step)), lambda k: total(F.slice(sizes, (k * step + 1).cast("int"), F.lit(step))))
+    sums = lambda each: F.aggregate(each, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    within = lambda sizes, i: total(F.slice(sizes, (F.floor(i / step) * step + 1).cast("int"), i % step))
+    placed = lambda sizes, before: F.transform(sizes, lambda _, i: F.get(before, F.floor(i / step).cast("int")) + within(sizes, i))
+    return _bound(F.transform(pieces, F.char_length), lambda sizes: _bound(sums(steps(sizes)), lambda before: placed(sizes, before)))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, nth, start, candidate, before, after, word): every candidate of every text, in order, with what surrounds it.
 
     start counts code points from 0; version is a hash of the text. Null and empty texts have no candidates; repeated rows have theirs
-    each. Texts of any length are read whole.
+    each. Texts of any length and with any number of candidates are read whole, in time linear in their length.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CANDIDATE))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("version"), _pieces(F.col("text")).alias("pieces"))
-    rows = rows.select("doc_id", "version", "pieces", _starts(F.col("pieces")).alias("starts"))
-    odd = F.sequence(F.lit(1), F.size("pieces") - 2, F.lit(2))
-    at = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
     tail = lambda s: F.right(s, F.lit(AROUND))
-    found = F.transform(odd, lambda i: F.struct(
-        F.floor(i / 2).cast("int").alias("nth"), F.get("starts", i).alias("start"), at(i).alias("candidate"),
-        tail(F.concat(tail(at(i - 2)), tail(at(i - 1)))).alias("before"), F.left(F.concat(F.left(at(i + 1), F.lit(AROUND)), F.left(at(i + 2), F.lit(AROUND))), F.lit(AROUND)).alias("after"),
-    ))
-    got = rows.select("doc_id", "version", F.inline(F.filter(found, lambda x: x["candidate"] != "")))
+
+    def found(pieces: Column, starts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.struct(
+            F.floor(i / 2).cast("int").alias("nth"), F.get(starts, i).alias("start"), at(i).alias("candidate"),
+            tail(F.concat(tail(at(i - 2)), tail(at(i - 1)))).alias("before"), F.left(F.concat(F.left(at(i + 1), F.lit(AROUND)), F.left(at(i + 2), F.lit(AROUND))), F.lit(AROUND)).alias("after"),
+        ))
+
+    every = _bound(_pieces(F.col("text")), lambda pieces: _bound(_starts(pieces), lambda starts: found(pieces, starts)))
+    got = rows.select("doc_id", F.xxhash64("text").alias("version"), F.inline(F.filter(every, lambda x: x["candidate"] != "")))
     word = F.concat(F.regexp_extract("before", r"(\S*)$", 1), F.left("candidate", F.lit(400)), F.regexp_extract("after", r"^(\S*)", 1))
     return got.withColumn("word", word)
 
@@ -113,6 +128,8 @@ def described(found: DataFrame) -> DataFrame:
         "longest_letters": F.array_max(F.transform(F.split(low, "[^a-z]+"), F.char_length)),
         "credentials": flag(F.col("before").rlike(r"://[^\s/:@]+:$") & F.col("after").startswith("@")),
         "key_block": flag(s.startswith("-----BEGIN")),
+        "blanks": _share(s, r"\s"),
+        "password": flag(left.rlike(r"(pass(word|wd|phrase|code)?|pwd)[\"'\])]{0,2}+\s*+[=:]")),
         "called": flag(s.contains("(") | s.contains("{") | s.contains("$")),
     }
     return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
@@ -135,6 +152,16 @@ TEMPLATES = [
     (1, "{text} {pass}{eq}{q}", "{p10}", "{q} {text}"),
     (1, "{text} {pass}{eq}", "{p12}", "\n{text}"),
     (1, "{text} {pass}{eq}{q}", "{word}{p5}", "{q} {text}"),
+    (1, "{text} {pass}{eq}{quote}", "{p5}", "{quote} {text}"),
+    (1, "{text} {pass}{eq}{quote}", "{word} {word2} {word3} {word4}", "{quote} {text}"),
+    (1, "{text} {pass}{eq}{quote}", "{p5};{p10}", "{quote}; {text}"),
+    (1, "{text} {key}{eq}{quote}", "{b12};{b24}", "{quote}, {text}"),
+    (1, "{text}\n", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1.{d2}\n\n{b36}{b24}\n{b32}\n-----END PGP PRIVATE KEY BLOCK-----", "\n{text}"),
+    (1, "{text} {scheme}://{word}:", "{b36}{b40}{b36}", "@db.{word}.net/{word}"),
+    (1, "{text}\n", "-----BEGIN PRIVATE KEY-----\n" + "{b36}{b24}\n{h40}{b12}\n" * 20 + "-----END PRIVATE KEY-----", "\n{text}"),
+    (1, "{text} {key}{eq}{quote}", "-----BEGIN EC PRIVATE KEY-----\n" + "{h40}{h24}\n" * 9 + "-----END EC PRIVATE KEY-----", "{quote} {text}"),
+    (1, "{text} {scheme}://{word}:", "{h40}", "@{word}.{word2}/{word}"),
+    (1, "{text} {scheme}://{word}:", "{h40}{h32}{h40}", "@{word}/{word2}"),
     (1, "{text} {scheme}://{word}:", "{p10}", "@{word}.com/{word}"),
     (1, "{text} {scheme}://{word}:", "{b12}", "@db.{word}.net:5432/{word}"),
     (1, "{text}\n", "-----BEGIN RSA PRIVATE KEY-----\n{b36}{b24}\n{b32}\n-----END RSA PRIVATE KEY-----", "\n{text}"),
@@ -161,6 +188,14 @@ TEMPLATES = [
     (0, "{text} {pass}{eq}{q}", "changeme_{word}", "{q} {text}"),
     (0, "{text} {pass}: ", "{word}{word}", " {text}"),
     (0, "{text} {key}: ", "{word}", " {text}"),
+    (0, "{text} {pass}{eq}", "{short}", " {text}"),
+    (0, "{text} {key}{eq}", "{short}", " {text}"),
+    (0, "{text} {key}{eq}{quote}", "{short}", "{quote} {text}"),
+    (0, "{text} {pass}{eq}{quote}", "{say} {word} {text}", "{quote} {text}"),
+    (0, "{text} {pass}{eq}{quote}", "{say} {text} {word} {say}", "{quote} {text}"),
+    (0, "{text} {key}{eq}{quote}", "{say} {word} {text} {word2} {text}", "{quote} {text}"),
+    (0, "{text} {key}{eq}{quote}", "{text} {word} {word2} {text}", "{quote} {text}"),
+    (0, "{text} {pass}{eq}{quote}", "{Word} {text} {d2} {word2}, {text} {word3}.", "{quote} {text}"),
     (0, "{text} {pass} = ", "get_{word}({word}", ") {text}"),
     (0, "{text} {key} = ", "self.{word}.{word}", " {text}"),
     (0, "{text} {key}{eq}", "${{word}_{word}}", " {text}"),
@@ -173,6 +208,9 @@ LISTS = {
     "pass": ["password", "passwd", "pwd", "DB_PASSWORD", "passphrase", "Password"],
     "eq": [" = ", ": ", "=", " := ", "="],
     "q": ['"', "'", "", '"'],
+    "quote": ['"', "'", '"', "`"],
+    "short": ["a", "no", "yes", "is", "the", "null", "none", "true", "1", "0", "42", "not", "that", "and", "el", "der", "un", "who", "str", "int", "%s", "{}", "[", "(", "*", "...", "-", "***", "your", "here"],
+    "say": ["enter your", "please type the", "your new", "must have 8", "is required for", "forgot your", "the", "choose a strong", "do not share this", "change the", "invalid", "at least 10 signs of"],
     "noise": ["", "!!", "..", "||", ",", "??", "##", "&&&"],
     "vendor": ["ghp_", "sk_live_", "glpat-", "xoxb-", "AIza", "sk-"],
     "sum": ["commit", "sha1", "revision", "checksum:", "etag:", "md5", "blob", "hash", "sha256", "digest", "integrity"],
@@ -182,7 +220,7 @@ LISTS = {
 }
 
 
-def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 5) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 10_000, seed: int = 5) -> DataFrame:
     """(candidate, before, after, word, label): n labelled findings, TEMPLATES in turn filled in from a seed."""
     i = F.col("id")
     rows = spark.range(0, n, 1, 4)
@@ -196,6 +234,8 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 5) -> Data
     rows = rows.select("id", "h", "b", "a", "p", F.inline(F.array(F.element_at("all", (F.pmod("id", F.lit(len(TEMPLATES))) + 1).cast("int")))))
     for name, words in LISTS.items():
         rows = rows.withColumn(f"_{name}", F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(f"{name}{seed}")), F.lit(len(words))) + 1).cast("int")))
+    for k in (2, 3, 4):
+        rows = rows.withColumn(f"_word{k}", F.element_at(F.array(*[F.lit(w) for w in LISTS["word"]]), (F.pmod(F.xxhash64("id", F.lit(f"word{k}-{seed}")), F.lit(len(LISTS["word"]))) + 1).cast("int")))
     digits = F.lpad(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10_000)).cast("string"), 4, "0")
 
     def filled(c: str) -> Column:
@@ -204,12 +244,12 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 5) -> Data
             out = F.replace(out, F.lit(f"{{h{k}}}"), F.substring("h", 1 + k, k))
         for k in (32, 40):
             out = F.replace(out, F.lit(f"{{H{k}}}"), F.upper(F.substring("h", 1 + k, k)))
-        for k in (12, 24, 32, 36):
+        for k in (12, 24, 32, 36, 40):
             out = F.replace(out, F.lit(f"{{b{k}}}"), F.substring("b", 1 + k, k))
         out = F.replace(out, F.lit("{B16}"), F.upper(F.substring("b", 90, 16)))
         out = F.replace(F.replace(F.replace(out, F.lit("{p10}"), F.substring("p", 20, 10)), F.lit("{p12}"), F.substring("p", 60, 12)), F.lit("{p5}"), F.substring("p", 80, 5))
         out = F.replace(F.replace(F.replace(out, F.lit("{a24}"), F.substring("a", 30, 24)), F.lit("{d4}"), digits), F.lit("{d2}"), F.substring(digits, 1, 2))
-        for name in LISTS:
+        for name in [*LISTS, "word2", "word3", "word4"]:
             out = F.replace(out, F.lit(f"{{{name}}}"), F.col(f"_{name}"))
         out = F.replace(out, F.lit("{Word}"), F.initcap("_word"))
         return out.alias(c)
