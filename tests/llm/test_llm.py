@@ -5,6 +5,7 @@ import math
 import os
 import random
 import time
+import warnings
 import zlib
 from html.parser import HTMLParser
 
@@ -568,6 +569,53 @@ def test_rates_against_a_plain_projected_gradient(spark):
     assert np.allclose((p * (np.array(plain) * tok)[:, None]).sum(0), goal, rtol=1e-3)
 
 
+def test_rates_reach_targets_that_plain_steps_are_slow_for(spark):
+    """A scarce domain that overlaps another: 400 plain steps miss the target by over 2 %, steps with momentum reach it, replayed over several refreshes too."""
+    rng = np.random.default_rng(9)
+    p, tok = np.r_[rng.dirichlet([40, 1, 3], 400), rng.dirichlet([1, 6, 8], 60)], rng.integers(1, 90, 460)
+    weights, names = {"a": 0.9, "b": 0.005, "c": 0.095}, ["a", "b", "c"]
+    scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tok, p, strict=True)], "tokens long, p array<double>")
+    goal = np.array([0.9, 0.005, 0.095]) * (p * tok[:, None]).sum()
+    plain = np.ones(460)
+    size = 1 / np.linalg.eigvalsh((p.T * tok) @ p / np.sqrt(np.outer(goal, goal))).max()
+    for _ in range(400):
+        plain = np.maximum(0, plain - p @ (size * (tok * plain @ p - goal) / goal))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rates = mixing.fit_rates(scored, weights, names, close=1e-4, refresh=7)
+    found = (tok * rates.of(p)) @ p
+    assert rates.reached and len(rates.steps) > 7 and np.abs(found / goal - 1).max() < 2e-4 and np.allclose(found, rates.totals)
+    assert np.abs((tok * plain @ p) / goal - 1).max() > 2e-4
+    with pytest.warns(UserWarning, match="not reached in 3 steps: a "):
+        assert not mixing.fit_rates(scored, weights, names, most_steps=3).reached
+
+
+def test_targets_out_of_reach_are_named(spark):
+    """No rates within [0, 1] reach them: the nearest totals come back, the same as those of many plain steps, and a warning tells."""
+    rng = np.random.default_rng(2)
+    p, tok = rng.dirichlet([3, 2], 80), rng.integers(1, 50, 80)
+    scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tok, p, strict=True)], "tokens long, p array<double>")
+    goal = np.array([0.98, 0.02]) * tok.sum()
+    plain = np.ones(80)
+    size = 1 / np.linalg.eigvalsh((p.T * tok) @ p / np.sqrt(np.outer(goal, goal))).max()
+    for _ in range(60_000):
+        plain = np.clip(plain - p @ (size * (tok * plain @ p - goal) / goal), 0, 1)
+    with pytest.warns(UserWarning, match="no allowed rates reach all targets: a "):
+        rates = mixing.fit_rates(scored, {"a": 0.98, "b": 0.02}, ["a", "b"], high=1.0, total=float(tok.sum()))
+    loss = lambda r: float((((tok * r) @ p - goal) ** 2 / goal).sum())
+    assert rates.settled and not rates.reached and loss(rates.of(p)) <= loss(plain) * (1 + 1e-5)
+
+
+def test_low_rates_draw_rows(spark):
+    """A rate under 0.0005 is no rate of nothing: among 20,000 texts of a crowded domain about as many stay as the target asks for."""
+    docs = spark.createDataFrame([(i, f"nasty word{i}", 1.5, "x") for i in range(20_000)] + [(100_000 + i, "nice thing", 2.5, "y") for i in range(100)], "doc_id long, text string, tokens double, P string")
+    labelled = spark.createDataFrame([(i, "bad") for i in range(200)] + [(100_000 + i, "good") for i in range(100)], "doc_id long, domain string")
+    kept = mixing.resample(docs, labelled, {"good": 0.95, "bad": 0.05})
+    assert kept.columns == docs.columns
+    n = {r["P"]: r["count"] for r in kept.groupBy("P").count().collect()}
+    assert n["y"] == 100 and 1 <= n["x"] <= 20
+
+
 def test_mixing_without_documents_or_labels(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, "x " * 300_000)], "doc_id long, text string")
     labelled = spark.createDataFrame([(1, "clean"), (3, "toxic")], "doc_id long, domain string")

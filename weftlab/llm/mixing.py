@@ -3,8 +3,8 @@
 A softmax regression fitted on labelled rows (a table id, domain) gives every document posteriors over the domains, from the shape
 of its text and the presence of the words that tell domains apart best. Rates r >= 0 then minimise the squared
 deviations of the expected domain totals sum_d r_d tokens_d P(k|d) from the target totals, relative to the targets, by projected gradient
-steps in the metric of tokens: each step is one distributed sum over the documents. A document's rate depends only on its posteriors and the
-few totals of the steps, so rates need no join back.
+steps in the metric of tokens: each step is one distributed sum over the documents. Steps carry momentum, which starts anew whenever it points
+uphill. A document's rate depends only on its posteriors and the few totals of the steps, so rates need no join back.
 
 Tokens are words. The classifier is fitted from at most `MAX_ROWS` labelled rows, a sample by hash of their ids.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weftlab.llm.batches import add_columns
 from weftlab.llm.text_features import NAMES, features
 from weftlab.llm.words import slices, word_hashes
-from weftlab.session import materialise
+from weftlab.session import materialise, release
 
 MAX_ROWS = 6000
 TELLING = 64
@@ -121,22 +121,41 @@ def _softmax(x: np.ndarray, y: np.ndarray, names: list[str], words: np.ndarray,
 
 @dataclass
 class Rates:
-    """The gradient steps: rates of posteriors are replayed from them. fixed: the domain whose likeliest documents keep the first rate."""
+    """The gradient steps: rates of posteriors are replayed from them. fixed: the domain whose likeliest documents keep the first rate.
+    Each step is a gradient of the domains' totals and the momentum after it. reached: every total is close to its target; settled: no step moves
+    the rates any more, reached or not."""
 
     low: float
     high: float
     fixed: int | None = None
-    steps: list[list[float]] = field(default_factory=list)
+    steps: list[tuple[list[float], float]] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
+    reached: bool = True
+    settled: bool = False
+
+    @property
+    def first(self) -> float:
+        return float(min(max(1.0, self.low), self.high))
+
+    def move(self, p: np.ndarray, r: np.ndarray, ahead: np.ndarray, steps: list[tuple[list[float], float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rates and the points ahead of them after steps, then the rates and points before the last step."""
+        r_was, ahead_was = r, ahead
+        held = np.zeros(len(p), bool) if self.fixed is None else p[:, self.fixed] >= p.max(axis=1, initial=0.0)
+        for g, momentum in steps:
+            r_was, ahead_was = r, ahead
+            r = np.where(held, r, np.clip(ahead - p @ np.array(g), self.low, self.high))
+            ahead = r + momentum * (r - r_was)
+        return r, ahead, r_was, ahead_was
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        first = min(max(1.0, self.low), self.high)
-        r = np.full(len(p), first)
-        for g in self.steps:
-            r = np.clip(r - p @ np.array(g), self.low, self.high)
-        return r if self.fixed is None else np.where(p[:, self.fixed] >= p.max(axis=1, initial=0.0), first, r)
+        begin = np.full(len(p), self.first)
+        return self.move(p, begin, begin, self.steps)[0]
+
+
+def _posteriors(b: pa.RecordBatch, column: str, k: int) -> np.ndarray:
+    return b.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
 def with_posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,20 +169,21 @@ def with_posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", tex
     return add_columns(rows, ["text"], "tokens long, p array<double>", run)
 
 
-def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], low: float = 0.0, high: float = float("inf"), total: float | None = None, whole: str | None = None, most_steps: int = 60, close: float = 1e-3, refresh: int = 10) -> Rates:
-    """Projected gradient steps over scored (tokens, p) until every domain total is within `close` of its target.
+def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], low: float = 0.0, high: float = float("inf"), total: float | None = None, whole: str | None = None, most_steps: int = 1000, close: float = 1e-3, refresh: int = 25) -> Rates:
+    """Projected gradient steps over scored (tokens, p) until every domain total is within `close` of its target, or no step moves the rates.
 
     weights: target share per domain, renormalised over the domains that have tokens. total: target sum of tokens; by default the present
     sum, or with high = 1 the largest total that needs no rate above 1. whole: the domain whose present tokens all stay: it sets the total
     (if it has tokens and a weight), the target of any other domain is at most its present tokens, and documents that are likeliest of
     it keep the rate 1, whatever their other memberships. Rates are held within [low, high]. Domains with a weight but no tokens are
-    named in `dropped` of the result and warned of.
+    named in `dropped` of the result and warned of, and so are targets that are not reached: either none of the rates allowed
+    reaches them all (the result is then the nearest in least squares) or `most_steps` were not enough.
     """
     k = len(names)
     at = lambda i: F.element_at("p", i + 1)
     tok = F.col("tokens").cast("double")
-    first = scored.agg(*[F.sum(tok * at(i)).alias(f"s{i}") for i in range(k)], *[F.sum(tok * at(i) * at(j)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    now = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
+    sums = scored.agg(F.sum(tok).alias("all"), *[F.sum(tok * at(i)).alias(f"s{i}") for i in range(k)], *[F.sum(tok * at(i) * at(j)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+    now, tokens = np.array([sums[f"s{i}"] or 0.0 for i in range(k)]), sums["all"] or 0.0
     share = np.array([max(0.0, weights.get(n, 0.0)) for n in names]) * (now > 0)
     whole_at = names.index(whole) if whole in names and share[names.index(whole)] > 0 else None
     out = Rates(low, high, whole_at)
@@ -178,35 +198,63 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     elif total is None:
         total = min(now[i] / share[i] for i in range(k) if share[i] > 0) if high <= 1 else now.sum()
     goal = np.maximum(share * total if whole_at is None else np.minimum(share * total, now), 1e-9 * now.sum())
-    gram = np.array([[(first[f"g{i}_{j}"] or 0.0) / np.sqrt(goal[i] * goal[j]) for j in range(k)] for i in range(k)])
+    gram = np.array([[(sums[f"g{i}_{j}"] or 0.0) / np.sqrt(goal[i] * goal[j]) for j in range(k)] for i in range(k)])
     step = 1 / np.linalg.eigvalsh(gram).max()
-    begin = float(min(max(1.0, low), high))
-    held = F.lit(False) if whole_at is None else at(whole_at) >= F.array_max("p")
-    state = scored.select("tokens", "p", F.lit(begin).alias("r"))
-    pending: list[list[float]] = []
-    for n in range(most_steps):
-        rate = F.col("r")
-        for g in pending:
-            rate = F.greatest(F.lit(low), F.least(F.lit(high), rate - sum((F.lit(g[i]) * at(i) for i in range(k)), F.lit(0.0))))
-        moved = state.withColumn("r", F.when(held, begin).otherwise(rate))
-        if len(pending) >= refresh:
-            state, pending = materialise(moved, "rates"), []
-            moved = state
-        if n:
-            sums = moved.agg(*[F.sum(tok * F.col("r") * at(i)).alias(f"s{i}") for i in range(k)]).first()
-            before, now = now, np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
-            if np.abs(now - before).max() <= 1e-6 * now.sum():
-                break
+    wanted = share > 0
+    near = lambda t: bool((np.abs(t - goal)[wanted] <= close * goal[wanted]).all())
+    state = scored.select("tokens", "p", F.lit(out.first).alias("r"), F.lit(out.first).alias("ahead"))
+    fresh = 0  # steps that state already holds
+    now = now * out.first
+    ahead, speed, out.reached = now, 1.0, near(now)
+    while not (out.reached or out.settled or len(out.steps) >= most_steps):
+        if len(out.steps) - fresh >= refresh:
+            was, state, fresh = state, materialise(_stepped(state, out, fresh), "rates"), len(out.steps)
+            release(was)
+        after = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        out.steps.append(((step * (ahead - goal) / goal).tolist(), float((speed - 1) / after)))
+        got = _step_sums(state, out, fresh, k)
+        now, speed = got[:k], after
+        if got[2 * k] > 0:  # uphill: go on from the rates themselves
+            out.steps[-1], ahead, speed = (out.steps[-1][0], 0.0), now, 1.0
         else:
-            now = np.array([first[f"s{i}"] or 0.0 for i in range(k)]) * min(max(1.0, low), high)
-        if (np.abs(now - goal)[share > 0] <= close * goal[share > 0]).all():
-            break
-        pending.append((step * (now - goal) / goal).tolist())
-        out.steps.append(pending[-1])
+            ahead = got[k : 2 * k]
+        out.reached, out.settled = near(now), bool(got[2 * k + 1] <= 1e-7 * tokens)
     out.totals, out.targets = now.tolist(), goal.tolist()
+    if not out.reached:
+        named = ", ".join(f"{n} {t:.0f} for {w:.0f}" for n, t, w, s in zip(names, now, goal, wanted, strict=True) if s)
+        warnings.warn(f"{'no allowed rates reach all targets' if out.settled else f'targets not reached in {most_steps} steps'}: {named}", stacklevel=2)
     return out
 
 
+def _stepped(state: DataFrame, rates: Rates, fresh: int) -> DataFrame:
+    """state (tokens, p, r, ahead) after the steps from number `fresh` on."""
+    steps = rates.steps[fresh:]
+
+    def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        p = _posteriors(b, "p", len(steps[0][0]))
+        r, ahead, _, _ = rates.move(p, b.column("r0").to_numpy(), b.column("ahead0").to_numpy(), steps)
+        return {"r": pa.array(r), "ahead": pa.array(ahead)}
+
+    return add_columns(state.withColumnsRenamed({"r": "r0", "ahead": "ahead0"}), [], "r double, ahead double", run).drop("r0", "ahead0")
+
+
+def _step_sums(state: DataFrame, rates: Rates, fresh: int, k: int) -> np.ndarray:
+    """After the last step: domain totals of the rates and of the points ahead; the momentum test; tokens moved by the step itself."""
+    steps, names = rates.steps[fresh:], [f"s{i}" for i in range(2 * k + 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * k + 2)
+        for b in batches:
+            p, t = _posteriors(b, "p", k), b.column("tokens").to_numpy().astype(np.float64)
+            r, ahead, r_was, ahead_was = rates.move(p, b.column("r").to_numpy(), b.column("ahead").to_numpy(), steps)
+            held = r == r_was if rates.fixed is None else (p[:, rates.fixed] >= p.max(axis=1, initial=0.0)) | (r == r_was)
+            sums += np.r_[(t * r) @ p, (t * ahead) @ p, (t * (ahead_was - r)) @ np.where(held, 0.0, r - r_was), t @ np.abs(r - ahead_was)]
+        yield pa.RecordBatch.from_arrays([pa.array([s]) for s in sums], names)
+
+    found = state.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
+    return np.array([found[n] or 0.0 for n in names])
+
+
 def _trained(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str, text_col: str) -> Domains:
     """The fitted classifier; without labelled documents one that gives even memberships in the domains `names`."""
     try:
@@ -227,8 +275,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     rates = fit_rates(scored, weights, model.names)
 
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        p = np.array(b.column("p").to_pylist()).reshape(-1, len(model.names))
-        return {"rate": pa.array(rates.of(p), pa.float64())}
+        return {"rate": pa.array(rates.of(_posteriors(b, "p", len(model.names))), pa.float64())}
 
     done = add_columns(scored, [], "rate double", run)
     return done.select("doc_id", "tokens", "rate", *[F.element_at("p", i + 1).alias(f"p_{n}") for i, n in enumerate(model.names)])
@@ -239,19 +286,27 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], hi
 
     With high = 1 no row is repeated, and the domain of the largest weight is kept whole: its tokens set the total, documents
     likeliest of it keep the rate 1, and a domain under its share keeps what it has. An empty table passes through, and so do all rows
-    if none has a label. Repeated rows share their fate; null and empty texts are judged by their posteriors like others.
+    if none has a label. Repeated rows share their fate; null and empty texts are judged by their posteriors like others. Texts are scored once:
+    documents are written with their posteriors, and the steps read the latter alone.
     """
     model = _trained(docs, labelled, [], id_col, text_col)
     if not model.names:
         return docs
     whole = max(sorted(weights), key=weights.get) if high <= 1 else None
-    rates = fit_rates(materialise(with_posteriors(docs, model, id_col, text_col), "posteriors"), weights, model.names, high=high, whole=whole)
+    columns = docs.columns
+    tokens, p = (next(n for n in (base + "_" * i for i in range(len(columns) + 1)) if n.lower() not in {c.lower() for c in columns}) for base in ("tokens", "p"))
+
+    def score(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        found, n = model.posteriors(b.column(text_col).to_pylist())
+        return {tokens: pa.array(n, pa.int64()), p: pa.array(found.tolist(), pa.list_(pa.float64()))}
+
+    scored = materialise(add_columns(docs, [], f"`{tokens}` long, `{p}` array<double>", score), "scored")
+    rates = fit_rates(scored.select(F.col(tokens).alias("tokens"), F.col(p).alias("p")), weights, model.names, high=high, whole=whole)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text_col).to_pylist()
-            u = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) for t in texts]) / 2**32
-            copies = np.floor(np.round(rates.of(model.posteriors(texts)[0]), 3) + u).astype(np.int64)
-            yield b.take(pa.array(np.repeat(np.arange(len(texts)), copies), pa.int64()))
+            u = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) for t in b.column(text_col).to_pylist()]) / 2**32
+            copies = np.floor(rates.of(_posteriors(b, p, len(model.names))) + u).astype(np.int64)
+            yield b.select(columns).take(pa.array(np.repeat(np.arange(b.num_rows), copies), pa.int64()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return scored.mapInArrow(each, docs.schema)
