@@ -570,28 +570,28 @@ def test_rates_against_a_plain_projected_gradient(spark):
 
 
 def test_rates_reach_targets_that_plain_steps_are_slow_for(spark):
-    """A scarce domain that overlaps another: 400 plain steps miss the target by over 2 %, steps with momentum reach it, replayed over several refreshes too."""
+    """A scarce domain that overlaps another: 300 plain steps miss the target, some 40 with momentum reach it, over several refreshes."""
     rng = np.random.default_rng(9)
-    p, tok = np.r_[rng.dirichlet([40, 1, 3], 400), rng.dirichlet([1, 6, 8], 60)], rng.integers(1, 90, 460)
-    weights, names = {"a": 0.9, "b": 0.005, "c": 0.095}, ["a", "b", "c"]
+    p, tok = np.r_[rng.dirichlet([20, 1, 3], 400), rng.dirichlet([1, 6, 8], 60)], rng.integers(1, 90, 460)
+    weights, names = {"a": 0.875, "b": 0.03, "c": 0.095}, ["a", "b", "c"]
     scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tok, p, strict=True)], "tokens long, p array<double>")
-    goal = np.array([0.9, 0.005, 0.095]) * (p * tok[:, None]).sum()
+    goal = np.array([0.875, 0.03, 0.095]) * (p * tok[:, None]).sum()
     plain = np.ones(460)
     size = 1 / np.linalg.eigvalsh((p.T * tok) @ p / np.sqrt(np.outer(goal, goal))).max()
-    for _ in range(400):
+    for _ in range(300):
         plain = np.maximum(0, plain - p @ (size * (tok * plain @ p - goal) / goal))
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         rates = mixing.fit_rates(scored, weights, names, close=1e-4, refresh=7)
     found = (tok * rates.of(p)) @ p
-    assert rates.reached and len(rates.steps) > 7 and np.abs(found / goal - 1).max() < 2e-4 and np.allclose(found, rates.totals)
+    assert rates.reached and 7 < len(rates.steps) < 100 and np.abs(found / goal - 1).max() < 2e-4 and np.allclose(found, rates.totals)
     assert np.abs((tok * plain @ p) / goal - 1).max() > 2e-4
     with pytest.warns(UserWarning, match="not reached in 3 steps: a "):
         assert not mixing.fit_rates(scored, weights, names, most_steps=3).reached
 
 
 def test_targets_out_of_reach_are_named(spark):
-    """No rates within [0, 1] reach them: the nearest totals come back, the same as those of many plain steps, and a warning tells."""
+    """No rates within [0, 1] reach them: the nearest totals come back, as near as those of many plain steps, and a warning tells."""
     rng = np.random.default_rng(2)
     p, tok = rng.dirichlet([3, 2], 80), rng.integers(1, 50, 80)
     scored = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tok, p, strict=True)], "tokens long, p array<double>")
@@ -600,7 +600,7 @@ def test_targets_out_of_reach_are_named(spark):
     size = 1 / np.linalg.eigvalsh((p.T * tok) @ p / np.sqrt(np.outer(goal, goal))).max()
     for _ in range(60_000):
         plain = np.clip(plain - p @ (size * (tok * plain @ p - goal) / goal), 0, 1)
-    with pytest.warns(UserWarning, match="no allowed rates reach all targets: a "):
+    with pytest.warns(UserWarning, match="rates settled off their targets: a "):
         rates = mixing.fit_rates(scored, {"a": 0.98, "b": 0.02}, ["a", "b"], high=1.0, total=float(tok.sum()))
     loss = lambda r: float((((tok * r) @ p - goal) ** 2 / goal).sum())
     assert rates.settled and not rates.reached and loss(rates.of(p)) <= loss(plain) * (1 + 1e-5)

@@ -176,8 +176,8 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     sum, or with high = 1 the largest total that needs no rate above 1. whole: the domain whose present tokens all stay: it sets the total
     (if it has tokens and a weight), the target of any other domain is at most its present tokens, and documents that are likeliest of
     it keep the rate 1, whatever their other memberships. Rates are held within [low, high]. Domains with a weight but no tokens are
-    named in `dropped` of the result and warned of, and so are targets that are not reached: either none of the rates allowed
-    reaches them all (the result is then the nearest in least squares) or `most_steps` were not enough.
+    named in `dropped` of the result and warned of, and so are targets that are not reached: either the rates settled, as no
+    rates allowed reach them all (the result is then the nearest in least squares), or `most_steps` were not enough.
     """
     k = len(names)
     at = lambda i: F.element_at("p", i + 1)
@@ -222,7 +222,7 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], names: list[str], lo
     out.totals, out.targets = now.tolist(), goal.tolist()
     if not out.reached:
         named = ", ".join(f"{n} {t:.0f} for {w:.0f}" for n, t, w, s in zip(names, now, goal, wanted, strict=True) if s)
-        warnings.warn(f"{'no allowed rates reach all targets' if out.settled else f'targets not reached in {most_steps} steps'}: {named}", stacklevel=2)
+        warnings.warn(f"{'rates settled off their targets' if out.settled else f'targets not reached in {most_steps} steps'}: {named}", stacklevel=2)
     return out
 
 
