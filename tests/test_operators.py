@@ -244,6 +244,17 @@ def test_hypergeometric_tail_against_whole_numbers(spark):
             assert math.isclose(r["p"], want, rel_tol=1e-9, abs_tol=1e-15), (r, want)
 
 
+def test_hypergeometric_tail_of_large_sets(spark):
+    """Products of the counts exceed a long here; the sum over the middle half of the terms has all of the mass but some 1e-300."""
+    n, k, m = 1_200_000, 90_000, 240_000
+    lf = lambda i: math.lgamma(i + 1.0)
+    term = lambda i: math.exp(lf(k) + lf(n - k) + lf(m) + lf(n - m) - lf(n) - lf(i) - lf(k - i) - lf(m - i) - lf(n - k - m + i))
+    rows = [(x, k, m) for x in (0, 17_000, 17_800, 18_000, 18_001, 18_250, 20_000, k)]
+    for r in frame(spark, rows, "x long, k long, m long").withColumn("p", hypergeom_tail(F.col("x"), F.col("k"), F.col("m"), n)).collect():
+        want = math.fsum(term(i) for i in range(max(r["x"], 13_000), 23_000)) if r["x"] < 23_000 else 0.0
+        assert math.isclose(r["p"], want, rel_tol=1e-6, abs_tol=1e-12), (r, want)
+
+
 def test_numbered_keeps_the_order(spark):
     rows = [(i * 7 % 101, i) for i in range(101)]
     got = {r["a"]: r["n"] for r in numbered(frame(spark, rows, "a int, b int"), ["a"], "n").collect()}

@@ -47,7 +47,7 @@ def hypergeom_tail(x: Column, k: Column, m: Column, n: int) -> Column:
     """
 
     def placed(s: Column) -> Column:
-        middle = F.floor((s["k"] + 1) * (s["m"] + 1) / F.lit(n + 2.0))
+        middle = F.floor((s["k"] + 1.0) * (s["m"] + 1.0) / F.lit(n + 2.0))
         least, most = F.greatest(F.lit(0).cast("long"), s["k"] + s["m"] - n), F.least(s["k"], s["m"])
         upper = s["x"] > middle
         at = F.when(upper, s["x"]).otherwise(s["x"] - 1)  # the first term of the sum
@@ -55,12 +55,14 @@ def hypergeom_tail(x: Column, k: Column, m: Column, n: int) -> Column:
 
     def summed(b: Column) -> Column:
         k, m, at, upper = b["k"], b["m"], b["at"], b["upper"]
-        spread = F.sqrt(k * m * (n - k) * (n - m) / (float(n) * n * max(1, n - 1)))
+        part = lambda x: x.cast("double") / float(n)  # noqa: E731  (products of four counts exceed a long from some 55,000 on)
+        spread = F.sqrt(part(k) * part(m) * part(n - k) * part(n - m) * (float(n) * n / max(1, n - 1)))
         steps = F.least(F.when(upper, b["most"] - at).otherwise(at - b["least"]), (40 * spread + 60).cast("long"))
 
         def grow(acc: Column, s: Column) -> Column:
             up, down = at + s, at - s  # from up - 1 to up, from down + 1 to down
-            ratio = F.when(upper, (k - up + 1) * (m - up + 1) / (up * (n - k - m + up)).cast("double")).otherwise((down + 1) * (n - k - m + down + 1) / ((k - down) * (m - down)).cast("double"))
+            wide = lambda a, b: a.cast("double") * b
+            ratio = F.when(upper, wide(k - up + 1, m - up + 1) / wide(up, n - k - m + up)).otherwise(wide(down + 1, n - k - m + down + 1) / wide(k - down, m - down))
             return let(acc["t"] * ratio, lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s")))
 
         def whole(first: Column) -> Column:

@@ -142,7 +142,7 @@ def gene_set_enrichment(genes: DataFrame, sets: DataFrame, n: int, alpha: float
     """
     na, ns = genes.groupBy("id").agg(F.count("*").alias("n1")), sets.groupBy("set_name").agg(F.count("*").alias("n2"))
     rows = genes.join(sets, "gene").groupBy("id", "set_name").agg(F.count("*").alias("shared")).join(na, "id").join(ns, "set_name")
-    rows = with_tail(materialise(rows, "shared-genes"), "shared", "n1", "n2", n).withColumn("fold", F.col("shared") * n / (F.col("n1") * F.col("n2")))
+    rows = with_tail(materialise(rows, "shared-genes"), "shared", "n1", "n2", n).withColumn("fold", F.col("shared") * float(n) / (F.col("n1") * F.col("n2").cast("double")))
     q = bh_adjust(rows, "p", ["id"], ["set_name"])
     order = [F.desc("fold"), "q", "set_name"] if by_fold else ["q", F.desc("fold"), "set_name"]
     best = q.filter(F.col("q") < alpha).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("nth = 1")
@@ -167,7 +167,7 @@ def clinical_association(samples: DataFrame, labels: DataFrame, n: int, alpha: f
     rows = size.join(every).select("id", "n1", F.explode("cats").alias("c")).select("id", "n1", "c.category", "c.n2").join(shared, ["id", "category"], "left").fillna(0, ["inter"])
     big = F.col("n1") > n / 2
     rows = rows.withColumn("shared", F.when(big, F.col("n2") - F.col("inter")).otherwise(F.col("inter"))).withColumn("size", F.when(big, n - F.col("n1")).otherwise(F.col("n1")))
-    rows = with_tail(materialise(rows, "categories"), "shared", "size", "n2", n).withColumn("fold", F.try_divide(F.col("shared") * n, F.col("size") * F.col("n2"))).withColumn("jac", jaccard(F.col("shared"), F.col("size"), F.col("n2")))
+    rows = with_tail(materialise(rows, "categories"), "shared", "size", "n2", n).withColumn("fold", F.try_divide(F.col("shared") * float(n), F.col("size") * F.col("n2").cast("double"))).withColumn("jac", jaccard(F.col("shared"), F.col("size"), F.col("n2")))
     best = rows.filter(F.col("p") < alpha).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("p", "category"))).filter("nth = 1")
     out = size.select("id").join(best, "id", "left")
     return out.select("id", F.coalesce(F.col("category").cast("string"), F.lit("NA")).alias("category"), *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("p", "fold", "shared", "jac")])
