@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -361,6 +362,24 @@ def test_null_sets_grow_along_a_path_and_give_up(spark, most_edges):
     assert len(rows) == 20 and all(r["n_genes"] == 3 and 1 <= r["n_samples"] <= 15 and r["avgSNR"] > 0 for r in rows)
 
 
+def test_large_random_sets_take_time_in_proportion(spark):
+    """On a sparse net walks get stuck all the time; a search of the whole set each time took minutes here."""
+    n = 40_000
+    net = frame(spark, [(k, (k * 7 + 1) % n) for k in range(n)] + [(k, k + 1) for k in range(n - 1)], "g1 long, g2 long")
+    began = time.time()
+    rows = nulls.random_connected_subnets(net, [15_000], 4).groupBy("walk").agg(F.countDistinct("gene").alias("n")).collect()
+    assert [r["n"] for r in rows] == [15_000] * 4 and time.time() - began < 60
+
+
+def test_both_forms_of_null_distributions_agree(spark, net):
+    """With missing and null cells, and genes that the matrix lacks."""
+    rng = random.Random(4)
+    rows = [(g, f"s{s:02}", None if rng.random() < 0.1 else rng.gauss(g % 3 if s < 9 else 0, 1)) for g in range(28) for s in range(20) if rng.random() > 0.1]
+    m = frame(spark, rows, "gene long, sample string, value double")
+    told = [sorted((r["n_genes"], r["n_samples"], round(r["avgSNR"], 9)) for r in nulls.null_distribution(net, m, [3, 7], 6, most_edges=k).collect()) for k in (nulls.MOST_EDGES, 0)]
+    assert told[0] == told[1] and len(told[0]) == 12
+
+
 def test_pvalues_count_ties_and_gaps(spark):
     rng = random.Random(1)
     some = lambda: rng.choice([None, 0.0, 0.5, 0.5, 1.0, math.nan])
