@@ -107,9 +107,9 @@ def test_modules_and_thresholds(spark, given):
         assert rankoverlap.snr_threshold(scores, "s", q, 1000).first()["min_snr"] == round(float(np.quantile(values, 1 - q)), 3)
 
 
-def test_pairs_of_blocks_against_plain_sets(spark, gotpatch):
+def test_pairs_of_blocks_against_plain_sets(spark, monkeypatch):
     """Bitmaps in several blocks and layers of words; directions, empty sets, null samples."""
-    gotpatch.setattr(pairs, "BLOCK", 5)
+    monkeypatch.setattr(pairs, "BLOCK", 5)
     rng = random.Random(4)
     sets = {i: {rng.randrange(70) for _ in range(rng.randrange(30))} for i in range(23)}
     ways = {i: rng.choice(["UP", "DOWN"]) for i in sets}
@@ -217,3 +217,26 @@ def test_correlations_of_blocks_against_plain_pairs(spark, missing):
         assert got.keys() == want.keys()
         for i in want:
             assert np.allclose(got[i], want[i], atol=0.00501)
+
+
+def test_part_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share of the lines stays the same, however many there are."""
+    from weftlab.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    edges = fixtures.part_edges(spark, sf)
+    assert edges.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() / 500
+    monkeypatch.setattr(fixtures, "LINES", 10**9)
+    assert edges.exceptAll(fixtures.part_edges(spark, sf)).isEmpty() and edges.count() == fixtures.part_edges(spark, sf).count()
+
+
+def test_thresholds_score_only_the_edges_they_take(spark, monkeypatch):
+    """The threshold reads 1000 edges by hash, so no other edge needs a score."""
+    from weftlab.plans import bicluster_queries
+
+    scored = []
+    score = bicluster.bicluster_snr
+    monkeypatch.setattr(bicluster, "bicluster_snr", lambda members, found, m: scored.append(members.select("id").distinct().count()) or score(members, found, m))
+    monkeypatch.setattr(rankoverlap, "SIZE", 50)
+    assert bicluster_queries.snr_threshold(spark, "/root/testdata/sf0.001").count() == 1 and scored == [50]

@@ -9,6 +9,8 @@ from weftlab.session import table
 
 #: Samples per vector.
 N = 64
+#: Lines of a task in part_edges.
+LINES = 250_000
 
 
 def exprs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +48,13 @@ EDGES = RAW_EDGES + ", edges AS (SELECT DISTINCT least(g1, g2) AS g1, greatest(g
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts bought in one order (each order is a handful of lines)."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    """Parts bought in one order (each order is a handful of lines). Tasks take about LINES lines each, and the pairs of as many."""
+    rows = table(spark, sf_dir, "lineitem")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LINES))
+    lines = rows.select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey").distinct()
     other = lines.withColumnRenamed("l_partkey", "g2")
-    return lines.join(other, "l_orderkey").filter("l_partkey < g2").select(F.col("l_partkey").alias("g1"), "g2").distinct()
+    pairs = lines.join(other, "l_orderkey").filter("l_partkey < g2").select(F.col("l_partkey").alias("g1"), "g2")
+    return pairs.repartition(tasks, "g1", "g2").distinct()
 
 
 PART_EDGES = "part_edges AS (SELECT DISTINCT a.l_partkey AS g1, b.l_partkey AS g2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"
