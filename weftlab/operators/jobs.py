@@ -22,9 +22,9 @@ def restricted(edges: DataFrame, m: DataFrame, k: int = 3) -> tuple[DataFrame, D
 
 
 def edge_snr_threshold(edges: DataFrame, m: DataFrame, direction: str, n: int, q: float, least: int) -> float:
-    """The 1 - q quantile of the avgSNR of biclusters of single edges, over 1000 edges."""
+    """The 1 - q quantile of the avgSNR of biclusters of single edges, over the threshold_edges."""
     edges = edges.withColumn("id", F.xxhash64("g1", "g2"))
-    chosen = materialise(edges.orderBy(F.md5(F.concat_ws("-", F.col("g1").cast("string"), F.col("g2").cast("string")))).limit(1000), "edges")
+    chosen = materialise(rankoverlap.threshold_edges(edges), "edges")
     members = network.incidence(chosen, "id")
     found = bicluster.optimal_sample_set(members, m, chosen.select("id", F.lit(direction).alias("direction")), n, least)
     score = bicluster.bicluster_snr(members, found, m)

@@ -207,9 +207,18 @@ def assign_samples_to_edges(edges: DataFrame, m: DataFrame, direction: str = "UP
     return best.join(kept, ["g1", "g2"], "left_semi").select("g1", "g2", F.explode("samples").alias("sample"))
 
 
-def snr_threshold(edges: DataFrame, avg_snr: Column | str, q: float = 0.1, size: int = 1000) -> DataFrame:
-    """One row: the 1 - q quantile of avg_snr (-1 where rejected) over `size` edges chosen by hash (all, if fewer), to 3 decimals."""
-    chosen = edges.orderBy(F.md5(F.concat_ws("-", F.col("g1").cast("string"), F.col("g2").cast("string")))).limit(size)
+#: Edges that an SNR threshold is taken from.
+SIZE = 1000
+
+
+def threshold_edges(edges: DataFrame, size: int | None = None) -> DataFrame:
+    """The `size` (by default SIZE) edges, chosen by hash, that snr_threshold reads (all, if fewer): no other edge needs a score."""
+    return edges.orderBy(F.md5(F.concat_ws("-", F.col("g1").cast("string"), F.col("g2").cast("string")))).limit(SIZE if size is None else size)
+
+
+def snr_threshold(edges: DataFrame, avg_snr: Column | str, q: float = 0.1, size: int | None = None) -> DataFrame:
+    """One row: the 1 - q quantile of avg_snr (-1 where rejected) over the threshold_edges, to 3 decimals."""
+    chosen = threshold_edges(edges, size)
     return chosen.agg(F.round(F.percentile(F.coalesce(avg_snr, F.lit(-1.0)), 1 - q), 3).alias("min_snr"))
 
 
