@@ -180,6 +180,12 @@ class Part:
         size = np.flatnonzero(self.m)
         return np.append(self.modules[k], self.modules[size]), np.append(s, np.full(len(size), -1)), np.append(self.ones[k, s], self.m[size])
 
+    def changes(self, ones: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(module, sample, change) since the tables were `ones` and `m`, sizes at sample -1, where there is one."""
+        k, s = np.nonzero(self.ones != ones)
+        size = np.flatnonzero(self.m != m)
+        return np.append(self.modules[k], self.modules[size]), np.append(s, np.full(len(size), -1)), np.append(self.ones[k, s] - ones[k, s], self.m[size] - m[size])
+
 
 def window_change(history: np.ndarray) -> tuple[float, int]:
     """(sum of squares, number of terms) of the difference between the transition tables of the first and the last w of w + 1 steps, over the edges

@@ -131,7 +131,7 @@ def _job(fixed: DataFrame, state: DataFrame, counts: DataFrame | None, n: int, f
             some = right[right["kind"] == 1]
             offered = (some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64))
         part = gibbs.Part(*(edges[c].to_numpy(np.int64) for c in ("eid", "g1", "g2")), list(edges["samples"]), rows["b"].to_numpy(np.int64), n, alpha, beta, seed, held, offered)
-        before = part.counts() if exchange else None
+        before = (part.ones.copy(), part.m.copy()) if exchange else None
         windows = [np.asarray(w, np.int64) for w in rows["window"]]
         window = np.stack(windows) if len(windows[0]) else np.zeros((len(rows), 0), np.int64)
         drawn, sums = [], []
@@ -145,8 +145,8 @@ def _job(fixed: DataFrame, state: DataFrame, counts: DataFrame | None, n: int, f
         moved = pd.DataFrame({"part": name, "eid": part.eid, "module": drawn[-1], "steps": list(np.stack(drawn, axis=1)), "window": list(window), "sums": None})
         tables = [moved, pd.DataFrame({"part": [name], "eid": [None], "module": [None], "steps": [None], "window": [None], "sums": [sums]})]
         if exchange:
-            key, change = _difference(before, part.counts())
-            tables.append(pd.DataFrame({"part": key[:, 1], "eid": None, "module": key[:, 0], "steps": None, "window": None, "sums": [[[float(c)]] for c in change]}))
+            module, sample, change = part.changes(*before)
+            tables.append(pd.DataFrame({"part": sample, "eid": None, "module": module, "steps": None, "window": None, "sums": [[[float(c)]] for c in change]}))
         return pd.concat([t.astype({"eid": "Int64", "module": "Int64"}) for t in tables if len(t)])
 
     kinds = F.col("part").alias("of"), F.lit(0).alias("kind"), F.col("eid").alias("a"), F.col("module").alias("b"), F.lit(0).cast("long").alias("c"), "window"
@@ -156,14 +156,6 @@ def _job(fixed: DataFrame, state: DataFrame, counts: DataFrame | None, n: int, f
     return fixed.groupBy("part").cogroup(told.groupBy("of")).applyInPandas(run, out)
 
 
-def _difference(was: tuple[np.ndarray, ...], now: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """((module, sample), change) between two tables of counts."""
-    key, at = np.unique(np.concatenate([np.stack(was[:2], 1), np.stack(now[:2], 1)]), axis=0, return_inverse=True)
-    change = np.zeros(len(key), np.int64)
-    np.add.at(change, at.ravel(), np.concatenate([-was[2], now[2]]))
-    return key[change != 0], change[change != 0]
-
-
 def _history(parts: list[tuple[int, DataFrame]], steps: int) -> DataFrame:
     out = None
     for first, moved in parts:
