@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlab.functions.ordering import numbered
 from weftlab.operators import bicluster, pairs
 from weftlab.session import materialise, release
 
@@ -18,56 +19,75 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
     Pairs are compared once: after a round only those of the merged biclusters are new, the others' are kept, down to p under alpha, as the
     factor falls with the number of biclusters. Rounds go on until no pair is left (every round takes a bicluster or a pair away);
     RuntimeError after max_rounds. An empty table stays empty.
+
+    A round is a handful of small jobs, as each of them takes its time however little it holds: genes stay under the id they were given with, and a
+    table of one row per bicluster tells which one it is part of by now; a union is split, chosen and scored in one task; sample sets are words of bits.
     """
-    spark = bics.sparkSession
-    tried = spark.createDataFrame([], "i int, j int")
     bics, members, samples = materialise(bics.select("id", "direction"), "bics"), materialise(members, "genes"), materialise(samples, "samples")
-    m = materialise(m.join(members.select("gene").distinct(), "gene", "left_semi"), "member-genes")  # unions hold no other genes
-    one_way = bics.select("direction").distinct().count() < 2
-    bits, n_words = pairs.numbered_bits(samples.select("sample").union(m.select("sample")).distinct(), n)
-    sets = materialise(pairs.packed_sets(bics, samples, bits, n_words), "packed-sets")
-    open_ = lambda found: pairs.pair_overlaps(found, n, listed=False).filter((F.col("p") < alpha) & (F.col("jac") >= least_jaccard)).select("i", "j", "p", "jac")
-    known = materialise(open_(pairs.set_pairs(sets)), "open-pairs")
+    numbers = materialise(numbered(samples.select("sample").union(m.select("sample")).filter("sample is not null").distinct(), ["sample"], "number"), "sample-numbers")
+    n_words = (numbers.agg(F.max("number")).first()[0] or 0) // 64 + 1
+    bits = numbers.select("sample", F.floor(F.col("number") / 64).cast("int").alias("word"), (F.col("number") % 64).cast("int").alias("bit"))
+    rows = materialise(bicluster.profiles(m.join(members.select("gene").distinct(), "gene", "left_semi"), numbers), "profiles")  # unions hold no other genes
+    state = pairs.packed_sets(bics, samples, bits, n_words).select("id", F.col("id").alias("part_of"), "direction", "size", "words", F.lit(False).alias("merged"))
+    state = materialise(state, "packed-sets")
+    alive = state.count()
+    open_ = lambda found: pairs.pair_overlaps(found, n, listed=False, ways=True).filter((F.col("p") < alpha) & (F.col("jac") >= least_jaccard)).select("i", "j", "d1", "d2", "p", "jac")
+    known = materialise(open_(pairs.set_pairs(state.select("id", "direction", "size", "words"), count=alive)), "open-pairs")
     for _ in range(max_rounds):
-        found = pairs.merge_candidates(known, sets.count(), alpha).join(tried, ["i", "j"], "left_anti")
-        order = ["p", F.desc("jac"), "i", "j"]
-        ends = found.select(F.col("i").alias("x"), "*").union(found.select(F.col("j").alias("x"), "*"))
-        best = ends.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(*order))).filter("nth = 1").groupBy("i", "j").agg(F.count("*").alias("both"), F.first("p").alias("p"), F.first("jac").alias("jac")).filter("both = 2")
-        best = materialise(best.orderBy(*order).limit(1) if exact else best, "chosen").select("i", "j")
-        if best.isEmpty():
-            return bics, members, samples
-        genes = best.join(members.withColumnRenamed("id", "i"), "i").select("i", "j", "gene").union(best.join(members.withColumnRenamed("id", "j"), "j").select("i", "j", "gene")).select(F.col("i").alias("id"), "gene").distinct()
-        d1, d2 = bics.select(F.col("id").alias("i"), F.col("direction").alias("d1")), bics.select(F.col("id").alias("j"), F.col("direction").alias("d2"))
-        ways = best.join(d1, "i").join(d2, "j")
-        first = ways.select(F.col("i").alias("id"), F.when(F.lit(discordant) & (F.col("d1") != F.col("d2")), "MIXED").otherwise(F.col("d1")).alias("direction"))
-        new = bicluster.optimal_sample_set(genes, m, first, n, min_n_samples)
-        got = new.select("id").distinct()
-        second = ways.filter("d1 <> d2").select(F.col("i").alias("id"), F.col("d2").alias("direction")).join(got, "id", "left_anti")
-        if not discordant and not one_way:
-            new = new.union(bicluster.optimal_sample_set(genes.join(second.select("id"), "id", "left_semi"), m, second, n, min_n_samples))
-        new = materialise(new, "merged-samples")
-        score = bicluster.bicluster_snr(genes, new, m).filter(F.col("avgSNR") >= min_snr).select("id")
-        done = materialise(best.join(score.withColumnRenamed("id", "i"), "i", "left_semi"), "done")
-        failed = best.join(done, ["i", "j"], "left_anti")
-        gone = done.select(F.col("i").alias("id")).union(done.select(F.col("j").alias("id")))
-        fresh = done.select(F.col("i").alias("id"))
-        direction = first.join(got, "id", "left_semi").unionByName(second).join(fresh, "id", "left_semi").dropDuplicates(["id"])
-        was = bics, members, samples, tried
-        bics = materialise(bics.join(gone, "id", "left_anti").unionByName(direction), "bics")
-        members = materialise(members.join(gone, "id", "left_anti").unionByName(genes.join(fresh, "id", "left_semi")), "genes")
-        samples = materialise(samples.join(gone, "id", "left_anti").unionByName(new.join(fresh, "id", "left_semi")), "samples")
-        stale = gone.select(F.col("id").alias("x"))
-        tried = tried.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select("i", "j")
-        tried = materialise(tried.union(failed.select("i", "j")), "tried")
-        left = known.join(stale.withColumnRenamed("x", "i"), "i", "left_anti").join(stale.withColumnRenamed("x", "j"), "j", "left_anti").select(*known.columns)
-        merged = materialise(pairs.packed_sets(bics.join(fresh, "id", "left_semi"), samples.join(fresh, "id", "left_semi"), bits, n_words), "packed-sets")
-        was += sets, known
-        sets = materialise(sets.join(gone, "id", "left_anti").unionByName(merged), "packed-sets")
-        known = materialise(left.unionByName(open_(pairs.set_pairs(merged, sets))), "open-pairs")
-        release(*was, merged)
+        chosen = materialise(_best_pairs(pairs.merge_candidates(known, alive, alpha), exact), "chosen")
+        if chosen.isEmpty():
+            release(rows, known, chosen)
+            return _as_given(state, members, samples, numbers)
+        ends = chosen.select("*", F.explode(F.array("i", "j")).alias("part_of")).join(state.select("id", "part_of"), "part_of")
+        genes = ends.join(members, "id").select("i", "j", "d1", "d2", "gene").distinct()
+        done = materialise(bicluster.united_sets(genes.join(rows, "gene"), n, n_words, min_snr, min_n_samples, discordant), "done")
+        n_done = done.count()
+        was = known, chosen
+        known = known.join(chosen.select("i", "j"), ["i", "j"], "left_anti")
+        if n_done:
+            alive -= n_done
+            gone = done.select(F.explode(F.array("i", "j")).alias("x"))
+            known = known.join(gone.withColumnRenamed("x", "i"), "i", "left_anti").join(gone.withColumnRenamed("x", "j"), "j", "left_anti")
+            was += done, state
+            state = materialise(_moved(state, done), "packed-sets")
+            new = done.select(F.col("i").alias("id"), "direction", "size", "words")
+            left = state.filter("id = part_of").select("id", "direction", "size", "words")
+            known = known.select("i", "j", "d1", "d2", "p", "jac").unionByName(open_(pairs.set_pairs(new, left, alive)))
+        known = materialise(known.select("i", "j", "d1", "d2", "p", "jac"), "open-pairs")
+        release(*was)
     raise RuntimeError(f"merging did not end in {max_rounds} rounds")
 
 
+def _best_pairs(found: DataFrame, exact: bool) -> DataFrame:
+    """(i, j, d1, d2) of the pairs that are each other's best: lowest p, then highest jac, then ids. exact: the best pair of all."""
+    if exact:
+        return found.orderBy("p", F.desc("jac"), "i", "j").limit(1).select("i", "j", "d1", "d2")
+    place = F.struct("p", (-F.col("jac")).alias("jac"), "i", "j", "d1", "d2")
+    best = found.select(F.explode(F.array("i", "j")).alias("x"), place.alias("pair")).groupBy("x").agg(F.min("pair").alias("pair"))
+    return best.groupBy("pair.i", "pair.j").agg(F.count("*").alias("both"), F.first("pair.d1").alias("d1"), F.first("pair.d2").alias("d2")).filter("both = 2").drop("both")
+
+
+def _moved(state: DataFrame, done: DataFrame) -> DataFrame:
+    """state after the unions of done: all that was part of j is part of i, which has a new set."""
+    into = done.select(F.col("j").alias("part_of"), F.col("i").alias("into"))
+    sets = done.select(F.col("i").alias("id"), *[F.col(c).alias(f"new_{c}") for c in ("direction", "size", "words")])
+    rows = state.join(into, "part_of", "left").join(sets, "id", "left")
+    fresh = F.col("new_size").isNotNull()
+    now = [F.when(fresh, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("direction", "size", "words")]
+    return rows.select("id", F.coalesce("into", "part_of").alias("part_of"), *now, (F.col("merged") | fresh | F.col("into").isNotNull()).alias("merged"))
+
+
+def _as_given(state: DataFrame, members: DataFrame, samples: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bics, members, samples) of the biclusters left; those that were never merged keep their rows."""
+    merged, left = state.filter("merged"), state.filter("id = part_of")
+    genes = members.join(merged.select("id", "part_of"), "id").select(F.col("part_of").alias("id"), "gene").distinct()
+    words = left.filter("merged").select("id", F.posexplode("words").alias("word", "bits"))
+    held = words.select("id", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit("bits", b) == 1, F.col("word").cast("long") * 64 + b)), F.isnotnull)).alias("number"))
+    inside = held.join(numbers, "number").select("id", "sample")
+    old = merged.select("id")
+    return left.select("id", "direction"), members.join(old, "id", "left_anti").select("id", "gene").unionByName(genes), samples.join(old, "id", "left_anti").select("id", "sample").unionByName(inside)
+
+
 def unite_up_down(up: tuple[DataFrame, DataFrame, DataFrame], down: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both (bics, members, samples) as one, the ids of the second raised past those of the first. Either may be empty."""
     offset = F.broadcast(up[0].agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("by")))

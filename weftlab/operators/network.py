@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlab.operators.components import connected_components
+from weftlab.session import materialise
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -23,13 +24,42 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "g1", "g2").withColumnRenamed("node", "gene")
 
 
+#: Up to so many genes components are told from smaller ones without finding all of them.
+NEAR = 6
+
+
 def drop_small_components(edges: DataFrame, k: int = 3) -> DataFrame:
-    """Edges of components with at least k genes."""
+    """Edges of components with at least k genes. For k over NEAR all components are found; below, only those of fewer than k genes are."""
+    if k <= NEAR:
+        return edges.join(_in_large(edges, k).select(F.col("gene").alias("g1")), "g1", "left_semi")
     of = components(edges)
     large = of.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     return edges.join(of.join(large, "component", "left_semi").select(F.col("gene").alias("g1")), "g1", "left_semi")
 
 
+def _in_large(edges: DataFrame, k: int) -> DataFrame:
+    """(gene) in components of at least k genes.
+
+    Fewer than k genes are at most k - 2 edges apart, so the smallest gene within so many edges names such a component. Genes of one name are
+    a whole component if none has a neighbour of another name, and genes of a larger one that share a name always have one, or are k or more.
+    """
+    given = edges.filter(F.col("g1").isNotNull() & F.col("g2").isNotNull() & (F.col("g1") != F.col("g2")))
+    both = materialise(incidence(given, "g1", "g2").select("gene", F.when(F.col("gene") == F.col("g1"), F.col("g2")).otherwise(F.col("g1")).alias("nbr")).distinct(), "both-ways")
+    names = both.groupBy("gene").agg(F.least("gene", F.min("nbr")).alias("name"))
+
+    def near(names: DataFrame) -> DataFrame:
+        """(gene, low, high): the smallest and largest name of each gene's neighbours."""
+        return both.join(names.select(F.col("gene").alias("nbr"), "name"), "nbr").groupBy("gene").agg(F.min("name").alias("low"), F.max("name").alias("high"))
+
+    for _ in range(k - 3):
+        names = materialise(names, "names")
+        names = names.join(near(names), "gene").select("gene", F.least("name", "low").alias("name"))
+    names = materialise(names, "names")
+    told = names.join(near(names), "gene").withColumn("open", (F.col("low") != F.col("name")) | (F.col("high") != F.col("name")))
+    small = told.groupBy("name").agg(F.count("*").alias("n"), F.bool_or("open").alias("open")).filter((F.col("n") < k) & ~F.col("open"))
+    return names.join(small, "name", "left_anti").select("gene")
+
+
 def network_stats(edges: DataFrame) -> DataFrame:
     """(component, n_nodes, n_edges) per component, and a row with component null for the whole network."""
     of = components(edges)

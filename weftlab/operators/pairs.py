@@ -65,14 +65,15 @@ def set_pairs(left: DataFrame, right: DataFrame | None = None, count: int | None
     return rows.select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.col("x.direction").alias("d1"), F.col("y.direction").alias("d2"), F.col("x.size").alias("n1"), F.col("y.size").alias("n2"), inter.cast("long").alias("inter"))
 
 
-def pair_overlaps(found: DataFrame, n: int, listed: bool = True) -> DataFrame:
+def pair_overlaps(found: DataFrame, n: int, listed: bool = True, ways: bool = False) -> DataFrame:
     """(i, j, shared, only_1, only_2, p, jac) of set_pairs; the second set is complemented where directions differ. listed: else pairs of one direction
-    without a shared sample, whose p is 1, are left out. The tail is computed once per distinct (shared, n1, n2)."""
+    without a shared sample, whose p is 1, are left out. ways: with d1 and d2. The tail is computed once per distinct (shared, n1, n2)."""
+    both = ("d1", "d2") if ways else ()
     same = F.col("d1") == F.col("d2")
     pairs = found if listed else found.filter(~same | (F.col("inter") > 0))
     pairs = pairs.withColumn("shared", F.when(same, F.col("inter")).otherwise(F.col("n1") - F.col("inter"))).withColumn("n2", F.when(same, F.col("n2")).otherwise(n - F.col("n2")))
-    pairs = with_tail(materialise(pairs.select("i", "j", "shared", "n1", "n2"), "set-pairs"), "shared", "n1", "n2", n)
-    return pairs.select("i", "j", "shared", (F.col("n1") - F.col("shared")).alias("only_1"), (F.col("n2") - F.col("shared")).alias("only_2"), "p", jaccard(F.col("shared"), F.col("n1"), F.col("n2")).alias("jac"))
+    pairs = with_tail(materialise(pairs.select("i", "j", *both, "shared", "n1", "n2"), "set-pairs"), "shared", "n1", "n2", n)
+    return pairs.select("i", "j", *both, "shared", (F.col("n1") - F.col("shared")).alias("only_1"), (F.col("n2") - F.col("shared")).alias("only_2"), "p", jaccard(F.col("shared"), F.col("n1"), F.col("n2")).alias("jac"))
 
 
 def bicluster_pair_overlap(bics: DataFrame, samples: DataFrame, n: int) -> DataFrame:
