@@ -98,6 +98,7 @@ def significance(up: Biclusters, down: Biclusters, edges: DataFrame, m: DataFram
     bics, members, samples = merge.unite_up_down(tuple(d.select("id", "direction") if i == 0 else d for i, d in enumerate(up)), tuple(d.select("id", "direction") if i == 0 else d for i, d in enumerate(down)))
     bics, members, samples = merge.merge_biclusters(bics, members, samples, m, n, min_snr, least, discordant=True)
     bics, samples = bicluster.flip_large_biclusters(bics, samples, m.select("sample").distinct(), n)
+    samples = materialise(samples, "flipped")
     scored = materialise(described(bics, members, samples, m), "scored")
     sizes = [r["n_genes"] for r in bicluster.sizes_census(members).select("n_genes").orderBy("n_genes").collect()]  # one number per size of gene sets
     null = materialise(nulls.null_distribution(edges, m, sizes, sets_per_size, seed), "null")

@@ -36,8 +36,9 @@ def merge_biclusters(bics: DataFrame, members: DataFrame, samples: DataFrame, m:
     for _ in range(max_rounds):
         chosen = materialise(_best_pairs(pairs.merge_candidates(known, alive, alpha), exact), "chosen")
         if chosen.isEmpty():
-            release(rows, known, chosen)
-            return _as_given(state, members, samples, numbers)
+            found = _as_given(state, members, samples, numbers)
+            release(rows, known, chosen, members, samples)
+            return found
         ends = chosen.select("*", F.explode(F.array("i", "j")).alias("part_of")).join(state.select("id", "part_of"), "part_of")
         genes = ends.join(members, "id").select("i", "j", "d1", "d2", "gene").distinct()
         done = materialise(bicluster.united_sets(genes.join(rows, "gene"), n, n_words, min_snr, min_n_samples, discordant), "done")
@@ -78,14 +79,15 @@ def _moved(state: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _as_given(state: DataFrame, members: DataFrame, samples: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bics, members, samples) of the biclusters left; those that were never merged keep their rows."""
+    """(bics, members, samples) of the biclusters left, written, as they are read more than once; those that were never merged keep their rows."""
     merged, left = state.filter("merged"), state.filter("id = part_of")
     genes = members.join(merged.select("id", "part_of"), "id").select(F.col("part_of").alias("id"), "gene").distinct()
     words = left.filter("merged").select("id", F.posexplode("words").alias("word", "bits"))
     held = words.select("id", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit("bits", b) == 1, F.col("word").cast("long") * 64 + b)), F.isnotnull)).alias("number"))
     inside = held.join(numbers, "number").select("id", "sample")
     old = merged.select("id")
-    return left.select("id", "direction"), members.join(old, "id", "left_anti").select("id", "gene").unionByName(genes), samples.join(old, "id", "left_anti").select("id", "sample").unionByName(inside)
+    genes = materialise(members.join(old, "id", "left_anti").select("id", "gene").unionByName(genes), "genes")
+    return left.select("id", "direction"), genes, materialise(samples.join(old, "id", "left_anti").select("id", "sample").unionByName(inside), "samples")
 
 
 def unite_up_down(up: tuple[DataFrame, DataFrame, DataFrame], down: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
