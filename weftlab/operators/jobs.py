@@ -47,9 +47,8 @@ def discover(edges: DataFrame, m: DataFrame, direction: str = "UP", p: float = 0
     assigned = materialise(rankoverlap.assign_samples_to_edges(edges, m, direction, p, snr, least, k), "edge-samples")
     named = materialise(numbered(assigned.select("g1", "g2").distinct(), ["g1", "g2"], "eid"), "edge-ids")
     carried = materialise(assigned.join(named, ["g1", "g2"]).select("eid", "sample"), "carried")
-    history, converged = sampler.run_sampler(named, carried, n, **sampling)
-    window = {c: sampling[c] for c in ("needed", "points") if c in sampling}
-    state = materialise(sampler.final_modules(history, converged, **window).select("eid", "module"), "modules")
+    state, converged = sampler.settled_modules(named, carried, n, **sampling)
+    state = materialise(state.select("eid", "module"), "modules")
     found = bicluster.modules_to_biclusters(named, state, m, direction, n, snr, least).filter("reason = 'kept'").select(F.col("id").alias("module"))
     ids = materialise(numbered(found, ["module"], "id").select("module", F.col("id").cast("int").alias("id")), "module-ids")
     members = module_genes(named, state).join(ids, "module").select("id", "gene")

@@ -1,22 +1,32 @@
-"""The sampler over module labels: parts of the network are drawn in tasks, and exchange counts after every step."""
+"""The sampler over module labels: parts of the network are drawn in tasks, and exchange counts after every step.
+
+What tasks keep lies as arrays in the shared folder (`arrays.put`). An edge, and so a module, has an address there: its part, and its place among the
+part's edges by id. Per part: the fixed arrays of `gibbs.laid` and the edges of other parts at its genes; per step a label (the address of the
+module) for each edge. Parts exchange tables of one row per module that has edges: part, place, edges, and edges that carry each sample. The part of
+a module's founding edge keeps its row; a task adds the changes that all parts made in the step before to the rows that it keeps or sees.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlab.functions.ordering import numbered
-from weftlab.operators import gibbs, modules
+from weftlab.operators import arrays, gibbs, modules
 from weftlab.operators.network import incidence
-from weftlab.session import materialise, release
+from weftlab.session import drop_path, materialise, new_path, release
 
 #: Cells (edges times samples) of a part.
 CELLS = 8_000_000
 #: Steps that a network of a single part takes in one job; it has nobody to exchange counts with, so the number changes no result.
 AT_ONCE = 10
-STATE = "part long, eid long, module long, steps array<long>, window array<long>"
+#: Label files that a task of the history reads at most.
+FILES = 8
 
 
 def draw(probs: DataFrame, seed: int, step: int, block: int) -> DataFrame:
@@ -40,18 +50,45 @@ def parted(edges: DataFrame, n: int, part_edges: int | None = None) -> tuple[Dat
     return placed.select(*edges.columns, F.floor(F.col("__nth") / size).alias("part")), -(-total // size)
 
 
-def _seen(edges: DataFrame, state: DataFrame, counts: DataFrame) -> DataFrame:
-    """(part, kind, a, b, c): what each part must know of the others. kind 1: (gene, module) that their edges offer at its genes; kind 2: (module,
-    sample, ones) of every module that it can see."""
-    ends = incidence(edges.select("eid", "g1", "g2", "part").join(state.select("eid", "module"), "eid").select("g1", "g2", "part", F.array("module", "eid").alias("both")), "part", "both")
-    offers = ends.select("gene", F.explode("both").alias("module"), F.col("part").alias("source")).distinct()
-    near = ends.select("gene", "part").distinct()
-    other = near.join(offers, "gene").filter("part <> source").select("part", "gene", "module").distinct()
-    own = state.select("part", F.explode(F.array("module", "eid")).alias("module"))
-    needed = other.select("part", "module").union(own).distinct().join(counts, "module")
-    return other.select("part", F.lit(1).alias("kind"), F.col("gene").alias("a"), F.col("module").alias("b"), F.lit(0).cast("long").alias("c")).union(
-        needed.select("part", F.lit(2), "module", F.col("sample").cast("long"), "ones")
-    )
+def _far(edges: DataFrame) -> DataFrame:
+    """(of, at, far, source, nth): the genes that each part shares with edges of other parts, and those edges, with their parts and places."""
+    ends = incidence(edges, "eid", "part", "place")
+    near = ends.select("gene", F.col("part").alias("of")).distinct()
+    return near.join(ends, "gene").filter("of <> part").select("of", F.col("gene").alias("at"), F.col("eid").alias("far"), F.col("part").alias("source"), F.col("place").alias("nth"))
+
+
+@dataclass
+class Drawn:
+    """What the sampler leaves in the shared folder: names of files by part, and of the labels by part and step."""
+
+    folder: str
+    fixed: dict[int, dict[str, str]]
+    labels: dict[int, list[str]] = field(default_factory=dict)
+    tables: dict[int, tuple[str, str]] = field(default_factory=dict)  # rows kept, changes
+    exchanged: str = ""
+    converged: bool = False
+
+    def steps(self) -> int:
+        return len(next(iter(self.labels.values())))
+
+    def ids(self, addresses: np.ndarray) -> np.ndarray:
+        """The edge ids at addresses."""
+        part, out = addresses >> 32, np.zeros(len(addresses), np.int64)
+        for p in np.unique(part).tolist():
+            here = part == p
+            out[here] = arrays.get(self.folder, self.fixed[p]["eid"])[addresses[here] & 0xFFFFFFFF]
+        return out
+
+    def history(self, spark: SparkSession, first: int = 0) -> DataFrame:
+        """(step, eid, module) from step `first` on."""
+        told, n = [(part, step) for part in sorted(self.labels) for step in range(first, self.steps())], max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, step in (told[i] for pdf in batches for i in pdf["id"]):
+                eid = arrays.get(self.folder, self.fixed[part]["eid"])
+                yield pd.DataFrame({"step": np.full(len(eid), step, np.int32), "eid": eid, "module": self.ids(arrays.get(self.folder, self.labels[part][step]))})
+
+        return spark.range(0, len(told), 1, min(len(told), max(n, -(-len(told) // FILES)))).mapInPandas(read, "step int, eid long, module long")
 
 
 def run_sampler(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200, averaged: int = 20, needed: int = 5, tol: float = 0.1, seed: int = 1, points: int = 10, part_edges: int | None = None, alpha: float = modules.ALPHA, beta: float = modules.BETA) -> tuple[DataFrame, bool]:
@@ -65,41 +102,51 @@ def run_sampler(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200,
     tables over `averaged` steps and of the log-likelihood. Samples may be of any type; edges without samples take part; repeated
     samples of an edge count once. Without edges the history is empty.
     """
+    drawn = _drawn(edges, samples, n, steps, averaged, needed, tol, seed, points, part_edges, alpha, beta)
+    if drawn is None or not drawn.labels:
+        return edges.sparkSession.createDataFrame([], "step int, eid long, module long"), False
+    return drawn.history(edges.sparkSession), drawn.converged
+
+
+def _drawn(edges: DataFrame, samples: DataFrame, n: int, steps: int = 200, averaged: int = 20, needed: int = 5, tol: float = 0.1, seed: int = 1, points: int = 10, part_edges: int | None = None, alpha: float = modules.ALPHA, beta: float = modules.BETA) -> Drawn | None:
     spark = edges.sparkSession
     if edges.isEmpty():
-        return spark.createDataFrame([], "step int, eid long, module long"), False
+        return None
     ids = numbered(samples.select("sample").distinct(), ["sample"], "nth")
     listed = samples.join(ids, "sample").groupBy("eid").agg(F.array_sort(F.collect_set(F.col("nth").cast("int"))).alias("samples"))
     genes = numbered(incidence(edges).select("gene").distinct(), ["gene"], "nth")  # any type of gene becomes a number
     gene = lambda g: genes.select(F.col("gene").alias(g), F.col("nth").cast("long").alias(f"{g}n"))
     plain = edges.select("eid", "g1", "g2").join(gene("g1"), "g1").join(gene("g2"), "g2").select(F.col("eid").cast("long").alias("eid"), F.col("g1n").alias("g1"), F.col("g2n").alias("g2"))
     cut, parts = parted(plain, n, part_edges)
-    fixed = materialise(cut.join(listed, "eid", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<int>"))), "parts")
-    none = F.array().cast("array<long>")
-    state = fixed.select("part", "eid", F.col("eid").alias("module"), none.alias("steps"), none.alias("window"))
-    counts = None
-    if parts > 1:
-        counts = materialise(fixed.select(F.col("eid").alias("module"), F.explode(F.concat("samples", F.array(F.lit(-1)))).alias("sample"), F.lit(1).cast("long").alias("ones")), "counts")
-    history, series, flat, step = [], [], 0, 0
+    placed = cut.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("eid")).cast("long") - 1)
+    fixed = materialise(placed.join(listed, "eid", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<int>"))), "parts")
+    drawn = _laid(fixed, n, parts)
+    release(fixed)
+    series, flat, step = [], 0, 0
     while step < steps:
         k = 1 if parts > 1 else min(AT_ONCE, steps - step)
-        after = materialise(_job(fixed, state, counts, n, step, k, averaged, seed, alpha, beta, parts > 1), "sampled")
-        moved = after.filter("eid is not null").drop("sums")
-        history.append((step, moved))
-        told = after.filter("module is null").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(*[F.sum(F.col("x")[i]).alias(c) for i, c in enumerate(("lp", "squares", "terms", "known"))])
-        for r in sorted(told.collect(), key=lambda r: r["at"]):  # one row per step of the job
-            if r["known"]:
-                series.append((step, (r["squares"] / r["terms"]) ** 0.5 if r["terms"] else 0.0, r["lp"]))
+        into = new_path(spark, "exchanged")
+        told = _job(spark, drawn, into, n, step, k, averaged, seed, alpha, beta)
+        if parts > 1:
+            drop_path(spark, drawn.exchanged)
+            drawn.exchanged, drawn.tables = into, {r["part"]: (r["kept"], r["changed"]) for r in told}
+        for r in sorted(told, key=lambda r: (r["part"], r["step"])):
+            drawn.labels.setdefault(r["part"], []).append(r["labels"])
+        for step in range(step, step + k):
+            lp, squares, terms, known = (sum(r[c] for r in told if r["step"] == step) for c in ("lp", "squares", "terms", "known"))
+            if known:
+                series.append((step, (squares / terms) ** 0.5 if terms else 0.0, lp))
             flat = flat + 1 if len(series) >= points and is_flat(series, points, tol) else 0
-            step += 1
             if flat >= needed:
-                return _history(history, step), True
-        if parts > 1:
-            changed = after.filter("eid is null and module is not null").select("module", F.col("part").cast("int").alias("sample"), F.col("sums")[0][0].cast("long").alias("ones"))
-            was, counts = counts, materialise(counts.union(changed).groupBy("module", "sample").agg(F.sum("ones").alias("ones")).filter("ones <> 0"), "counts")
-            release(was)
-        state = moved
-    return _history(history, step), False
+                drawn.labels = {p: files[: step + 1] for p, files in drawn.labels.items()}
+                drawn.converged = True
+                break
+        step += 1
+        if drawn.converged:
+            break
+    if parts > 1:
+        drop_path(spark, drawn.exchanged)
+    return drawn
 
 
 def is_flat(series: list[tuple[int, float, float]], points: int, tol: float) -> bool:
@@ -116,52 +163,114 @@ def is_flat(series: list[tuple[int, float, float]], points: int, tol: float) ->
     return True
 
 
-def _job(fixed: DataFrame, state: DataFrame, counts: DataFrame | None, n: int, first: int, k: int, averaged: int, seed: int, alpha: float, beta: float, exchange: bool) -> DataFrame:
-    """The state after k steps, with rows of two other kinds: per part (eid and module null) the sums of each step, and, where parts
-    exchange, the changes of counts (eid null; sample in `part`, change in sums)."""
-    out = f"{STATE}, sums array<array<double>>"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        edges = left.sort_values("eid")
-        rows = right[right["kind"] == 0].sort_values("a")
-        held = offered = None
-        if exchange:
-            some = right[right["kind"] == 2]
-            held = tuple(some[c].to_numpy(np.int64) for c in "abc")
-            some = right[right["kind"] == 1]
-            offered = (some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64))
-        part = gibbs.Part(*(edges[c].to_numpy(np.int64) for c in ("eid", "g1", "g2")), list(edges["samples"]), rows["b"].to_numpy(np.int64), n, alpha, beta, seed, held, offered)
-        before = (part.ones.copy(), part.m.copy()) if exchange else None
-        windows = [np.asarray(w, np.int64) for w in rows["window"]]
-        window = np.stack(windows) if len(windows[0]) else np.zeros((len(rows), 0), np.int64)
-        drawn, sums = [], []
+def _laid(fixed: DataFrame, n: int, parts: int) -> Drawn:
+    """Every part's fixed arrays, and its table of edges that are alone, written by tasks."""
+    folder, into = new_path(fixed.sparkSession, "parts-arrays"), new_path(fixed.sparkSession, "exchanged")
+
+    def lay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        part, right = int(left["part"].iat[0]), right.sort_values(["at", "far"])
+        held = gibbs.laid(*(left[c].to_numpy(np.int64) for c in ("eid", "g1", "g2")), list(left["samples"]))
+        eid, far = held["eid"], right["far"].to_numpy(np.int64)
+        held["far"] = right["source"].to_numpy(np.int64) << 32 | right["nth"].to_numpy(np.int64)
+        held["n_far"] = np.bincount(np.searchsorted(held["genes"], right["at"].to_numpy(np.int64)), minlength=len(held["genes"]))
+        held["seen"], first = np.unique(np.append(eid, far), return_index=True)
+        held["seen_at"] = np.append((part << 32) + np.arange(len(eid)), held["far"])[first]
+        held["own_seen"], held["far_seen"] = np.searchsorted(held["seen"], eid), np.searchsorted(held["seen"], far)
+        kept = changed = None
+        if parts > 1:
+            table = np.zeros((len(eid), 3 + n), np.int32)
+            table[:, 0], table[:, 1], table[:, 2] = part, np.arange(len(eid)), 1
+            table[np.repeat(np.arange(len(eid)), held["n_samples"]), 3 + held["sample"]] = 1
+            kept, changed = arrays.put(into, f"{part}-kept", table), arrays.put(into, f"{part}-changed", table[:0])
+        files = [(name, arrays.put(folder, f"{part}-{name}", x)) for name, x in held.items()]
+        return pd.DataFrame({"part": part, "name": [f[0] for f in files], "file": [f[1] for f in files], "kept": kept, "changed": changed})
+
+    told = fixed.groupBy("part").cogroup(_far(fixed).groupBy("of")).applyInPandas(lay, "part long, name string, file string, kept string, changed string").collect()  # names of files
+    drawn = Drawn(folder, {}, exchanged=into)
+    for r in told:
+        drawn.fixed.setdefault(r["part"], {})[r["name"]] = r["file"]
+        if parts > 1:
+            drawn.tables[r["part"]] = r["kept"], r["changed"]
+    return drawn
+
+
+def _summed(tables: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """The sum of rows of one module, over the tables, for the modules at the addresses `wanted` (ascending) that have edges; by address."""
+    rows, at = [], []
+    for t in tables:
+        address = t[:, 0].astype(np.int64) << 32 | t[:, 1]
+        place = np.minimum(np.searchsorted(wanted, address), len(wanted) - 1)
+        some = np.flatnonzero(wanted[place] == address)
+        rows.append(t[some])
+        at.append(address[some])
+    every, at = np.concatenate(rows), np.concatenate(at)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0)) if len(at) else order
+    out = every[order[first]]
+    if len(first) < len(order):
+        out[:, 2:] = np.add.reduceat(every[order, 2:], first, axis=0)
+    return out[out[:, 2] > 0]
+
+
+def _job(spark: SparkSession, drawn: Drawn, into: str, n: int, first: int, k: int, averaged: int, seed: int, alpha: float, beta: float) -> list:
+    """A row per part and step of k steps: the sums of the step and the files written."""
+    parts = len(drawn.fixed)
+
+    def draw_part(part: int) -> pd.DataFrame:
+        load = lambda name: arrays.get(drawn.folder, drawn.fixed[part][name])
+        fixed = {name: load(name) for name in drawn.fixed[part]}
+        own = (part << 32) + np.arange(len(fixed["eid"]))
+        labels, far = own, np.array(fixed["far"])
+        if first:
+            labels = np.array(arrays.get(drawn.folder, drawn.labels[part][-1]))
+            source, place = far >> 32, far & 0xFFFFFFFF
+            for p in np.unique(source).tolist():
+                here = source == p
+                far[here] = arrays.get(drawn.folder, drawn.labels[p][-1])[place[here]]
+        # the modules seen: founded by the edges at the part's genes, and named by their labels
+        named = np.unique(np.append(labels, far))
+        ids, seen = drawn.ids(named), np.array(fixed["seen"])
+        new = np.flatnonzero(seen[np.minimum(np.searchsorted(seen, ids), len(seen) - 1)] != ids)
+        new = new[np.argsort(ids[new])]
+        seen_at = np.arange(len(seen)) + np.searchsorted(ids[new], seen)
+        module, address = np.zeros((2, len(seen) + len(new)), np.int64)
+        for out, old, more in ((module, seen, ids), (address, fixed["seen_at"], named)):
+            out[seen_at], out[np.arange(len(new)) + np.searchsorted(seen, ids[new])] = old, more[new]
+        of = lambda x: np.searchsorted(module, ids)[np.searchsorted(named, x)]
+        counts = kept = changed = held = None
+        if parts > 1:
+            by = np.argsort(address)
+            held = _summed([arrays.get(drawn.exchanged, f) for both in drawn.tables.values() for f in both], address[by])
+            at = by[np.searchsorted(address[by], held[:, 0].astype(np.int64) << 32 | held[:, 1])]
+            counts = np.zeros((len(module), n), np.int32), np.zeros(len(module), np.int64)
+            counts[0][at], counts[1][at] = held[:, 3:], held[:, 2]
+            kept = arrays.put(into, f"{part}-kept", held[held[:, 0] == part])
+        drawn_part = gibbs.Part.of(fixed, module, of(labels), seen_at[fixed["own_seen"]], n, alpha, beta, seed, counts, (fixed["n_far"], [seen_at[fixed["far_seen"]], of(far)]))
+        files, out = drawn.labels.get(part, [])[-(averaged + 1) :], []
+        window = [np.asarray(arrays.get(drawn.folder, f)) for f in files]
         for step in range(first, first + k):
-            full = window.shape[1] > averaged
-            squares, terms = gibbs.window_change(window) if full else (0.0, 0)
-            sums.append([part.sweep(step), squares, float(terms), float(full)])
-            drawn.append(part.modules[part.label])
-            window = np.concatenate([window, drawn[-1][:, None]], axis=1)[:, -(averaged + 1) :]
-        name = int(left["part"].iloc[0])
-        moved = pd.DataFrame({"part": name, "eid": part.eid, "module": drawn[-1], "steps": list(np.stack(drawn, axis=1)), "window": list(window), "sums": None})
-        tables = [moved, pd.DataFrame({"part": [name], "eid": [None], "module": [None], "steps": [None], "window": [None], "sums": [sums]})]
-        if exchange:
-            module, sample, change = part.changes(*before)
-            tables.append(pd.DataFrame({"part": sample, "eid": None, "module": module, "steps": None, "window": None, "sums": [[[float(c)]] for c in change]}))
-        return pd.concat([t.astype({"eid": "Int64", "module": "Int64"}) for t in tables if len(t)])
-
-    kinds = F.col("part").alias("of"), F.lit(0).alias("kind"), F.col("eid").alias("a"), F.col("module").alias("b"), F.lit(0).cast("long").alias("c"), "window"
-    told = state.select(*kinds)
-    if exchange:
-        told = told.union(_seen(fixed, state, counts).withColumn("window", F.array().cast("array<long>")))
-    return fixed.groupBy("part").cogroup(told.groupBy("of")).applyInPandas(run, out)
-
-
-def _history(parts: list[tuple[int, DataFrame]], steps: int) -> DataFrame:
-    out = None
-    for first, moved in parts:
-        rows = moved.select("eid", F.posexplode("steps").alias("at", "module")).select((F.col("at") + first).alias("step"), "eid", "module")
-        out = rows if out is None else out.union(rows)
-    return out.filter(F.col("step") < steps)
+            full = len(window) > averaged
+            squares, terms = gibbs.window_change(np.stack(window, axis=1)) if full else (0.0, 0)
+            lp = drawn_part.sweep(step)
+            window = [*window, address[drawn_part.label]][-(averaged + 1) :]
+            out.append((part, step, lp, squares, float(terms), float(full), arrays.put(drawn.folder, f"{part}-labels-{step}", window[-1]), kept))
+        if parts > 1:
+            some = np.flatnonzero(drawn_part.touched)
+            table = np.zeros((len(some), 3 + n), np.int32)
+            table[:, 0], table[:, 1], table[:, 2], table[:, 3:] = address[some] >> 32, address[some] & 0xFFFFFFFF, drawn_part.m[some], drawn_part.ones[some]
+            was = np.full(len(module), -1)
+            was[at] = np.arange(len(held))
+            old = was[some]
+            table[old >= 0, 2:] -= held[old[old >= 0], 2:]
+            changed = arrays.put(into, f"{part}-changed", table[(table[:, 2:] != 0).any(axis=1)])
+        return pd.DataFrame(out, columns=["part", "step", "lp", "squares", "terms", "known", "labels", "kept"]).assign(changed=changed)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in pdf["id"].tolist():
+                yield draw_part(part)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, "part long, step int, lp double, squares double, terms double, known double, labels string, kept string, changed string").collect()  # names and sums
 
 
 def sample_modules(edges: DataFrame, samples: DataFrame, n: int, **how) -> DataFrame:
@@ -174,3 +283,12 @@ def final_modules(history: DataFrame, converged: bool, needed: int = 5, points:
     """consensus_modules over the last steps: points + needed of them if the sampler has converged, else `needed`."""
     last = history.agg(F.max("step")).first()[0]
     return modules.consensus_modules(history.filter(F.col("step") > (last or 0) - (points + needed if converged else needed)))
+
+
+def settled_modules(edges: DataFrame, samples: DataFrame, n: int, needed: int = 5, points: int = 10, **how) -> tuple[DataFrame, bool]:
+    """(final_modules of run_sampler's history, converged); of the history only the last steps are read."""
+    drawn = _drawn(edges, samples, n, needed=needed, points=points, **how)
+    if drawn is None or not drawn.labels:
+        return final_modules(edges.sparkSession.createDataFrame([], "step int, eid long, module long"), False), False
+    last = points + needed if drawn.converged else needed
+    return modules.consensus_modules(drawn.history(edges.sparkSession, max(0, drawn.steps() - last))), drawn.converged
