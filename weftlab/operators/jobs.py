@@ -49,11 +49,12 @@ def discover(edges: DataFrame, m: DataFrame, direction: str = "UP", p: float = 0
     carried = materialise(assigned.join(named, ["g1", "g2"]).select("eid", "sample"), "carried")
     state, converged = sampler.settled_modules(named, carried, n, **sampling)
     state = materialise(state.select("eid", "module"), "modules")
-    found = bicluster.modules_to_biclusters(named, state, m, direction, n, snr, least).filter("reason = 'kept'").select(F.col("id").alias("module"))
+    judged, sets_ = bicluster.judged_modules(named, state, m, direction, n, snr, least)
+    found = judged.filter("reason = 'kept'").select(F.col("id").alias("module"))
     ids = materialise(numbered(found, ["module"], "id").select("module", F.col("id").cast("int").alias("id")), "module-ids")
     members = module_genes(named, state).join(ids, "module").select("id", "gene")
     bics = ids.select("id", F.lit(direction).alias("direction"))
-    samples = bicluster.optimal_sample_set(members, m, bics, n, least)
+    samples = sets_.withColumnRenamed("id", "module").join(ids, "module").select("id", "sample")
     merged = merge.merge_biclusters(bics, members, samples, m, n, snr, least, alpha)
     return described(*merged, m).withColumn("converged", F.lit(converged)), merged[1], merged[2]
 
